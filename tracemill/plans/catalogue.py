@@ -2,5 +2,56 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tracemill.operators import traces as T
+from tracemill.plans import sqltext as S
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(S.RECURSIVE + " select * from ann")
+def trace_annotation(spark, d):
+    """Metrics of every trace."""
+    return T.annotate(T.parsed(spark, d))
+
+
+@query(S.PLAIN + " select problem_id, rollout_id, trace_id, step_id, step_type, char_length from s")
+def step_types(spark, d):
+    p = T.traces(spark, d).withColumn("steps", T.step_array(F.col("solution")))
+    return p.select(*T.KEYS, F.explode("steps").alias("s")).select(*T.KEYS, F.col("s.id").alias("step_id"), "s.step_type", "s.char_length")
+
+
+@query(S.PLAIN + " select problem_id, rollout_id, trace_id, step_id, array_to_string(sym, ' ') as symbols from s")
+def step_symbols(spark, d):
+    p = T.traces(spark, d).withColumn("steps", T.step_array(F.col("solution")))
+    return p.select(*T.KEYS, F.explode("steps").alias("s")).select(*T.KEYS, F.col("s.id").alias("step_id"), F.array_join("s.sym", " ").alias("symbols"))
+
+
+@query(S.RECURSIVE + " select problem_id, rollout_id, trace_id, src, dst from e")
+def dag_edges(spark, d):
+    x = T.exploded(T.parsed(spark, d))
+    return x.select(*T.KEYS, F.explode("inputs").alias("src"), F.col("step_id").alias("dst"))
+
+
+@query(S.RECURSIVE + " select problem_id, rollout_id, trace_id, step_id, is_live from ls")
+def live_dead_steps(spark, d):
+    return T.exploded(T.parsed(spark, d)).select(*T.KEYS, "step_id", "is_live")
+
+
+@query(S.RECURSIVE + " select problem_id, rollout_id, trace_id, step_type, count(*) as total, count(*) filter (not is_live) as dead, count(*) filter (not is_live)::double / count(*) as ratio from ls group by all")
+def typed_dsr(spark, d):
+    return T.typed_dsr(T.parsed(spark, d))
