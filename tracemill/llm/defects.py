@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import HAN, INVISIBLE, answers, map_texts, traces
-from tracemill.llm.language import votes
+from tracemill.llm.language import votes_of
 from tracemill.llm.truncation import EndModel, cut_off, fit_on_sample
 
 _UNIT = re.compile(rf"\d+|[{HAN}]|[^\W\d_{HAN}]+")
@@ -28,6 +28,8 @@ REFUSALS = (
     "|я не могу|не могу помочь|не могу решить|не могу ответить|не могу предоставить|не могу выполнить|извините|к сожалению, я|мне не разрешено|мне нельзя|вынужден отказать|я вынужден|я должен отказать|отказаться от ответа|как языковая модель|не имею права|прошу прощения|приношу извинения|мне запрещено|не в состоянии"
     "|对不起|抱歉|我不能|我无法|不能提供|无法提供|无法解答|不能解答|不能回答|无法回答|不能帮助|无法帮助|无法协助|作为语言模型|作为一个语言模型|作为人工智能|作为一个人工智能|不允许|请谅解|拒绝回答|恕我"
 ).split("|")
+#: Words up to which tags and fillers may be all there is.
+FEW = 12
 #: Words beyond which a text that holds a refusal's phrase is an answer all the same, and before which the phrase must stand.
 REFUSAL_WORDS, REFUSAL_START = 90, 40
 #: Share of the answer that must lie in runs of the question, least length of such runs, and words a lead-in may have.
@@ -106,10 +108,10 @@ class SuffixAutomaton:
 @lru_cache(maxsize=64)
 def _question(prompt: str) -> tuple[SuffixAutomaton, int, dict[str, float]]:
     w = units(prompt)
-    return SuffixAutomaton(w), len(w), votes(prompt)
+    return SuffixAutomaton(w), len(w), votes_of(w)
 
 
-def _foreign(question: dict[str, float], text: str) -> bool:
+def _foreign(question: dict[str, float], text: str, words: list[str]) -> bool:
     """Whether the text, apart from its first sentence, votes for another language than the question's."""
     if not question:
         return False
@@ -117,8 +119,8 @@ def _foreign(question: dict[str, float], text: str) -> bool:
     if question[asked] < 2:
         return False
     m = _FIRST.match(text)
-    rest = text[m.end() :] if m else ""
-    v = votes(rest if rest.strip() else text)
+    rest = words[len(units(text[: m.end()])) :] if m else []
+    v = votes_of(rest or words)
     if not v:
         return False
     best = max(v, key=lambda k: (v[k], k))
@@ -129,10 +131,13 @@ def defect_of(prompt: str | None, text: str | None) -> str | None:
     """'empty', 'refusal', 'copy' or 'language'; None for other texts. Cut texts are found by the end model."""
     if not text:
         return "empty"
-    bare = INVISIBLE.sub("", _TAGS.sub(" ", text))
+    bare = text if text.isascii() else INVISIBLE.sub("", text)
     w = units(bare)
-    if not w or " ".join(w) in FILLERS or "".join(w) in FILLERS:
-        return "empty"
+    if len(w) <= FEW:
+        bare = _TAGS.sub(" ", bare)
+        w = units(bare)
+        if not w or " ".join(w) in FILLERS or "".join(w) in FILLERS:
+            return "empty"
     if len(w) <= REFUSAL_WORDS:
         plain = " ".join(bare.casefold().replace("’", "'").split())
         for end, size in _refusal_automaton().iter(plain):
@@ -144,7 +149,7 @@ def defect_of(prompt: str | None, text: str | None) -> str | None:
             covered = automaton.covered(w, COPY_RUN)
             if covered >= COPY_SHARE * len(w) and len(w) - covered <= LEAD_IN and covered >= 0.5 * n:
                 return "copy"
-        if _foreign(asked, bare):
+        if _foreign(asked, bare, w):
             return "language"
     return None
 

@@ -22,36 +22,43 @@ for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
         _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _lang)
 
-_SCRIPTS = re.compile(r"(?P<kana>[぀-ヿ])|(?P<han>[㐀-䶿一-鿿])|(?P<ru>[Ѐ-ӿ])|(?P<ar>[؀-ۿ])|(?P<th>[฀-๿])|(?P<hi>[ऀ-ॿ])|(?P<ko>[가-힯])|(?P<el>[Ͱ-Ͽ])|(?P<he>[֐-׿])")
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Letters of another script from which it decides: each stands for about this many Latin letters.
-_WEIGHT = {"han": 3, "kana": 3, "ko": 2}
+#: First and last code points of scripts that name a language by themselves.
+SCRIPTS = ((0x0370, 0x03FF, "el"), (0x0400, 0x04FF, "ru"), (0x0590, 0x05FF, "he"), (0x0600, 0x06FF, "ar"), (0x0900, 0x097F, "hi"), (0x0E00, 0x0E7F, "th"), (0x3040, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "ko"))
 
 
-def votes(text: str) -> dict[str, float]:
-    """Votes by language; scripts vote by their share of letters, function words in Latin letters one each."""
+def votes_of(words: list[str]) -> dict[str, float]:
+    """Votes by language of case-folded words: a function word has one, letters of another script a quarter each (Chinese and Japanese three quarters)."""
     out: dict[str, float] = {}
-    letters = _LETTERS.findall(text.casefold())
-    if not text.isascii():
-        seen: dict[str, int] = {}
-        for m in _SCRIPTS.finditer(text):
-            seen[m.lastgroup] = seen.get(m.lastgroup, 0) + 1
+    seen: dict[str, int] = {}
+    known = _BY_WORD.get
+    for w in words:
+        langs = known(w)
+        if langs is not None:
+            for lang in langs:
+                if lang != "ru":
+                    out[lang] = out.get(lang, 0) + 1
+        if w >= "\u0370":
+            cp = ord(w[0])
+            for low, high, name in SCRIPTS:
+                if low <= cp <= high:
+                    seen[name] = seen.get(name, 0) + len(w)
+                    break
+    if seen:
         if "kana" in seen:
             seen["ja"] = seen.pop("kana") + seen.pop("han", 0)
         elif "han" in seen:
             seen["zh"] = seen.pop("han")
         for k, v in seen.items():
-            out[k] = v * (_WEIGHT.get("han", 1) if k in ("zh", "ja") else 1) / 4
-    for w in letters:
-        for lang in _BY_WORD.get(w, ()):
-            if lang != "ru":
-                out[lang] = out.get(lang, 0) + 1
+            out[k] = v * (0.75 if k in ("zh", "ja") else 0.25)
     return out
 
 
+def votes(text: str) -> dict[str, float]:
+    return votes_of(_LETTERS.findall(text.casefold()))
+
+
 def vote(text: str | None) -> str:
     """The language with most votes; '' without any."""
-    if not text:
-        return ""
-    v = votes(text)
+    v = votes(text) if text else None
     return max(v, key=lambda k: (v[k], k)) if v else ""
