@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.functions import fixed, text
+from tracemill.operators import motifs as M
+from tracemill.operators import pairs as P
+from tracemill.operators import quality as Q
+from tracemill.operators import select as B
+from tracemill.operators import stats as X
 from tracemill.operators import traces as T
 from tracemill.plans import sqltext as S
 
@@ -55,3 +61,235 @@ def live_dead_steps(spark, d):
 @query(S.RECURSIVE + " select problem_id, rollout_id, trace_id, step_type, count(*) as total, count(*) filter (not is_live) as dead, count(*) filter (not is_live)::double / count(*) as ratio from ls group by all")
 def typed_dsr(spark, d):
     return T.typed_dsr(T.parsed(spark, d))
+
+
+# Motifs, dead-step quality, pairs.
+
+
+def _m(sql: str) -> str:
+    return "with recursive " + S.MOTIFS + " " + sql
+
+
+def _q(sql: str) -> str:
+    return "with recursive " + S.QUALITY + " " + sql
+
+
+@query(_m("select problem_id, rollout_id, trace_id, motif_seq, motif_type, first_id, length, severity, first_id - 1 as context_before_id, case when first_id + length < num_steps then first_id + length else -1 end as context_after_id from mo join agg using (rollout_id, trace_id)"))
+def motifs_all(spark, d):
+    return M.motifs(T.parsed(spark, d))
+
+
+def _motifs_of(kind: str):
+    def f(spark, d):
+        return M.motifs(T.parsed(spark, d)).filter(F.col("motif_type") == kind).select(*T.KEYS, "first_id", "length", "severity")
+
+    return f
+
+
+for _name, _kind in (("dead_cascades", "dead_cascade"), ("verification_theater", "verification_theater"), ("abandoned_branches", "abandoned_branch"), ("circular_revisits", "circular_revisit")):
+    QUERIES[_name] = _motifs_of(_kind)
+    ORACLE[_name] = _m(f"select problem_id, rollout_id, trace_id, first_id, length, severity from mo where motif_type = '{_kind}'")
+
+
+@query(_m("select t.problem_id, t.rollout_id, t.trace_id, count(motif_type) as num_motifs, coalesce(sum(length), 0)::int as wasted_steps, case when count(motif_type) > 0 then round(sum(severity) / count(motif_type), 6) else 0.0 end as mean_severity, " + ", ".join(f"count(*) filter (motif_type = '{k}') as {k}" for k in M.TYPES) + " from t left join mo using (rollout_id, trace_id) group by all"))
+def motif_summary(spark, d):
+    return M.motif_summary(T.parsed(spark, d))
+
+
+@query(_q("select *, case quality " + " ".join(f"when '{k}' then {v}::double" for k, v in fixed.PENALTY.items()) + " end as penalty from qd"))
+def dead_step_quality(spark, d):
+    return Q.dead_steps(T.parsed(spark, d))
+
+
+@query(_q("select problem_id, rollout_id, trace_id, quality_reward, " + ", ".join(fixed.PENALTY) + " from qr"))
+def quality_reward(spark, d):
+    return Q.rewards(T.parsed(spark, d))
+
+
+def scored(spark, d):
+    """Every trace with its metrics, reward and answer features, in one narrow pass."""
+    p = T.parsed(spark, d)
+    w = Q.with_quality(p)
+    n = F.size("steps")
+    dead = n - F.size("live")
+    verif = F.filter("steps", lambda s: s["step_type"] == "verification")
+    kinds = {k: Q.count_of(k) for k in fixed.PENALTY}
+    cost = sum((c * F.lit(fixed.PENALTY[k]) for k, c in kinds.items()), F.lit(0.0))
+    live_v = F.size(F.filter(verif, lambda s: F.array_contains("live", s["id"])))
+    at = text.answer_position(F.col("solution"))
+    return w.select(
+        *T.KEYS,
+        "shard",
+        "is_correct",
+        "num_tokens",
+        "answer",
+        "ground_truth",
+        n.cast("bigint").alias("num_steps"),
+        dead.cast("bigint").alias("num_dead"),
+        F.when(n > 0, dead / n).otherwise(0.0).alias("dsr"),
+        F.when(n > 0, F.size(verif) / n).otherwise(0.0).alias("verification_density"),
+        F.when(n == 0, 0.0).when(F.size(verif) > 0, live_v / F.size(verif)).otherwise(1.0).alias("live_verification_rate"),
+        F.round(F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cost / n))).otherwise(1.0), 9).alias("quality_reward"),
+        F.when(at < 1.0, F.length("solution") * (1.0 - at)).otherwise(0.0).alias("post_answer_len"),
+        *[c.cast("bigint").alias(k) for k, c in kinds.items()],
+    )
+
+
+def _annotated(spark, d):
+    return T.annotate(T.parsed(spark, d))
+
+
+def _prepared(spark, d):
+    return P.prepare(T.parsed(spark, d))
+
+
+@query(S.RECURSIVE + " " + S.EFFICIENCY)
+def efficiency_pairs(spark, d):
+    return P.efficiency_pairs(_prepared(spark, d))
+
+
+@query(S.RECURSIVE + " " + S.PRODUCTIVE)
+def productive_pairs(spark, d):
+    return P.productive_pairs(_prepared(spark, d))
+
+
+@query(S.RECURSIVE + " " + S.DIRECTION)
+def direction_pairs(spark, d):
+    return P.direction_pairs(_prepared(spark, d))
+
+
+@query(_m(S.EXCISION))
+def excision_pairs(spark, d):
+    return P.excision_pairs(_prepared(spark, d))
+
+
+@query("with recursive " + S.FLAGS + " " + S.REPLACEMENT)
+def replacement_pairs(spark, d):
+    return P.replacement_pairs(_prepared(spark, d))
+
+
+@query("with recursive " + S.FLAGS + " " + S.CONTRAST)
+def contrast_pairs(spark, d):
+    return P.contrast_pairs(_prepared(spark, d))
+
+
+@query("with recursive " + S.FLAGS + " " + S.ALL_PAIRS)
+def all_pairs(spark, d):
+    return P.all_pairs(_prepared(spark, d))
+
+
+@query(_q("select quality, count(*) as n, round(count(*)::double / (select count(*) from ls), 6) as share_of_steps from qd group by quality"))
+def quality_distribution(spark, d):
+    s = scored(spark, d)
+    total = s.agg(F.sum("num_steps").alias("all_steps"), *[F.sum(k).alias(k) for k in fixed.PENALTY])
+    rows = total.select("all_steps", F.explode(F.array(*[F.struct(F.lit(k).alias("quality"), F.col(k).alias("n")) for k in fixed.PENALTY])).alias("r"))
+    return rows.filter("r.n > 0").select("r.quality", "r.n", F.round(F.col("r.n") / F.col("all_steps"), 6).alias("share_of_steps"))
+
+
+@query(_q("select round(avg(verification_theater::double / num_steps), 6) as mean_theater, round(max(verification_theater::double / num_steps), 6) as max_theater, round(avg((verification_theater > 0)::int), 6) as share_theater, round(avg(productive_dead_end::double / num_steps), 6) as mean_productive, round(avg((productive_dead_end > 0)::int), 6) as share_productive from qr where num_steps > 0"))
+def theater_prevalence(spark, d):
+    s = scored(spark, d).filter("num_steps > 0")
+    share = lambda k: F.col(k) / F.col("num_steps")
+    some = lambda k: F.round(F.avg((F.col(k) > 0).cast("double")), 6)
+    return s.agg(F.round(F.avg(share("verification_theater")), 6).alias("mean_theater"), F.round(F.max(share("verification_theater")), 6).alias("max_theater"), some("verification_theater").alias("share_theater"), F.round(F.avg(share("productive_dead_end")), 6).alias("mean_productive"), some("productive_dead_end").alias("share_productive"))
+
+
+# Best of N.
+
+_BEST = {"shortest": "is_correct desc, num_tokens", "longest": "is_correct desc, num_tokens desc", "anchor": "is_correct desc, post_answer_len", "dsr": "is_correct desc, dsr", "quality": "is_correct desc, quality_reward desc", "quality_any": "quality_reward desc"}
+
+
+def _best_of(selector: str):
+    def f(spark, d):
+        return B.best_of_n(scored(spark, d), selector).select("problem_id", "rollout_id", "trace_id", "is_correct")
+
+    return f
+
+
+def _best_sql(order: str) -> str:
+    return f"(select *, row_number() over (partition by problem_id order by {order}, rollout_id, trace_id) as k from qr)"
+
+
+for _name, _order in _BEST.items():
+    QUERIES[f"best_of_n_{_name}"] = _best_of(_name)
+    ORACLE[f"best_of_n_{_name}"] = _q(f"select problem_id, rollout_id, trace_id, is_correct from {_best_sql(_order)} where k = 1")
+
+_AVERAGES = "count(*) as problems, round(avg(is_correct::int::double), 6) as accuracy, round(avg(num_tokens), 6) as avg_tokens, round(avg(dsr), 6) as avg_dsr, round(avg(quality_reward), 6) as avg_quality, round(avg(num_steps), 6) as avg_steps"
+
+
+@query(_q(" union all ".join(f"select '{n}' as selector, {_AVERAGES} from {_best_sql(o)} where k = 1" for n, o in _BEST.items()) + f" union all select 'random', {_AVERAGES.replace('is_correct::int::double', 'is_correct')} from (select problem_id, avg(is_correct::int::double) as is_correct, avg(num_tokens) as num_tokens, avg(dsr) as dsr, avg(quality_reward) as quality_reward, avg(num_steps) as num_steps from qr group by 1)"))
+def best_of_n_table(spark, d):
+    from tracemill.session import materialize
+
+    return B.table_of_selectors(materialize(scored(spark, d)))
+
+
+@query(S.ROWS + " select count(*) as problems, sum(n) as traces, round(avg((c > 0)::int), 6) as pass_at_k, round(sum(c)::double / sum(n), 6) as accuracy from (select problem_id, count(*) as n, count(*) filter (is_correct) as c from t group by 1)")
+def pass_at_k(spark, d):
+    g = T.traces(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"))
+    return g.agg(F.count("*").alias("problems"), F.sum("n").alias("traces"), F.round(F.avg((F.col("c") > 0).cast("double")), 6).alias("pass_at_k"), F.round(F.sum("c") / F.sum("n"), 6).alias("accuracy"))
+
+
+# Groups of problems.
+
+_CAT = "(select problem_id, count(*) as n, count(*) filter (is_correct) as n_correct from {0} group by 1)"
+
+
+@query(S.ROWS + " select problem_id, n, n_correct, case when n_correct = n then 'saturated' when n_correct > 0 then 'partial' else 'all_incorrect' end as category from " + _CAT.format("t"))
+def problem_categories(spark, d):
+    return X.categories(T.traces(spark, d))
+
+
+_VAR = """(select problem_id, count(*) as n, count(*) filter (is_correct) as n_correct, var_pop(is_correct::int::double) as outcome_var, var_pop(case when is_correct then 1 - dsr end) as struct_var,
+   max(case when is_correct then dsr end) - min(case when is_correct then dsr end) as dsr_range, var_pop(case when is_correct then live_verification_rate end) as lvr_var from ann group by 1 having count(*) filter (is_correct) >= 2)"""
+_VARS = "select case when n_correct = n then 'saturated' else 'partial' end as category, count(*) as problems, round(avg(outcome_var), 6) as mean_outcome_var, round(avg(struct_var), 6) as mean_struct_var, round(median(struct_var), 6) as median_struct_var, round(avg(dsr_range), 6) as mean_dsr_range, round(avg(lvr_var), 6) as mean_lvr_var, round(avg((struct_var > 0.001)::int), 6) as share_nonzero from " + _VAR + " group by 1"
+
+
+@query(S.RECURSIVE + " " + _VARS)
+def variance_by_category(spark, d):
+    return X.variance_by_category(_annotated(spark, d))
+
+
+@query(S.RECURSIVE + f" select saturated_var, partial_var, round(saturated_var / partial_var, 6) as preservation, case when saturated_var / partial_var > 0.5 then 'strong' when saturated_var / partial_var > 0.1 then 'moderate' else 'weak' end as label from (select max(case when category = 'saturated' then mean_struct_var end) as saturated_var, max(case when category = 'partial' then mean_struct_var end) as partial_var from ({_VARS}))")
+def signal_preservation(spark, d):
+    return X.signal_preservation(_annotated(spark, d))
+
+
+_DSR_EDGES, _DSR_LABELS = [1e-12, 0.1, 0.2, 0.3, 0.4, 0.5], ["zero", "under_10", "under_20", "under_30", "under_40", "under_50", "rest"]
+
+
+def _case(value: str, edges: list[float], labels: list[str]) -> str:
+    return "case " + " ".join(f"when {value} < {e!r}::double then '{x}'" for e, x in zip(edges, labels)) + f" else '{labels[-1]}' end"
+
+
+@query(S.RECURSIVE + f" select x.bucket, count(a.problem_id) as n from (select unnest({_DSR_LABELS!r}) as bucket) x left join ann a on x.bucket = {_case('a.dsr', _DSR_EDGES, _DSR_LABELS)} group by 1")
+def dsr_histogram(spark, d):
+    return X.filled(_annotated(spark, d).select(X.buckets(F.col("dsr"), _DSR_EDGES, _DSR_LABELS).alias("bucket")), "bucket", _DSR_LABELS)
+
+
+_RANGE_EDGES, _RANGE_LABELS = [0.05, 0.1, 0.15, 0.2, 0.3, 0.5], ["r00", "r05", "r10", "r15", "r20", "r30", "r50"]
+
+
+@query(S.RECURSIVE + f" select x.bucket, count(a.problem_id) as n from (select unnest({_RANGE_LABELS!r}) as bucket) x left join {_VAR} a on x.bucket = {_case('a.dsr_range', _RANGE_EDGES, _RANGE_LABELS)} group by 1")
+def dsr_range_histogram(spark, d):
+    a = _annotated(spark, d).filter("is_correct").groupBy("problem_id").agg((F.max("dsr") - F.min("dsr")).alias("dsr_range"), F.count("*").alias("c")).filter("c >= 2")
+    return X.filled(a.select(X.buckets(F.col("dsr_range"), _RANGE_EDGES, _RANGE_LABELS).alias("bucket")), "bucket", _RANGE_LABELS)
+
+
+@query(S.RECURSIVE + " select round(corr(dsr, is_correct::int::double), 6) as r, count(*) as n from ann where num_steps > 0")
+def dsr_correctness_corr(spark, d):
+    return _annotated(spark, d).filter("num_steps > 0").agg(F.round(F.corr("dsr", F.col("is_correct").cast("double")), 6).alias("r"), F.count("*").alias("n"))
+
+
+@query(_q("select problem_id, round(v, 6) as dsr_var, n from (select problem_id, var_pop(dsr) as v, count(*) as n from qr group by 1 having count(*) = count(*) filter (is_correct)) order by round(v, 6) desc, problem_id limit 10"))
+def top_variance_problems(spark, d):
+    """The ten saturated problems whose dead-step ratios differ most."""
+    g = _annotated(spark, d).groupBy("problem_id").agg(F.round(F.var_pop("dsr"), 6).alias("dsr_var"), F.count("*").alias("n"), F.count_if("is_correct").alias("c")).filter("n = c").drop("c")
+    return g.orderBy(F.desc("dsr_var"), "problem_id").limit(10)
+
+
+@query(_q("select category, count(*) as problems, round(avg(qv), 6) as mean_quality_var, round(avg(dv), 6) as mean_dsr_var from (select problem_id, case when count(*) = count(*) filter (is_correct) then 'saturated' else 'partial' end as category, var_pop(case when is_correct then quality_reward end) as qv, var_pop(case when is_correct then dsr end) as dv from qr group by 1 having count(*) filter (is_correct) >= 2) group by 1"))
+def quality_variance(spark, d):
+    right = F.col("is_correct")
+    g = scored(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), F.var_pop(F.when(right, F.col("quality_reward"))).alias("qv"), F.var_pop(F.when(right, F.col("dsr"))).alias("dv")).filter("c >= 2")
+    return g.groupBy(F.when(F.col("n") == F.col("c"), "saturated").otherwise("partial").alias("category")).agg(F.count("*").alias("problems"), F.round(F.avg("qv"), 6).alias("mean_quality_var"), F.round(F.avg("dv"), 6).alias("mean_dsr_var"))

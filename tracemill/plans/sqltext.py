@@ -74,3 +74,91 @@ ann as materialized (select t.problem_id, t.rollout_id, t.trace_id, t.is_correct
 RECURSIVE = "with recursive " + GRAPH
 PLAIN = "with " + STEPS
 ROWS = "with " + TRACES
+
+MOTIFS = (
+    GRAPH
+    + """,
+d0 as (select *, step_id - row_number() over (partition by rollout_id, trace_id order by step_id) as isle from ls where not is_live),
+th0 as (select *, step_id - row_number() over (partition by rollout_id, trace_id order by step_id) as isle from ls where not is_live and step_type = 'verification'
+   and not exists (select 1 from e join live l on l.rollout_id = e.rollout_id and l.trace_id = e.trace_id and l.step_id = e.src where e.rollout_id = ls.rollout_id and e.trace_id = ls.trace_id and e.dst = ls.step_id)),
+b0 as (select *, sum((is_live or step_type = 'exploration')::int) over (partition by rollout_id, trace_id order by step_id) as isle from ls),
+motifs as materialized (
+   select problem_id, rollout_id, trace_id, 'dead_cascade' as motif_type, 0 as type_rank, min(step_id) as first_id, count(*)::int as length, least(1.0, count(*)::double / 10) as severity from d0 group by problem_id, rollout_id, trace_id, isle having count(*) >= 3
+   union all select problem_id, rollout_id, trace_id, 'verification_theater', 1, min(step_id), count(*)::int, 0.8::double from th0 group by problem_id, rollout_id, trace_id, isle
+   union all select problem_id, rollout_id, trace_id, 'abandoned_branch', 2, min(step_id), count(*)::int, least(1.0, count(*)::double / 8) from b0 group by problem_id, rollout_id, trace_id, isle having count(*) >= 2 and bool_or(not is_live and step_type = 'exploration')
+   union all select problem_id, rollout_id, trace_id, 'circular_revisit', 3, step_id, 1, 0.6::double from ls a where not is_live and step_type in ('derivation', 'computation') and len(sym) >= 2
+     and exists (select 1 from ls b where b.rollout_id = a.rollout_id and b.trace_id = a.trace_id and b.is_live and b.step_id < a.step_id and len(list_intersect(a.sym, b.sym))::double / len(a.sym) >= 0.6)),
+mo as materialized (select *, row_number() over (partition by rollout_id, trace_id order by first_id, type_rank, length, severity) - 1 as motif_seq from motifs)"""
+)
+
+QUALITY = (
+    GRAPH
+    + """,
+qd as materialized (select a.problem_id, a.rollout_id, a.trace_id, a.step_id, a.step_type,
+   case when step_type = 'verification' then
+          case when exists (select 1 from e where e.rollout_id = a.rollout_id and e.trace_id = a.trace_id and e.dst = a.step_id) then
+                 case when exists (select 1 from e join live l on l.rollout_id = e.rollout_id and l.trace_id = e.trace_id and l.step_id = e.src where e.rollout_id = a.rollout_id and e.trace_id = a.trace_id and e.dst = a.step_id) then 'redundant_verification' else 'verification_theater' end
+               when step_id > 0 and not exists (select 1 from live l where l.rollout_id = a.rollout_id and l.trace_id = a.trace_id and l.step_id = a.step_id - 1) then 'verification_theater' else 'redundant_verification' end
+        when step_type in ('computation', 'derivation') and len(sym) > 0 and exists (select 1 from ls b where b.rollout_id = a.rollout_id and b.trace_id = a.trace_id and b.is_live and len(b.sym) > 0
+             and len(list_intersect(a.sym, b.sym))::double / (len(a.sym) + len(b.sym) - len(list_intersect(a.sym, b.sym))) >= 0.6) then 'circular_revisit'
+        when step_type in ('exploration', 'derivation', 'computation') and len(sym) > 0 and exists (select 1 from ls b where b.rollout_id = a.rollout_id and b.trace_id = a.trace_id and b.is_live and b.step_id > a.step_id and len(list_intersect(a.sym, b.sym)) >= 2) then 'productive_dead_end'
+        when step_type = 'exploration' then 'wasteful_exploration' when step_type = 'correction' then 'failed_correction' when step_type = 'computation' then 'abandoned_computation' else 'generic_dead' end as quality
+   from ls a where not is_live),
+qc as (select t.problem_id, t.rollout_id, t.trace_id, """
+    + ", ".join(f"count(*) filter (quality = '{k}') as {k}" for k in fixed.PENALTY)
+    + """ from t left join qd using (rollout_id, trace_id) group by all),
+qr as materialized (select a.*, """
+    + ", ".join(fixed.PENALTY)
+    + ", case when num_steps = 0 then 1.0 else round(greatest(0.0, least(1.0, 1.0 - (0.0::double + "
+    + " + ".join(f"{k} * {v}::double" for k, v in fixed.PENALTY.items())
+    + """) / num_steps)), 9) end as quality_reward, case when instr(solution, '\\boxed{') > 0 then length(solution) * (1.0::double - (instr(solution, '\\boxed{') - 1)::double / length(solution)) else 0.0 end as post_answer_len, answer, ground_truth, solution, shard
+   from ann a join qc using (problem_id, rollout_id, trace_id) join t using (problem_id, rollout_id, trace_id))"""
+)
+
+
+def capped(chosen: str, rejected: str, kind: str, source: str = "ann", k: int = 3) -> str:
+    return f"""select problem_id, chosen_rollout_id, chosen_trace_id, chosen_dsr, chosen_correct, rejected_rollout_id, rejected_trace_id, rejected_dsr, rejected_correct, '{kind}' as pair_type from (
+   select c.problem_id, c.rollout_id as chosen_rollout_id, c.trace_id as chosen_trace_id, c.dsr as chosen_dsr, c.is_correct as chosen_correct, r.rollout_id as rejected_rollout_id, r.trace_id as rejected_trace_id, r.dsr as rejected_dsr, r.is_correct as rejected_correct,
+     row_number() over (partition by c.problem_id order by c.rollout_id, c.trace_id, r.rollout_id, r.trace_id) as k
+   from {source} c join {source} r on c.problem_id = r.problem_id where ({chosen}) and ({rejected})) where k <= {k}"""
+
+
+EFFICIENCY = capped("c.is_correct and c.dsr < 0.15::double", "r.is_correct and r.dsr > 0.35::double", "efficiency")
+PRODUCTIVE = capped("c.is_correct and c.verification_density > 0 and c.live_verification_rate >= 0.8::double", "r.is_correct and r.verification_density > 0 and r.live_verification_rate <= 0.3::double", "productive_exploration")
+DIRECTION = capped("c.is_correct and c.dsr < 0.3::double", "not r.is_correct and r.dsr > 0.3::double", "direction")
+
+FLAGS = (
+    MOTIFS
+    + """,
+fl as materialized (select a.problem_id, a.rollout_id, a.trace_id, a.is_correct, a.dsr, coalesce(max(severity), 0.0) as worst, """
+    + ", ".join(f"coalesce(bool_or(motif_type = '{k}'), false) as has_{k}" for k in ("dead_cascade", "verification_theater", "abandoned_branch"))
+    + """ from ann a left join motifs m using (rollout_id, trace_id) where a.is_correct group by all)"""
+)
+
+EXCISION = """select problem_id, rollout_id, trace_id, motif_type, first_id, chosen_solution, 0.0::double as chosen_dsr, dsr as rejected_dsr from (
+   select *, row_number() over (partition by rollout_id, trace_id order by severity desc, motif_seq) as k from (
+     select m.problem_id, m.rollout_id, m.trace_id, m.motif_type, m.first_id, m.severity, m.motif_seq, a.dsr, t.solution,
+       (select string_agg(content, E'\\n\\n' order by step_id) from s where s.rollout_id = m.rollout_id and s.trace_id = m.trace_id and (s.step_id < m.first_id or s.step_id >= m.first_id + m.length)) as chosen_solution
+     from mo m join ann a using (rollout_id, trace_id) join t using (rollout_id, trace_id) where a.is_correct and m.severity >= 0.5 and m.length >= 3)
+   where length(chosen_solution) < length(solution) * 0.95::double and length(chosen_solution) >= 50) where k <= 2"""
+
+REPLACEMENT = """select c.problem_id, c.rollout_id as chosen_rollout_id, c.trace_id as chosen_trace_id, c.dsr as chosen_dsr, true as chosen_correct, r.rollout_id as rejected_rollout_id, r.trace_id as rejected_trace_id, r.dsr as rejected_dsr, true as rejected_correct, 'contrastive_replacement' as pair_type from
+   (select * from (select *, row_number() over (partition by problem_id order by dsr, rollout_id, trace_id) as k from fl where worst < 0.3::double) where k = 1) c join
+   (select * from (select *, row_number() over (partition by problem_id order by rollout_id, trace_id) as k from fl where worst >= 0.5) where k <= 3) r using (problem_id)"""
+
+
+def contrast(kind: str) -> str:
+    return f"""select problem_id, chosen_rollout_id, chosen_trace_id, chosen_dsr, true as chosen_correct, rejected_rollout_id, rejected_trace_id, rejected_dsr, true as rejected_correct, 'contrastive_{kind}' as pair_type from (
+   select c.problem_id, c.rollout_id as chosen_rollout_id, c.trace_id as chosen_trace_id, c.dsr as chosen_dsr, r.rollout_id as rejected_rollout_id, r.trace_id as rejected_trace_id, r.dsr as rejected_dsr,
+     row_number() over (partition by c.problem_id order by r.dsr desc, r.rollout_id, r.trace_id, c.dsr, c.rollout_id, c.trace_id) as k
+   from fl c join fl r using (problem_id) where not c.has_{kind} and r.has_{kind} and r.dsr - c.dsr >= 0.05::double) where k <= 3"""
+
+
+CONTRAST = " union all ".join(contrast(k) for k in ("dead_cascade", "verification_theater", "abandoned_branch"))
+ALL_PAIRS = (
+    "select * from ("
+    + " union all by name ".join(
+        [EFFICIENCY, PRODUCTIVE, DIRECTION, REPLACEMENT, *[contrast(k) for k in ("dead_cascade", "verification_theater", "abandoned_branch")], f"select problem_id, rollout_id as chosen_rollout_id, trace_id as chosen_trace_id, chosen_dsr, true as chosen_correct, rollout_id as rejected_rollout_id, trace_id as rejected_trace_id, rejected_dsr, true as rejected_correct, 'contrastive_excision' as pair_type from ({EXCISION})"]
+    )
+    + ")"
+)
