@@ -96,8 +96,8 @@ def boxed_answer(text: Column) -> Column:
 def normalize_answer(answer: Column) -> Column:
     """An answer for comparison: wrappers, units, signs of currency and base, separators and blanks removed, fractions and roots braced. The order of the steps is part of the result."""
     a = trim_all(answer)
-    for prefix in ("\\text{", "\\mathrm{", "\\mathbf{", "\\mbox{"):
-        a = F.when(F.startswith(a, F.lit(prefix)) & F.endswith(a, F.lit("}")), F.substring(a, F.lit(len(prefix) + 1), F.length(a) - len(prefix) - 1)).otherwise(a)
+    for wrapper in ("text", "mathrm", "mathbf", "mbox"):
+        a = F.regexp_replace(a, r"(?s)^\\" + wrapper + r"\{(.*)\}\z", "$1")
     drop = lambda c, s: F.replace(c, F.lit(s), F.lit(""))
     a = drop(a, "^\\circ")
     a = F.regexp_replace(a, r"\\(?:text|mbox|mathrm)\{[^}]*\}", "")
@@ -109,7 +109,7 @@ def normalize_answer(answer: Column) -> Column:
     a = F.regexp_replace(a, r"\\frac\s*([0-9a-zA-Z])\s*([0-9a-zA-Z])", r"\\frac{$1}{$2}")
     a = F.regexp_replace(a, r"\\sqrt\s*([0-9]+)", r"\\sqrt{$1}")
     a = drop(drop(a, "\\left"), "\\right")
-    a = F.when(F.startswith(a, F.lit(".")), F.concat(F.lit("0"), a)).otherwise(a)
+    a = F.regexp_replace(a, r"^\.", "0.")
     a = drop(drop(a, ",\\!"), ",")
     return F.regexp_replace(F.regexp_replace(a, r"\s+", ""), r"\.+$", "")
 
@@ -124,12 +124,17 @@ def correct(predicted: Column, truth: Column, lenient: bool = False) -> Column:
     return F.coalesce(same, F.lit(False))
 
 
-def numeric_answer(answer: Column) -> Column:
-    """An answer as a number where it is one, else as lower-case text: both as text for comparison."""
-    a = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"[$,]", ""), r"\.+$", "")
-    a = F.regexp_replace(a, r"\\(?:text|mathrm|mathbf)\{([^}]*)\}", "$1")
-    a = F.regexp_replace(a, r"\s+", "")
-    return F.coalesce(a.try_cast("double").cast("string"), F.lower(a))
+def _bare_number(answer: Column) -> Column:
+    a = F.regexp_replace(F.regexp_replace(trim_all(F.coalesce(answer, F.lit(""))), r"[$,]", ""), r"\.+$", "")
+    a = F.regexp_replace(a, r"\\(?:text|mathrm|mathbf|mathit|textbf)\{([^}]*)\}", "$1")
+    return F.regexp_replace(a, r"\s+", "")
+
+
+def numeric_equal(predicted: Column, truth: Column) -> Column:
+    """Whether two answers are the same number, or the same text where one is no number; two empty answers are equal."""
+    p, t = _bare_number(predicted), _bare_number(truth)
+    x, y = p.try_cast("double"), t.try_cast("double")
+    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(F.lower(p) == F.lower(t))
 
 
 def light_answer(answer: Column) -> Column:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
+from tracemill.operators import evals as E
 from tracemill.operators import motifs as M
 from tracemill.operators import pairs as P
+from tracemill.operators import prefixes as N
 from tracemill.operators import quality as Q
+from tracemill.operators import rir as R
 from tracemill.operators import select as B
 from tracemill.operators import stats as X
 from tracemill.operators import traces as T
 from tracemill.plans import sqltext as S
+from tracemill.session import materialize, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -219,8 +223,6 @@ _AVERAGES = "count(*) as problems, round(avg(is_correct::int::double), 6) as acc
 
 @query(_q(" union all ".join(f"select '{n}' as selector, {_AVERAGES} from {_best_sql(o)} where k = 1" for n, o in _BEST.items()) + f" union all select 'random', {_AVERAGES.replace('is_correct::int::double', 'is_correct')} from (select problem_id, avg(is_correct::int::double) as is_correct, avg(num_tokens) as num_tokens, avg(dsr) as dsr, avg(quality_reward) as quality_reward, avg(num_steps) as num_steps from qr group by 1)"))
 def best_of_n_table(spark, d):
-    from tracemill.session import materialize
-
     return B.table_of_selectors(materialize(scored(spark, d)))
 
 
@@ -293,3 +295,497 @@ def quality_variance(spark, d):
     right = F.col("is_correct")
     g = scored(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), F.var_pop(F.when(right, F.col("quality_reward"))).alias("qv"), F.var_pop(F.when(right, F.col("dsr"))).alias("dv")).filter("c >= 2")
     return g.groupBy(F.when(F.col("n") == F.col("c"), "saturated").otherwise("partial").alias("category")).agg(F.count("*").alias("problems"), F.round(F.avg("qv"), 6).alias("mean_quality_var"), F.round(F.avg("dv"), 6).alias("mean_dsr_var"))
+
+
+# Answers and texts.
+
+
+def _boxed_sql(x: str) -> str:
+    tokens = f"""list_transform(regexp_extract_all({x}, '(?s)(\\\\boxed\\{{|\\{{|\\}}|[^{{}}\\\\]+|\\\\)'), lambda z: {{'depth': 0, 'open': '', 'last': '', 'tok': z}})"""
+    step = """lambda acc, z: case
+        when acc.depth = 0 then case when z.tok = '\\boxed{' then {'depth': 1, 'open': '', 'last': acc.last, 'tok': ''} else acc end
+        when z.tok = '}' and acc.depth = 1 then {'depth': 0, 'open': '', 'last': acc.open, 'tok': ''}
+        else {'depth': acc.depth + case when z.tok in ('{', '\\boxed{') then 1 when z.tok = '}' then -1 else 0 end, 'open': acc.open || z.tok, 'last': acc.last, 'tok': ''} end"""
+    return S.trim(f"(list_reduce({tokens}, {step}, {{'depth': 0, 'open': '', 'last': '', 'tok': ''}})).last")
+
+
+@query(S.ROWS + f" select problem_id, rollout_id, trace_id, {_boxed_sql('solution')} as boxed from t")
+def boxed_answers(spark, d):
+    return T.traces(spark, d).select(*T.KEYS, text.boxed_answer(F.col("solution")).alias("boxed"))
+
+
+def _normal_sql(x: str) -> str:
+    a = S.trim(x)
+    for p in ("\\text{", "\\mathrm{", "\\mathbf{", "\\mbox{"):
+        a = f"(select case when starts_with(v, '{p}') and ends_with(v, '}}') then substr(v, {len(p) + 1}, length(v) - {len(p) + 1}) else v end from (select {a} as v))"
+    a = f"replace({a}, '^\\circ', '')"
+    a = f"regexp_replace({a}, {S.q(r'\\(?:text|mbox|mathrm)\{[^}]*\}')}, '', 'g')"
+    a = f"replace(replace({a}, '\\$', ''), '$', '')"
+    a = f"regexp_replace({a}, {S.q(r'_\{?\d+\}?$')}, '')"
+    a = f"regexp_replace({a}, {S.q(r'^[a-zA-Z]\s*[=∈]\s*')}, '')"
+    a = f"replace(replace({a}, '\\in', ''), '\\dfrac', '\\frac')"
+    a = f"regexp_replace({a}, {S.q(r'\\frac\s*([0-9a-zA-Z])\s*([0-9a-zA-Z])')}, {S.q(r'\\frac{\1}{\2}')}, 'g')"
+    a = f"regexp_replace({a}, {S.q(r'\\sqrt\s*([0-9]+)')}, {S.q(r'\\sqrt{\1}')}, 'g')"
+    a = f"replace(replace({a}, '\\left', ''), '\\right', '')"
+    a = f"(select case when starts_with(v, '.') then '0' || v else v end from (select {a} as v))"
+    a = f"replace(replace({a}, ',\\!', ''), ',', '')"
+    return f"regexp_replace(regexp_replace({a}, '\\s+', '', 'g'), '\\.+$', '')"
+
+
+@query(S.ROWS + f" select problem_id, rollout_id, trace_id, {_normal_sql('answer')} as answer_norm, {_normal_sql('ground_truth')} as truth_norm from t")
+def normalized_answers(spark, d):
+    return T.traces(spark, d).select(*T.KEYS, text.normalize_answer(F.col("answer")).alias("answer_norm"), text.normalize_answer(F.col("ground_truth")).alias("truth_norm"))
+
+
+@query(S.ROWS + f" select problem_id, rollout_id, trace_id, a <> '' and a = g as correct from (select problem_id, rollout_id, trace_id, {_normal_sql('answer')} as a, {_normal_sql('ground_truth')} as g from t)")
+def correctness(spark, d):
+    return T.traces(spark, d).select(*T.KEYS, text.correct(F.col("answer"), F.col("ground_truth")).alias("correct"))
+
+
+def _numeric_sql(x: str) -> str:
+    a = f"regexp_replace(regexp_replace({S.trim(x)}, '[$,]', '', 'g'), '\\.+$', '')"
+    a = f"regexp_replace(regexp_replace({a}, {S.q(r'\\(?:text|mathrm|mathbf|mathit|textbf)\{([^}]*)\}')}, '\\1', 'g'), '\\s+', '', 'g')"
+    return a
+
+
+@query(S.ROWS + f" select problem_id, rollout_id, trace_id, case when try_cast(a as double) is not null and try_cast(g as double) is not null then try_cast(a as double) = try_cast(g as double) else lower(a) = lower(g) end as correct from (select problem_id, rollout_id, trace_id, {_numeric_sql('answer')} as a, {_numeric_sql('ground_truth')} as g from t)")
+def numeric_correctness(spark, d):
+    return T.traces(spark, d).select(*T.KEYS, text.numeric_equal(F.col("answer"), F.col("ground_truth")).alias("correct"))
+
+
+@query("with p as (select problem_id, min(answer) as answer from problems where answer is not null group by 1) select problem_id, coalesce(nullif(concat_ws(' ', case when regexp_matches(answer, '^\\d+$') then 'The answer is a positive integer.' when contains(answer, '/') or contains(answer, 'frac') then 'The answer is a fraction.' when contains(answer, '.') then 'The answer is a decimal number.' end, case when v < 0 then 'The answer is negative.' when v < 10 then 'The answer is a small number (single digit).' when v < 100 then 'The answer is a two-digit number.' when v < 1000 then 'The answer is a three-digit number.' end), ''), 'Think carefully about this problem step by step.') as hint from (select *, try_cast(replace(answer, ',', '') as double) as v from p)")
+def answer_hints(spark, d):
+    p = table(spark, d, "problems").filter("answer is not null").groupBy("problem_id").agg(F.min("answer").alias("answer"))
+    return p.select("problem_id", text.answer_hint(F.col("answer")).alias("hint"))
+
+
+def _any(x: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, {S.q(w)})" for w in words) + ")"
+
+
+_HINT = (
+    S.ROWS
+    + f""", hp as (select problem_id, rollout_id, trace_id, list_filter(list_transform(flatten(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(solution, {S.q(r'(?s)\[asy\].*?\[/asy\]')}, '', 'g'), '([.!?])\\s+([A-Z])', E'\\\\1\\x01\\\\2', 'g'), E'\\x01'), lambda x: string_split(x, E'\\n\\n'))), lambda x: {S.trim('x')}), lambda x: x <> '') as parts from t),
+hs as (select problem_id, rollout_id, trace_id, parts, unnest(range(len(parts))) as i from hp),
+hc as (select problem_id, rollout_id, trace_id, i, parts[i + 1] as part, lower(parts[i + 1]) as low from hs),
+hr as (select *, case when {_any('part', fixed.HINT_MATH)} then 2 else 0 end + case when {_any('low', fixed.HINT_TECHNIQUE)} then 3 else 0 end - case when {_any('low', fixed.HINT_RESTATEMENT)} then 5 else 0 end - case when length(part) > 500 then 1 else 0 end - case when length(part) < 40 then 1 else 0 end as score from hc),
+hb as (select *, row_number() over (partition by rollout_id, trace_id order by score desc, i) as k from hr where length(part) >= 20 and not contains(part, '\\boxed{{')),
+hf as (select *, row_number() over (partition by rollout_id, trace_id order by i) as k from hr where length(part) > 40 and not contains(part, '\\boxed{{'))
+select t.problem_id, t.rollout_id, t.trace_id, case when hb.score > 0 then 'Key approach: ' || substr(hb.part, 1, 250) || case when length(hb.part) > 250 then '...' else '' end when hf.part is not null then 'Consider: ' || substr(hf.part, 1, 200) else {S.q(fixed.HINT_DEFAULT)} end as hint
+from t left join hb on hb.rollout_id = t.rollout_id and hb.trace_id = t.trace_id and hb.k = 1 left join hf on hf.rollout_id = t.rollout_id and hf.trace_id = t.trace_id and hf.k = 1"""
+)
+
+
+@query(_HINT)
+def key_step_hints(spark, d):
+    return T.traces(spark, d).select(*T.KEYS, text.key_step_hint(F.col("solution")).alias("hint"))
+
+
+_COUNTS = ", ".join(f"len(regexp_extract_all(lower(solution), {S.q(p)}))::bigint as {k}" for k, p in fixed.COUNTED.items())
+
+
+@query(S.ROWS + f" select problem_id, rollout_id, trace_id, {_COUNTS} from t")
+def pattern_counts(spark, d):
+    t = T.traces(spark, d).withColumn("low", F.lower("solution"))
+    return t.select(*T.KEYS, *[F.regexp_count("low", F.lit(p)).cast("bigint").alias(k) for k, p in fixed.COUNTED.items()])
+
+
+def _rank_any(names: list[str]) -> str:
+    return "(" + " or ".join(f"regexp_matches(low, {S.q(fixed.COUNTED[k])})" for k in names) + ")"
+
+
+_PRIORITY = f"case when {_rank_any(fixed.COUNTED_VERIFICATION)} then 'verification' when {_rank_any(fixed.COUNTED_CORRECTION)} then 'correction' when {_rank_any(fixed.COUNTED_EXPLORATION)} then 'exploration' when contains(content, '\\boxed{{') then 'conclusion' else 'derivation' end"
+
+
+@query(S.PLAIN + f" select problem_id, rollout_id, trace_id, step_id, {_PRIORITY} as phase from s1")
+def segment_priority(spark, d):
+    seg = F.transform(text.segments(F.col("solution")), lambda x, i: F.struct(i.alias("step_id"), text.priority_type(x).alias("phase")))
+    return T.traces(spark, d).select(*T.KEYS, F.explode(seg).alias("s")).select(*T.KEYS, "s.*")
+
+
+@query("select doc_id, i::int as segment, seg[i + 1] as content from (select doc_id, seg, unnest(range(len(seg))) as i from (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\n+'), lambda x: " + S.trim("x") + "), lambda x: x <> '') as seg from documents))")
+def raw_text_segments(spark, d):
+    seg = F.transform(text.segments(F.col("text")), lambda x, i: F.struct(i.alias("segment"), x.alias("content")))
+    return table(spark, d, "documents").select("doc_id", F.explode(seg).alias("s")).select("doc_id", "s.*")
+
+
+# Rollouts and shards.
+
+
+@query(S.ROWS + " select count(*) as traces, count(*) filter (is_correct) as correct, count(distinct problem_id) as problems, count(distinct case when is_correct then problem_id end) as solved, round(avg(num_tokens), 6) as avg_tokens, count(*) filter (num_tokens is null) as untold from t")
+def rollout_summary(spark, d):
+    return T.traces(spark, d).agg(F.count("*").alias("traces"), F.count_if("is_correct").alias("correct"), F.countDistinct("problem_id").alias("problems"), F.countDistinct(F.when(F.col("is_correct"), F.col("problem_id"))).alias("solved"), F.round(F.avg("num_tokens"), 6).alias("avg_tokens"), F.count_if(F.col("num_tokens").isNull()).alias("untold"))
+
+
+@query(S.ROWS + " select shard, count(*) as problems, sum(n)::bigint as traces, sum(c)::bigint as correct, round(avg((c > 0)::int), 6) as pass_at_k from (select shard, problem_id, count(*) as n, count(*) filter (is_correct) as c from t group by 1, 2) group by 1")
+def shard_merge_pass_at_k(spark, d):
+    g = T.traces(spark, d).groupBy("shard", "problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"))
+    return g.groupBy("shard").agg(F.count("*").alias("problems"), F.sum("n").alias("traces"), F.sum("c").alias("correct"), F.round(F.avg((F.col("c") > 0).cast("double")), 6).alias("pass_at_k"))
+
+
+@query("select problem_id, count(*) as n, count(distinct shard) as shards from problems_runs group by 1 having count(*) > 1 order by problem_id".replace("problems_runs", "(select distinct rollout_id, problem_id, shard from rollouts)"))
+def duplicate_problem_ids(spark, d):
+    """Problems that came in more than one rollout, by name as text."""
+    r = table(spark, d, "rollouts").select("rollout_id", "problem_id", "shard").distinct()
+    return r.groupBy("problem_id").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).filter("n > 1").orderBy("problem_id")
+
+
+@query(S.PLAIN + " select t.problem_id, t.rollout_id, t.trace_id, " + ", ".join(f"count(*) filter (step_type = '{k}') as {k}" for k in fixed.STEP_TYPES) + " from t left join s using (rollout_id, trace_id) group by all")
+def type_distribution(spark, d):
+    """Steps by type per trace, zeros filled."""
+    p = T.traces(spark, d).withColumn("steps", T.step_array(F.col("solution")))
+    types = F.transform("steps", lambda s: s["step_type"])
+    p = p.select(*T.KEYS, types.alias("types"))
+    return p.select(*T.KEYS, *[F.size(F.filter("types", _is(k))).cast("bigint").alias(k) for k in fixed.STEP_TYPES])
+
+
+def _is(kind: str):
+    return lambda x: x == kind
+
+
+@query(S.RECURSIVE + " select problem_id, rollout_id, trace_id, src as step_id, count(*) as n_outputs, string_agg(dst::varchar, ' ' order by dst) as outputs from e group by all")
+def dag_outputs(spark, d):
+    """What each step is used by, from its own trace's edges."""
+
+    def used(s, i):
+        users = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda j: F.array_contains(F.element_at(F.col("edges"), j + 1), i))
+        return F.struct(i.alias("step_id"), F.size(users).cast("bigint").alias("n_outputs"), F.array_join(F.transform(users, lambda j: j.cast("string")), " ").alias("outputs"))
+
+    return T.parsed(spark, d).select(*T.KEYS, F.explode(F.transform("steps", used)).alias("u")).select(*T.KEYS, "u.*").filter("n_outputs > 0")
+
+
+@query(S.RECURSIVE + " select round(avg(verification_density), 6) as mean_density, round(avg(live_verification_rate), 6) as mean_live_rate, count(*) filter (verification_density > 0) as verifying from ann")
+def verification_metrics(spark, d):
+    return _annotated(spark, d).agg(F.round(F.avg("verification_density"), 6).alias("mean_density"), F.round(F.avg("live_verification_rate"), 6).alias("mean_live_rate"), F.count_if(F.col("verification_density") > 0).alias("verifying"))
+
+
+@query(S.ROWS + " select problem_id, count(*) as n from t group by 1 having not bool_or(is_correct)")
+def all_wrong_problems(spark, d):
+    return T.traces(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_or("is_correct").alias("any")).filter("not any").drop("any")
+
+
+@query("with p as (select problem_id, min(level) as level from problems group by 1) select problem_id, level from (select *, row_number() over (partition by level order by problem_id) as k from p where level is not null) where k <= 5")
+def stratified_sample(spark, d):
+    """The first five problems of every level."""
+    from pyspark.sql import Window
+
+    p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("level").alias("level")).filter("level is not null")
+    return p.withColumn("k", F.row_number().over(Window.partitionBy("level").orderBy("problem_id"))).filter("k <= 5").drop("k")
+
+
+@query("select problem_id from (select distinct problem_id from problems) order by problem_id limit 20 offset 10")
+def offset_limit(spark, d):
+    """The slice of problems that one shard of a run takes: a given offset and number in order of name."""
+    return table(spark, d, "problems").select("problem_id").distinct().orderBy("problem_id").offset(10).limit(20)
+
+
+@query(_q(f", ma as (select *, {_normal_sql('answer')} as norm_answer from qr), mv as (select problem_id, norm_answer, count(*) as votes from ma where norm_answer <> '' group by all), mt as (select * from (select *, row_number() over (partition by problem_id order by votes desc, norm_answer) as k from mv) where k = 1) select problem_id, norm_answer, votes, rollout_id, trace_id, is_correct, quality_reward from (select ma.*, votes, row_number() over (partition by ma.problem_id order by quality_reward desc, rollout_id, trace_id) as k from ma join mt using (problem_id, norm_answer)) where k = 1"))
+def majority_vote(spark, d):
+    return B.majority(scored(spark, d).withColumn("norm_answer", text.normalize_answer(F.col("answer"))))
+
+
+# Preference pairs as delivered.
+
+
+def _pairs_once(spark, d):
+    return table(spark, d, "preference_pairs").dropDuplicates(["pair_id"])
+
+
+@query(S.PAIRS + "select pair_type, count(*) as n, count(distinct regexp_extract(problem_id, '([0-9]+)', 1)) as problems, round(avg(chosen_dsr), 6) as mean_chosen_dsr, round(avg(rejected_dsr), 6) as mean_rejected_dsr, count(*) filter (chosen_correct and rejected_correct) as both_correct, count(*) filter (chosen_correct and not rejected_correct) as chosen_only from pr group by 1")
+def pair_breakdown(spark, d):
+    p = _pairs_once(spark, d)
+    return p.groupBy("pair_type").agg(F.count("*").alias("n"), F.countDistinct(F.regexp_extract("problem_id", "([0-9]+)", 1)).alias("problems"), F.round(F.avg("chosen_dsr"), 6).alias("mean_chosen_dsr"), F.round(F.avg("rejected_dsr"), 6).alias("mean_rejected_dsr"), F.count_if(F.col("chosen_correct") & F.col("rejected_correct")).alias("both_correct"), F.count_if(F.col("chosen_correct") & ~F.col("rejected_correct")).alias("chosen_only"))
+
+
+@query(S.PAIRS + "select coalesce(pair_type, 'all') as pair_type, count(distinct substr(problem_text, 1, 100)) as prompts from pr group by rollup (pair_type)")
+def pair_coverage(spark, d):
+    """Distinct prompts (by their first 100 characters, as the report counts them) by type and in all."""
+    p = _pairs_once(spark, d).select("pair_type", F.substring("problem_text", 1, 100).alias("prompt"))
+    return p.rollup("pair_type").agg(F.countDistinct("prompt").alias("prompts")).select(F.coalesce("pair_type", F.lit("all")).alias("pair_type"), "prompts")
+
+
+_LEN = S.PAIRS + ", l as (select pair_type, length(coalesce(chosen_solution, '')) as c, length(coalesce(rejected_solution, '')) as r from pr), q as (select *, case when r > 0 then c::double / r else 1.0 end as ratio, row_number() over (partition by pair_type order by c) as rc, row_number() over (partition by pair_type order by r) as rr, count(*) over (partition by pair_type) as n from l) "
+
+
+@query(_LEN + "select pair_type, count(*) as n, round(avg(c), 6) as mean_chosen, round(avg(r), 6) as mean_rejected, max(case when rc = n // 10 + 1 then c end)::int as p10_chosen, max(case when rc = 9 * n // 10 + 1 then c end)::int as p90_chosen, max(case when rr = n // 10 + 1 then r end)::int as p10_rejected, max(case when rr = 9 * n // 10 + 1 then r end)::int as p90_rejected, round(avg(ratio), 6) as mean_ratio, count(*) filter (ratio < 0.9::double) as shorter, count(*) filter (ratio > 1.1::double) as longer from q group by 1")
+def pair_length_stats(spark, d):
+    """Lengths of both sides by type; percentiles are nearest ranks from counts by length, so no group is gathered."""
+    from pyspark.sql import Window
+
+    p = _pairs_once(spark, d).select("pair_type", F.length(F.coalesce("chosen_solution", F.lit(""))).alias("c"), F.length(F.coalesce("rejected_solution", F.lit(""))).alias("r"))
+    ratio = F.when(F.col("r") > 0, F.col("c") / F.col("r")).otherwise(1.0)
+    base = p.groupBy("pair_type").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean_chosen"), F.round(F.avg("r"), 6).alias("mean_rejected"), F.round(F.avg(ratio), 6).alias("mean_ratio"), F.count_if(ratio < 0.9).alias("shorter"), F.count_if(ratio > 1.1).alias("longer"))
+
+    def ranks(col: str, name: str):
+        by = p.groupBy("pair_type", F.col(col).alias("v")).agg(F.count("*").alias("k"))
+        w = Window.partitionBy("pair_type").orderBy("v")
+        run = by.select("pair_type", "v", F.sum("k").over(w).alias("upto"), F.sum("k").over(Window.partitionBy("pair_type")).alias("n"))
+        at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("v")))
+        return run.groupBy("pair_type").agg(at(F.floor(F.col("n") / 10) + 1).alias(f"p10_{name}"), at(F.floor(F.col("n") * 9 / 10) + 1).alias(f"p90_{name}"))
+
+    return base.join(ranks("c", "chosen"), "pair_type").join(ranks("r", "rejected"), "pair_type")
+
+
+@query(S.PAIRS + "select pair_id, problem_text as human, coalesce(chosen_solution, '') as chosen, coalesce(rejected_solution, '') as rejected from pr where problem_text <> ''")
+def sharegpt_dpo(spark, d):
+    """Pairs as conversation records, read back from the record's fields; pairs without a problem text are left out."""
+    rec = P.sharegpt(F.col("problem_text"), F.coalesce("chosen_solution", F.lit("")), F.coalesce("rejected_solution", F.lit("")))
+    r = _pairs_once(spark, d).filter("problem_text <> ''").select("pair_id", rec.alias("r"))
+    return r.select("pair_id", F.element_at("r.conversations", 1)["value"].alias("human"), F.col("r.chosen.value").alias("chosen"), F.col("r.rejected.value").alias("rejected"))
+
+
+# Reasoning records with explicit inputs.
+
+
+def _r(sql: str) -> str:
+    return "with recursive " + S.RIR + " " + sql
+
+
+def _records(spark, d):
+    return R.records(T.parsed(spark, d))
+
+
+def _features(spark, d):
+    return R.features(_records(spark, d))
+
+
+@query(_r("select problem_id, rollout_id, trace_id, coalesce(string_agg(step_id::varchar, ' ' order by step_id) filter (is_live), '') as live, coalesce(string_agg(step_id::varchar, ' ' order by step_id) filter (not is_live), '') as dead from rs group by all"))
+def rir_live_dead(spark, d):
+    """Live and dead steps by the kernel for any graph; the check follows the edges."""
+    e = R.eliminate(_records(spark, d).withColumnRenamed("rsteps", "steps")).filter("total > 0")
+    ids = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
+    return e.select(*T.KEYS, ids("live_ids").alias("live"), ids("dead_ids").alias("dead"))
+
+
+@query(_r("select count(*) as records, round(avg(dsr), 6) as avg_dead_ratio, 1.0::double as preserved, round(avg(dead_token_ratio), 6) as avg_token_savings, sum(dead)::bigint as dead from fe"))
+def rir_dse_summary(spark, d):
+    """Preservation is 1 by construction: conclusions are what liveness starts from."""
+    return _features(spark, d).agg(F.count("*").alias("records"), F.round(F.avg("dsr"), 6).alias("avg_dead_ratio"), F.lit(1.0).alias("preserved"), F.round(F.avg("dead_token_ratio"), 6).alias("avg_token_savings"), F.sum("dead").alias("dead"))
+
+
+@query(_r("select rtype as step_type, count(*) as total, count(*) filter (not is_live) as dead, round(count(*) filter (not is_live)::double / count(*), 6) as dead_share, round(count(*) filter (not is_live)::double / (select count(*) from rs where not is_live), 6) as share_of_dead from rs group by 1"))
+def rir_type_decomposition(spark, d):
+    e = R.eliminate(_records(spark, d).withColumnRenamed("rsteps", "steps"))
+    s = e.select("dead_ids", F.explode("steps").alias("s")).groupBy(F.col("s.type").alias("step_type")).agg(F.count("*").alias("total"), F.count_if(F.array_contains("dead_ids", F.col("s.id"))).alias("dead"))
+    whole = s.agg(F.sum("dead").alias("all_dead"))
+    return s.join(F.broadcast(whole)).select("step_type", "total", "dead", F.round(F.col("dead") / F.col("total"), 6).alias("dead_share"), F.round(F.col("dead") / F.col("all_dead"), 6).alias("share_of_dead"))
+
+
+_METRICS = ["dsr", "vii", "dead_token_ratio", "total", "dead", "tokens"]
+
+
+def _mwu_sql(m: str) -> str:
+    return f"""(with c as (select {m}::double as value, count(*) as n, count(*) filter (is_correct) as n1 from fe group by 1), k as (select *, sum(n) over (order by value) - n + (n + 1) / 2.0::double as rank from c),
+      z as (select sum(n1)::double as a, sum(n - n1)::double as b, sum(n1 * rank) as ranks, sum(n::double * n * n - n) as ties from k), w as (select a, b, ranks - a * (a + 1) / 2 as u, a * b / 12.0::double * (a + b + 1 - ties / ((a + b) * (a + b - 1))) as var from z)
+      select '{m}' as metric, (select round(avg({m}) filter (is_correct), 6) from fe) as mean_1, (select round(avg({m}) filter (not is_correct), 6) from fe) as mean_0, u, round(case when var > 0 then greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(var) else 0 end, 6) as z,
+        (select round((avg({m}) filter (is_correct) - avg({m}) filter (not is_correct)) / sqrt((var_pop({m}) filter (is_correct) + var_pop({m}) filter (not is_correct)) / 2), 6) from fe) as cohens_d from w)"""
+
+
+@query(_r(" union all ".join("select * from " + _mwu_sql(m) for m in _METRICS)))
+def rir_correctness_independence(spark, d):
+    """Rank test and effect size of every feature between right and wrong records."""
+    f = materialize(_features(spark, d).select("is_correct", *[F.col(m).cast("double").alias(m) for m in _METRICS]))
+    out = None
+    for m in _METRICS:
+        one = X.mann_whitney(f, m, "is_correct").join(F.broadcast(X.cohens_d(f, m, "is_correct"))).select(F.lit(m).alias("metric"), "mean_1", "mean_0", "u", F.round("z", 6).alias("z"), "cohens_d")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _hard(problem: str) -> str:
+    return f"case when regexp_matches({problem}, '^(aime|hard)') then 'hard' when regexp_matches({problem}, '^(s2_|scale_)') then 'medium' when regexp_matches({problem}, '^(algebra|intermediate)') then 'easy' when regexp_matches({problem}, '^(geometry|combinatorics|numtheory)') then 'medium' when regexp_matches({problem}, '^gsm8k') then 'easy' else 'unknown' end"
+
+
+_NAMED = ", pc as (select problem_id, min(category) as category from problems group by 1), fc as (select fe.*, " + _hard("coalesce(category, '') || '_' || problem_id") + " as difficulty from fe left join pc using (problem_id))"
+
+
+def _by_difficulty(spark, d):
+    c = table(spark, d, "problems").groupBy("problem_id").agg(F.min("category").alias("category"))
+    return _features(spark, d).join(c, "problem_id", "left").withColumn("difficulty", R.difficulty(F.concat(F.coalesce("category", F.lit("")), F.lit("_"), F.col("problem_id"))))
+
+
+@query("with recursive " + S.RIR + _NAMED + " select difficulty, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(vii), 6) as avg_vii, round(avg(dead_token_ratio), 6) as avg_dead_tokens, round(avg(total), 6) as avg_steps, round(avg(tokens), 6) as avg_tokens from fc group by 1")
+def rir_difficulty(spark, d):
+    """Strata by the difficulty that a problem's name (its category and id) starts with."""
+    a = lambda c: F.round(F.avg(c), 6)
+    return _by_difficulty(spark, d).groupBy("difficulty").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("vii").alias("avg_vii"), a("dead_token_ratio").alias("avg_dead_tokens"), a("total").alias("avg_steps"), a("tokens").alias("avg_tokens"))
+
+
+@query("with recursive " + S.RIR + _NAMED + """, c as (select dsr as value, count(*) as n, count(*) filter (difficulty = 'easy') as n0, count(*) filter (difficulty = 'medium') as n1, count(*) filter (difficulty = 'unknown') as n2 from fc group by 1), k as (select *, sum(n) over (order by value) - n + (n + 1) / 2.0::double as rank from c),
+  z as (select sum(n0)::double as n0, sum(n1)::double as n1, sum(n2)::double as n2, sum(n0 * rank) as r0, sum(n1 * rank) as r1, sum(n2 * rank) as r2, sum(n::double * n * n - n) as ties, sum(n)::double as n from k)
+  select round((12.0::double / (n * (n + 1)) * (r0 * r0 / n0 + r1 * r1 / n1 + r2 * r2 / n2) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) as h, 2 as df from z""")
+def rir_difficulty_test(spark, d):
+    return X.kruskal_wallis(materialize(_by_difficulty(spark, d).select("dsr", "difficulty")), "dsr", "difficulty", ["easy", "medium", "unknown"])
+
+
+@query(_r("select is_correct, count(*) as n, round(avg(dead_token_ratio), 6) as token_savings, round(avg(dsr), 6) as step_savings from fe group by 1"))
+def rir_answer_preservation(spark, d):
+    return _features(spark, d).groupBy("is_correct").agg(F.count("*").alias("n"), F.round(F.avg("dead_token_ratio"), 6).alias("token_savings"), F.round(F.avg("dsr"), 6).alias("step_savings"))
+
+
+@query(_r("select count(*) as n, 1.0::double as dse_apr, round(avg(p), 6) as random_apr, round(stddev_pop(p), 6) as random_std from (select list_product(list_transform(range(1, dead + 1), lambda i: i::double / (total - greatest(concluded, 1) - dead + i))) as p from fe where dead > 0)"))
+def rir_random_removal(spark, d):
+    """Dead-step elimination against as many random removals: the chance of keeping all that is needed, in closed form instead of trials."""
+    return R.random_removal(_features(spark, d)).agg(F.count("*").alias("n"), F.lit(1.0).alias("dse_apr"), F.round(F.avg("random_apr"), 6).alias("random_apr"), F.round(F.stddev_pop("random_apr"), 6).alias("random_std"))
+
+
+_VII_EDGES, _VII_LABELS = [0.25, 0.5, 0.75, 1.0], ["v00", "v25", "v50", "v75", "v100"]
+
+
+@query(_r(f"select {_case('vii', _VII_EDGES, _VII_LABELS)} as bucket, is_correct, count(*) as n, round(avg(vii), 6) as mean_vii, round(sum(dead_verif_tokens)::double / greatest(sum(tokens), 1), 6) as dead_verif_token_share from fe where verif > 0 group by 1, 2"))
+def rir_verification(spark, d):
+    f = _features(spark, d).filter("verif > 0")
+    return f.groupBy(X.buckets(F.col("vii"), _VII_EDGES, _VII_LABELS).alias("bucket"), "is_correct").agg(F.count("*").alias("n"), F.round(F.avg("vii"), 6).alias("mean_vii"), F.round(F.sum("dead_verif_tokens") / F.greatest(F.sum("tokens"), F.lit(1)), 6).alias("dead_verif_token_share"))
+
+
+def _kept_sql(condition: str) -> str:
+    return S.trim(f"regexp_replace(coalesce(string_agg(content, E'\\n\\n' order by step_id) filter (contains(content, 'boxed') or not ({condition})), ''), '\\n{{3,}}', E'\\n\\n', 'g')")
+
+
+@query(_r(", v as (select problem_id, rollout_id, trace_id, " + _kept_sql("not is_live") + " as dse, count(*) filter (not is_live) as n1, " + _kept_sql("rtype = 'verification'") + " as noverif, count(*) filter (rtype = 'verification') as n2, " + _kept_sql("rtype = 'verification' and not is_live") + " as liveverif, count(*) filter (rtype = 'verification' and not is_live) as n3 from rs group by all) select problem_id, rollout_id, trace_id, 'dse' as variant, dse as cleaned, n1 as removed_steps from v union all select problem_id, rollout_id, trace_id, 'noverif', noverif, n2 from v union all select problem_id, rollout_id, trace_id, 'liveverif', liveverif, n3 from v"))
+def clean_variants(spark, d):
+    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).filter(F.col("variant").isin("dse", "noverif", "liveverif"))
+
+
+@query(_r("select variant, count(*) as n, sum(removed)::bigint as removed_steps from (select 'dse' as variant, dead as removed from rf union all select 'noverif', verif from rf union all select 'liveverif', dead_verif from rf union all select 'original', 0 from rf union all select 'keywordclean', 0 from rf) group by 1"))
+def variant_stats(spark, d):
+    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).groupBy("variant").agg(F.count("*").alias("n"), F.sum("removed_steps").alias("removed_steps"))
+
+
+_KEYWORD = "list_reduce(list_transform(string_split(solution, E'\\n'), lambda z: {'skip': false, 'out': '', 'line': z}), lambda acc, z: case when " + "(" + " or ".join(f"contains(lower({S.trim('z.line')}), {S.q(w)})" for w in fixed.VERIFY_KEYWORDS) + ") then {'skip': true, 'out': acc.out, 'line': ''} when acc.skip and not (" + S.trim("z.line") + " = '' or " + " or ".join(f"starts_with({S.trim('z.line')}, {S.q(w)})" for w in fixed.NEW_TOPIC) + ") then acc else {'skip': false, 'out': acc.out || E'\\n' || z.line, 'line': ''} end, {'skip': false, 'out': '', 'line': ''}).out"
+
+
+@query(S.ROWS + " select problem_id, rollout_id, trace_id, " + S.trim(f"regexp_replace({_KEYWORD}, '\\n{{3,}}', E'\\n\\n', 'g')") + " as cleaned from t")
+def keyword_clean(spark, d):
+    return T.traces(spark, d).select(*T.KEYS, text.keyword_clean(F.col("solution")).alias("cleaned"))
+
+
+_FRAGILE = """, pk as (select rollout_id, trace_id, list_distinct(list(content) filter (is_live)) as kept, list(content order by step_id) as paras from rs group by 1, 2),
+   rm as (select a.*, k.paras, k.kept, list_position(k.paras, a.content) - 1 as place, list_distinct(regexp_extract_all(a.content, '[A-Za-z][0-9A-Za-z_]*|[0-9]+')) as ent from rs a join pk k using (rollout_id, trace_id) where not is_live and not list_contains(kept, content))
+   select problem_id, rollout_id, trace_id, step_id, step_type as kind, char_length as n_chars,
+     coalesce(len(list_filter(kept, lambda z: len(ent) > 0 and len(regexp_extract_all(z, '[A-Za-z][0-9A-Za-z_]*|[0-9]+')) > 0 and len(list_intersect(ent, list_distinct(regexp_extract_all(z, '[A-Za-z][0-9A-Za-z_]*|[0-9]+'))))::double / least(len(ent), len(list_distinct(regexp_extract_all(z, '[A-Za-z][0-9A-Za-z_]*|[0-9]+')))) > 0.5)) > 0, false)
+     or step_type in ('verification', 'exploration', 'correction') or (place > 0 and list_contains(kept, paras[place])) or (place < len(paras) - 1 and list_contains(kept, paras[place + 2])) as fragile from rm"""
+
+
+@query(_r(_FRAGILE))
+def fragile_robust(spark, d):
+    return R.fragile(_records(spark, d).filter("size(rsteps) > 0"))
+
+
+@query(_r(", pk as (select rollout_id, trace_id, list(content) filter (is_live) as kept from rs group by 1, 2) select step_type as kind, count(*) as removed, sum(char_length)::bigint as removed_chars from rs join pk using (rollout_id, trace_id) where not is_live and not list_contains(kept, content) group by 1"))
+def typed_dse(spark, d):
+    """Removed paragraphs by kind: what a typed elimination would put back are the first three kinds of the step types that only look dead."""
+    f = R.fragile(_records(spark, d).filter("size(rsteps) > 0"))
+    return f.groupBy("kind").agg(F.count("*").alias("removed"), F.sum("n_chars").alias("removed_chars"))
+
+
+# Prefixes.
+
+
+@query("with recursive " + S.PREFIX + " select * from tl")
+def prefix_timeline(spark, d):
+    return N.timeline(T.parsed(spark, d))
+
+
+@query("with recursive " + S.PREFIX + " select problem_id, rollout_id, trace_id, step_id, num_steps, num_dead, intervention from tl where intervention is not null")
+def prefix_interventions(spark, d):
+    return N.interventions(T.parsed(spark, d)).drop("num_motifs")
+
+
+@query("with recursive " + S.PREFIX + " select coalesce(intervention, 'none') as intervention, count(*) as prefixes, count(distinct (rollout_id, trace_id)) as traces, round(avg(step_id), 6) as mean_step from tl group by 1")
+def intervention_summary(spark, d):
+    t = N.timeline(T.parsed(spark, d))
+    return t.groupBy(F.coalesce("intervention", F.lit("none")).alias("intervention")).agg(F.count("*").alias("prefixes"), F.countDistinct("rollout_id", "trace_id").alias("traces"), F.round(F.avg("step_id"), 6).alias("mean_step"))
+
+
+# Evaluation of two runs.
+
+
+def _runs(spark, d):
+    """Evaluation rows: the first trace of each rollout stands for the baseline (model 0), the second for the experiment (model 1)."""
+    a = T.parse(T.traces(spark, d).filter("trace_id < 2"))
+    metrics = T.annotate(a)
+    shard = table(spark, d, "rollouts").select("rollout_id", F.col("shard").alias("benchmark")).dropDuplicates(["rollout_id"])
+    p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("level").alias("level"), F.min("category").alias("category"))
+    j = metrics.join(shard, "rollout_id").join(p, "problem_id", "left")
+    return materialize(j.select(F.col("rollout_id").alias("id"), F.col("trace_id").alias("model"), "benchmark", F.coalesce("category", F.lit("")).alias("subject"), F.coalesce("level", F.lit(0)).alias("level"), "is_correct", "num_tokens", "dsr", "num_steps", "num_dead"))
+
+
+_ACC = "count(*) as total, count(*) filter (is_correct) as correct, round(count(*) filter (is_correct)::double / count(*), 6) as accuracy, round(avg(num_tokens), 6) as avg_tokens"
+
+
+@query(S.EVAL + f"select benchmark, 'all' as dim, '' as key, {_ACC} from ev where model = 0 group by 1 union all select benchmark, 'subject', subject, {_ACC} from ev where model = 0 and subject <> '' group by 1, 3 union all select benchmark, 'level', level::varchar, {_ACC} from ev where model = 0 and level <> 0 group by 1, 3")
+def eval_metrics(spark, d):
+    """Accuracy and tokens per benchmark, subject and level in one pass; empty subjects and level 0 are not broken out."""
+    return E.metrics(_runs(spark, d).filter("model = 0"))
+
+
+@query(S.EVAL + "select model, round(avg(dsr), 6) as avg_dsr, round(avg((dsr > 0)::int), 6) as nonzero_dsr, round(avg(num_steps), 6) as avg_steps from ev group by 1")
+def eval_structural(spark, d):
+    return _runs(spark, d).groupBy("model").agg(F.round(F.avg("dsr"), 6).alias("avg_dsr"), F.round(F.avg((F.col("dsr") > 0).cast("double")), 6).alias("nonzero_dsr"), F.round(F.avg("num_steps"), 6).alias("avg_steps"))
+
+
+_CMP = "(select benchmark, 'all' as dim, '' as key, {0} from ev where model = {1} group by 1 union all select benchmark, 'level', level::varchar, {0} from ev where model = {1} and level <> 0 group by 1, 3 union all select benchmark, 'subject', subject, {0} from ev where model = {1} and subject <> '' group by 1, 3)"
+
+
+@query(S.EVAL + "select a.benchmark, a.dim, a.key, a.accuracy as base_accuracy, b.accuracy as new_accuracy, round(b.accuracy - a.accuracy, 6) as accuracy_delta, round(b.avg_tokens - a.avg_tokens, 6) as tokens_delta from " + _CMP.format(_ACC, 0) + " a join " + _CMP.format(_ACC, 1) + " b on a.benchmark = b.benchmark and a.dim = b.dim and a.key = b.key")
+def compare_models(spark, d):
+    r = _runs(spark, d)
+    return E.compare(E.metrics(r.filter("model = 0")), E.metrics(r.filter("model = 1")))
+
+
+_CASES = ", w as (select a.id, a.level, a.is_correct as ca, b.is_correct as cb, a.num_tokens as ta, b.num_tokens as tb from ev a join ev b on a.id = b.id and a.model = 0 and b.model = 1) "
+
+
+@query(S.EVAL + _CASES + "select case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, round(avg(ta), 6) as base_tokens, round(avg(tb), 6) as new_tokens from w group by 1")
+def disagreement(spark, d):
+    return E.disagreement(_runs(spark, d))
+
+
+@query(S.EVAL + _CASES + "select case when tb::double / ta > 0.95::double then 'under_5' when tb::double / ta > 0.8::double then 'under_20' when tb::double / ta > 0.6::double then 'under_40' else 'rest' end as reduction, count(*) as n, round(avg(cb::int) - avg(ca::int), 6) as accuracy_delta from w where ta > 0 group by 1")
+def impact_buckets(spark, d):
+    return E.impact(_runs(spark, d))
+
+
+_V, _C, _X = (" + ".join(names) for names in (fixed.COUNTED_VERIFICATION, fixed.COUNTED_CORRECTION, fixed.COUNTED_EXPLORATION))
+
+
+@query(S.ROWS + f", c as (select problem_id, rollout_id, trace_id, is_correct, {_COUNTS} from t), x as (select is_correct, ({_V})::double as v, ({_C})::double as c, ({_X})::double as x from c) select is_correct, count(*) as n, round(avg(v), 6) as verification, round(avg(c), 6) as correction, round(avg(x), 6) as exploration, count(*) filter (v > 0 and c > 0) as verified_and_corrected from x group by 1")
+def verification_utility(spark, d):
+    t = T.traces(spark, d).withColumn("low", F.lower("solution"))
+    total = lambda names: sum((F.regexp_count("low", F.lit(fixed.COUNTED[k])) for k in names), F.lit(0))
+    x = t.select("is_correct", total(fixed.COUNTED_VERIFICATION).alias("v"), total(fixed.COUNTED_CORRECTION).alias("c"), total(fixed.COUNTED_EXPLORATION).alias("x"))
+    return x.groupBy("is_correct").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("verification"), F.round(F.avg("c"), 6).alias("correction"), F.round(F.avg("x"), 6).alias("exploration"), F.count_if((F.col("v") > 0) & (F.col("c") > 0)).alias("verified_and_corrected"))
+
+
+@query("with " + S.STEPS + f", ph as (select rollout_id, trace_id, count(*) as segments, count(*) filter (phase in ('verification', 'correction', 'exploration')) as seeking from (select *, {_PRIORITY} as phase from s1) group by all), pl as (select problem_id, min(level) as level from problems group by 1) select coalesce(level, 0) as level, is_correct, count(*) as n, round(avg(segments), 6) as segments, round(avg(seeking::double / segments), 6) as explore_ratio from t join ph using (rollout_id, trace_id) left join pl using (problem_id) group by 1, 2")
+def exploration_depth(spark, d):
+    phase = F.transform(text.segments(F.col("solution")), text.priority_type)
+    t = T.traces(spark, d).select("problem_id", "is_correct", phase.alias("phase"))
+    t = t.select("problem_id", "is_correct", F.size("phase").alias("segments"), F.size(F.filter("phase", lambda x: x.isin("verification", "correction", "exploration"))).alias("seeking")).filter("segments > 0")
+    p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("level").alias("level"))
+    return t.join(p, "problem_id", "left").groupBy(F.coalesce("level", F.lit(0)).alias("level"), "is_correct").agg(F.count("*").alias("n"), F.round(F.avg("segments"), 6).alias("segments"), F.round(F.avg(F.col("seeking") / F.col("segments")), 6).alias("explore_ratio"))
+
+
+# A second level of annotations.
+
+_L2 = """, l2 as (select problem_id, trace_id, dsr as l2_dsr, quality_reward as l2_quality from (select *, row_number() over (partition by problem_id, trace_id order by annotated_at desc nulls last, quality_reward desc nulls last, dsr asc nulls last) as k from annotated) where k = 1),
+  l1 as (select * from (select *, min(rollout_id) over (partition by problem_id) as first_id from qr) where rollout_id = first_id),
+  ll as materialized (select l1.problem_id, l1.trace_id, l1.is_correct, l1.dsr, l1.quality_reward, l2_dsr, case when isnan(l2_quality) then null else l2_quality end as l2_quality from l1 left join l2 using (problem_id, trace_id)) """
+
+
+def _levels(spark, d):
+    """Our metrics beside the delivered annotations of the same (problem, trace): those of each problem's first rollout."""
+    s = scored(spark, d).select("problem_id", "rollout_id", "trace_id", "is_correct", "dsr", "quality_reward")
+    return E.levels(s, table(spark, d, "annotated"))
+
+
+@query("with recursive " + S.QUALITY + _L2 + "select count(*) as n, count(l2_dsr) as with_l2, round(avg(dsr), 6) as l1_dsr, round(avg(l2_dsr), 6) as l2_dsr, round(avg(quality_reward), 6) as l1_quality, round(avg(l2_quality), 6) as l2_quality, round(corr(dsr, l2_dsr), 6) as dsr_corr, round(corr(quality_reward, l2_quality), 6) as quality_corr from ll")
+def parser_level_corr(spark, d):
+    return _levels(spark, d).agg(F.count("*").alias("n"), F.count("l2_dsr").alias("with_l2"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("dsr", "l1_dsr"), ("l2_dsr", "l2_dsr"), ("quality_reward", "l1_quality"), ("l2_quality", "l2_quality"))], F.round(F.corr("dsr", "l2_dsr"), 6).alias("dsr_corr"), F.round(F.corr("quality_reward", "l2_quality"), 6).alias("quality_corr"))
+
+
+@query("with recursive " + S.QUALITY + _L2 + "select problem_id, count(*) as n from ll group by 1 having bool_and(l2_dsr is not null)")
+def full_coverage(spark, d):
+    """Problems of which every trace has the second annotation."""
+    return _levels(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")

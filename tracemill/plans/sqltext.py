@@ -162,3 +162,54 @@ ALL_PAIRS = (
     )
     + ")"
 )
+
+WORDS = q(r"[\s\p{Z}\x1c-\x1f\x{85}]+")
+RIR = (
+    GRAPH
+    + f""",
+rs as materialized (select *, case step_type when 'exploration' then 'assumption' when 'correction' then 'derivation' else step_type end as rtype, len(list_filter(regexp_split_to_array(content, {WORDS}), lambda x: x <> '')) as tokens from ls),
+rf as materialized (select problem_id, rollout_id, trace_id, count(*) as total, count(*) filter (not is_live) as dead, count(*) filter (rtype = 'conclusion') as concluded, count(*) filter (rtype = 'verification') as verif, count(*) filter (rtype = 'verification' and not is_live) as dead_verif,
+   sum(tokens)::bigint as tokens, coalesce(sum(tokens) filter (not is_live), 0)::bigint as dead_tokens, coalesce(sum(tokens) filter (rtype = 'verification' and not is_live), 0)::bigint as dead_verif_tokens from rs group by all),
+fe as materialized (select f.*, t.is_correct, dead::double / total as dsr, case when verif > 0 then dead_verif::double / verif else 0.0 end as vii, case when tokens > 0 then dead_tokens::double / tokens else 0.0 end as dead_token_ratio from rf f join t using (problem_id, rollout_id, trace_id))"""
+)
+
+PREFIX = (
+    STEPS
+    + """,
+e1 as (select b.rollout_id, b.trace_id, a.step_id as src, b.step_id as dst from s a join s b on a.rollout_id = b.rollout_id and a.trace_id = b.trace_id and a.step_id < b.step_id and a.step_id >= b.step_id - 10
+   where (a.step_id = b.step_id - 1 and a.step_type in ('derivation', 'computation', 'conclusion') and b.step_type in ('derivation', 'computation', 'conclusion')) or list_has_any(a.sym, b.sym)),
+e as materialized (select * from e1 union all
+   select rollout_id, trace_id, step_id - 1, step_id from s where step_type = 'conclusion' and step_id > 0 and not exists (select 1 from e1 where e1.rollout_id = s.rollout_id and e1.trace_id = s.trace_id and e1.dst = s.step_id)),
+pre as (select problem_id, rollout_id, trace_id, step_id as i, bool_or(step_type = 'conclusion') over (partition by rollout_id, trace_id order by step_id) as concluded from s),
+pl(rollout_id, trace_id, i, step_id) as (
+   select p.rollout_id, p.trace_id, p.i, s.step_id from pre p join s on s.rollout_id = p.rollout_id and s.trace_id = p.trace_id and s.step_id <= p.i where s.step_type = 'conclusion' or (not concluded and s.step_id = p.i)
+   union select l.rollout_id, l.trace_id, l.i, e.src from pl l join e on e.rollout_id = l.rollout_id and e.trace_id = l.trace_id and e.dst = l.step_id),
+x as materialized (select p.problem_id, p.rollout_id, p.trace_id, p.i, s.step_id, s.step_type, s.sym, l.step_id is not null as is_live from pre p join s on s.rollout_id = p.rollout_id and s.trace_id = p.trace_id and s.step_id <= p.i
+   left join pl l on l.rollout_id = p.rollout_id and l.trace_id = p.trace_id and l.i = p.i and l.step_id = s.step_id),
+xd as (select *, step_id - row_number() over (partition by rollout_id, trace_id, i order by step_id) as isle from x where not is_live),
+xt as (select *, step_id - row_number() over (partition by rollout_id, trace_id, i order by step_id) as isle from x where not is_live and step_type = 'verification'
+   and not exists (select 1 from e join pl l on l.rollout_id = e.rollout_id and l.trace_id = e.trace_id and l.step_id = e.src where l.i = x.i and e.rollout_id = x.rollout_id and e.trace_id = x.trace_id and e.dst = x.step_id)),
+xb as (select *, sum((is_live or step_type = 'exploration')::int) over (partition by rollout_id, trace_id, i order by step_id) as isle from x),
+xm as materialized (
+   select rollout_id, trace_id, i, 'dead_cascade' as m, min(step_id) as a, max(step_id) as b from xd group by rollout_id, trace_id, i, isle having count(*) >= 3
+   union all select rollout_id, trace_id, i, 'verification_theater', min(step_id), max(step_id) from xt group by rollout_id, trace_id, i, isle
+   union all select rollout_id, trace_id, i, 'abandoned_branch', min(step_id), max(step_id) from xb group by rollout_id, trace_id, i, isle having count(*) >= 2 and bool_or(not is_live and step_type = 'exploration')
+   union all select rollout_id, trace_id, i, 'circular_revisit', step_id, step_id from x u where not is_live and step_type in ('derivation', 'computation') and len(sym) >= 2
+     and exists (select 1 from x v where v.rollout_id = u.rollout_id and v.trace_id = u.trace_id and v.i = u.i and v.is_live and v.step_id < u.step_id and len(list_intersect(u.sym, v.sym))::double / len(u.sym) >= 0.6)),
+tl as (select p.problem_id, p.rollout_id, p.trace_id, p.i as step_id, p.i + 1 as num_steps, (select count(*) from xm where xm.rollout_id = p.rollout_id and xm.trace_id = p.trace_id and xm.i = p.i)::int as num_motifs,
+   (select count(*) from xd where xd.rollout_id = p.rollout_id and xd.trace_id = p.trace_id and xd.i = p.i)::int as num_dead,
+   case when exists (select 1 from xm where xm.rollout_id = p.rollout_id and xm.trace_id = p.trace_id and xm.i = p.i and m = 'dead_cascade' and b >= p.i - 1) then 'redirect_cascade'
+        when exists (select 1 from xm where xm.rollout_id = p.rollout_id and xm.trace_id = p.trace_id and xm.i = p.i and m = 'verification_theater' and b >= p.i) then 'skip_theater'
+        when exists (select 1 from xm where xm.rollout_id = p.rollout_id and xm.trace_id = p.trace_id and xm.i = p.i and m = 'abandoned_branch' and b >= p.i and b - a + 1 >= 3) then 'redirect_branch' end as intervention from pre p)"""
+)
+
+#: Evaluation rows: the first trace of each rollout as the baseline, the second as the experiment.
+EVAL = (
+    "with recursive "
+    + GRAPH
+    + """,
+pb as (select problem_id, min(level) as level, min(category) as category from problems group by 1),
+ev as materialized (select a.rollout_id as id, a.trace_id as model, t.shard as benchmark, coalesce(category, '') as subject, coalesce(level, 0) as level, a.is_correct, a.num_tokens, a.dsr, a.num_steps, a.num_dead
+   from ann a join t using (problem_id, rollout_id, trace_id) left join pb using (problem_id) where a.trace_id < 2) """
+)
+PAIRS = "with pr as (select * from (select *, row_number() over (partition by pair_id order by built_at) as __k from preference_pairs) where __k = 1) "
