@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.traces import KEYS
+from tracemill.operators.traces import KEYS, once
 
 TYPES = ["dead_cascade", "verification_theater", "abandoned_branch", "circular_revisit"]
 MIN_CASCADE, REVISIT_SHARE = 3, 0.6
@@ -33,11 +33,11 @@ def _motif(kind: str, first: Column, length: Column, severity: Column) -> Column
 def with_motifs(p: DataFrame) -> DataFrame:
     """Adds ``motifs`` to parsed traces, by first step, then kind; an empty array where there is none.
 
-    Each stage is a column of its own that the next uses more than once, so its work is done once a trace.
+    Each stage is a column of its own, done once a trace.
     """
     at = lambda i: F.element_at(F.col("steps"), i + 1)
     inputs = lambda i: F.element_at(F.col("edges"), i + 1)
-    p = p.withColumn("__dead", F.filter(_places(), lambda i: ~F.array_contains("live", i)))
+    p = p.withColumn("__dead", once(F.filter(_places(), lambda i: ~F.array_contains("live", i))))
     p = p.withColumn("__theater", F.filter("__dead", lambda i: (at(i)["step_type"] == "verification") & ~F.arrays_overlap(inputs(i), F.col("live"))))
     p = p.withColumn("__stops", F.filter(_places(), lambda i: F.array_contains("live", i) | (at(i)["step_type"] == "exploration")))
     p = p.withColumn("__runs", _islands(F.col("__dead"))).withColumn("__theaters", _islands(F.col("__theater")))
@@ -54,7 +54,7 @@ def with_motifs(p: DataFrame) -> DataFrame:
     theaters = F.transform("__theaters", lambda r: _motif("verification_theater", r["first"], r["length"], F.lit(0.8)))
     branches = F.transform(F.filter("__reach", lambda r: r["length"] >= 2), lambda r: _motif("abandoned_branch", r["first"], r["length"], F.least(F.lit(1.0), r["length"] / 8)))
     circular = F.transform("__again", lambda i: _motif("circular_revisit", i, F.lit(1), F.lit(0.6)))
-    return p.withColumn("motifs", F.array_sort(F.concat(cascades, theaters, branches, circular))).drop("__dead", "__theater", "__stops", "__runs", "__theaters", "__reach", "__again")
+    return p.withColumn("motifs", once(F.array_sort(F.concat(cascades, theaters, branches, circular)))).drop("__dead", "__theater", "__stops", "__runs", "__theaters", "__reach", "__again")
 
 
 def motifs(p: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.motifs import with_motifs
-from tracemill.operators.traces import KEYS, conclusion_ids, live_ids
+from tracemill.operators.traces import KEYS, conclusion_ids, live_ids, once
 
 KINDS = ["redirect_cascade", "skip_theater", "redirect_branch"]
 
@@ -15,7 +15,7 @@ def prefixes(p: DataFrame) -> DataFrame:
     """A row per prefix with its own liveness and motifs; edges do not change as a trace grows, only the conclusions do."""
     ends = F.when(F.size("steps") > 0, F.sequence(F.lit(1), F.size("steps"))).otherwise(F.array().cast("array<int>"))
     x = p.select(*KEYS, F.explode(F.transform(ends, lambda k: F.struct(k.alias("n"), F.slice(F.col("steps"), F.lit(1), k).alias("steps"), F.slice(F.col("edges"), F.lit(1), k).alias("edges")))).alias("x")).select(*KEYS, "x.*")
-    x = x.withColumn("conclusions", conclusion_ids(F.col("steps"))).withColumn("live", live_ids(F.col("edges"), F.col("conclusions")))
+    x = x.withColumn("conclusions", conclusion_ids(F.col("steps"))).withColumn("live", once(live_ids(F.col("edges"), F.col("conclusions"))))
     return with_motifs(x)
 
 

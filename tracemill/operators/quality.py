@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed
-from tracemill.operators.traces import KEYS
+from tracemill.operators.traces import KEYS, once
 
 REVISIT_JACCARD, SHARED_SYMBOLS = 0.6, 2
 
@@ -38,7 +38,7 @@ def _kind(i: Column) -> Column:
 def with_quality(p: DataFrame) -> DataFrame:
     """Adds ``quality``: for each step its kind of deadness, null where live."""
     places = F.when(F.size("steps") > 0, F.sequence(F.lit(0), F.size("steps") - 1)).otherwise(F.array().cast("array<int>"))
-    return p.withColumn("quality", F.transform(places, _kind))
+    return p.withColumn("quality", once(F.transform(places, _kind)))
 
 
 def dead_steps(p: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
+from tracemill.operators.traces import once
 
 #: Step types of records by the types of paragraphs.
 RECORD_TYPE = {"exploration": "assumption", "correction": "derivation"}
@@ -32,9 +33,9 @@ def reach(steps: Column) -> Column:
 
 def eliminate(df: DataFrame, steps: str = "steps") -> DataFrame:
     """Adds live_ids, dead_ids, total, dead_count and dead_ratio (0 without steps)."""
-    df = df.withColumn("live_ids", reach(F.col(steps)))
+    df = df.withColumn("live_ids", once(reach(F.col(steps))))
     dead = F.array_sort(F.array_except(F.transform(steps, lambda s: s["id"]), F.col("live_ids")))
-    df = df.withColumn("dead_ids", dead)
+    df = df.withColumn("dead_ids", once(dead))
     n = F.size(steps)
     return df.select("*", n.alias("total"), F.size("dead_ids").alias("dead_count"), F.when(n > 0, F.size("dead_ids") / n).otherwise(0.0).alias("dead_ratio"))
 
@@ -44,7 +45,7 @@ def records(parsed: DataFrame) -> DataFrame:
     kind = F.create_map(*[x for k, v in RECORD_TYPE.items() for x in (F.lit(k), F.lit(v))])
     rows = F.transform("steps", lambda s, i: F.struct(s["id"].alias("id"), F.coalesce(kind[s["step_type"]], s["step_type"]).alias("type"), F.element_at(F.col("edges"), i + 1).alias("inputs"), text.word_count(s["content"]).alias("original_tokens"), F.array(s["id"]).alias("paragraphs")))
     paragraphs = F.transform("steps", lambda s: s["content"])
-    return parsed.select("problem_id", "rollout_id", "trace_id", "is_correct", "answer", "ground_truth", "solution", rows.alias("rsteps"), paragraphs.alias("paragraph_texts"))
+    return parsed.select("problem_id", "rollout_id", "trace_id", "is_correct", "answer", "ground_truth", "solution", once(rows).alias("rsteps"), once(paragraphs).alias("paragraph_texts"))
 
 
 def features(r: DataFrame) -> DataFrame:

@@ -30,6 +30,17 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
     return flatten(table(spark, d, "rollouts"))
 
 
+def once(c: Column) -> Column:
+    """The same values, evaluated once per row.
+
+    The optimiser copies a column's expression into what uses it, and splits structs into
+    fields it copies one by one; inside a loop over steps that repeats the whole text
+    analysis per element. An expression that is not deterministic by its kind (this one's
+    result is) is never copied.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def _step(x: Column, i: Column) -> Column:
     return F.struct(i.alias("id"), text.step_type(x["p"], x["low"]).alias("step_type"), x["p"].alias("content"), F.length(x["p"]).alias("char_length"), text.symbols(x["p"]).alias("sym"))
 
@@ -70,12 +81,11 @@ def live_ids(edges: Column, seeds: Column) -> Column:
 def parse(df: DataFrame, solution: str = "solution") -> DataFrame:
     """Adds steps, edges, conclusions and live: arrays of one row per trace, no shuffle.
 
-    Null and blank texts have empty arrays. Columns that a later expression needs once are
-    used at least twice in it, so the optimiser does not copy the work into a loop.
+    Null and blank texts have empty arrays.
     """
-    df = df.withColumn("steps", step_array(F.col(solution)))
-    df = df.withColumn("edges", edge_array(F.col("steps"))).withColumn("conclusions", conclusion_ids(F.col("steps")))
-    return df.withColumn("live", live_ids(F.col("edges"), F.col("conclusions")))
+    df = df.withColumn("steps", once(step_array(F.col(solution))))
+    df = df.withColumn("edges", once(edge_array(F.col("steps")))).withColumn("conclusions", conclusion_ids(F.col("steps")))
+    return df.withColumn("live", once(live_ids(F.col("edges"), F.col("conclusions"))))
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
