@@ -52,9 +52,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", seed: int = 17, max
         e = nxt
     else:
         raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    _drop(e)
     if not collapsed:
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
+    _drop(e)
     labels = collapsed[-1].select(F.col("tail").alias("vertex"), F.col("to").alias("label"))
     since = 1
     for step in reversed(collapsed[:-1]):

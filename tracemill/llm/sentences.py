@@ -57,7 +57,7 @@ _INNER_RE = re.compile(r"(?<![^\W_])(?:e\.(?=\s?g\.)|i\.(?=\s?e\.)|z\.(?=\s?B\.)
 _ORDINAL_RE = re.compile(rf"(?<=\d)\.(?=\s(?:{_MONTHS})\b)|(?i:(?<=\bdem )|(?<=\bder )|(?<=\bden )|(?<=\bdes )|(?<=\bdie )|(?<=\bdas )|(?<=\bam )|(?<=\bim )|(?<=\bzum )|(?<=\bzur )|(?<=\bvom )|(?<=\bbeim ))(?:\d{{1,2}})\.(?=\s[A-ZÄÖÜ])")
 _DOTS_RE = re.compile(r"\.{2,}|…+")
 _INITIAL_RE = re.compile(r"(?<![^\W_])[A-ZÀ-ÞА-Я]\.(?=\s[A-ZÀ-ÞА-Я][^\W\d_])")
-_ITEM_RE = re.compile(r"(?m)^[ \t]*(?:([-*+•‣◦▪–—])[ \t]+(?=\S)|(\d{1,3}|[A-Za-z])([.)])[ \t]+(?=\S))")
+_ITEM_RE = re.compile(r"(?m)(?:^|(?<=\0))[ \t]*(?:([-*+•‣◦▪–—])[ \t]+(?=\S)|(\d{1,3}(?=[.)])|[A-Za-z](?=\)))([.)])[ \t]+(?=\S))")
 _VARIABLE_RE = re.compile(r"(?<=[.!?…])(?:[\"”»)\]]*)(?:\s+|(?<=[^\W_]\.)|(?<=[?!]))([b-df-hj-np-tv-xz])(?= )")
 
 
