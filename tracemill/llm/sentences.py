@@ -40,23 +40,30 @@ _OPENING_BRACKETS = "([{（［｛【〔"
 _GOES_ON = ",;:，；：、،؛%‰°"
 
 # Abbreviations with a stop, by what may follow.
-#: Never the end of a sentence before anything.
-_NEVER = r"e\.\s?g|i\.\s?e|z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?ä|p\.\s?ex|p\.\s?ej|c\.-à-d|т\.\s?е|т\.\s?к|vs|cf|resp|incl|bzw|Fig|fig|Abb|Tab|Eq|eq|Sec|Vol|núm|рис|табл|vgl|ca|viz|см|ср|напр|Mr|Mrs|Ms|Dr|Prof|Hr|Fr|Sr|Sra|Mme|Mlle|St|Gen|Rev"
+#: Never the end of a sentence.
+_NEVER = frozenset("vs cf resp incl bzw Fig fig Abb Tab Eq eq Sec Vol núm рис табл vgl ca viz см ср напр Mr Mrs Ms Dr Prof Hr Fr Sr Sra Mme Mlle St Gen Rev".split())
 #: Not before a number, quoted or with a stray sign before it, or a bracket.
-_BEFORE_NUMBER = r"No|Nos|Nr|num|n|Figs|figs|tab|Eqs|Secs|vol|Ch|ch|Art|art|Kap|Bd|Def|Thm|Lem|Prop|Cor|Ex|ex|p|pp|S|стр|гл|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec|Jän|Mär|Okt|Dez|ene|abr|ago|dic|janv|févr|avr|juil|déc"
+_BEFORE_NUMBER = frozenset("No Nos Nr num n Figs figs tab Eqs Secs vol Ch ch Art art Kap Bd Def Thm Lem Prop Cor Ex ex p pp S стр гл Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Jän Mär Okt Dez ene abr ago dic janv févr avr juil déc".split())
 #: The end of a sentence only if a capital follows.
-_MAY_END = r"etc|approx|aprox|env|usw|u\.\s?s\.\s?w|usf|a\.m|p\.m|A\.M|P\.M|a\.\s?C|d\.\s?C|и т\.\s?д|и т\.\s?п|и др|и пр|Inc|Ltd|Co|Jr|Sr|al|min|max|sec|ed|eds|r|s\.\s?o|s\.\s?u|г|гг|руб"
-_MONTHS = r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
+_MAY_END = frozenset("etc approx aprox env usw usf Inc Ltd Co Jr al min max sec ed eds r s г гг руб".split())
+#: Abbreviations in two parts, by the same kinds.
+_NEVER_PAIR = frozenset({("e", "g"), ("i", "e"), ("z", "B"), ("d", "h"), ("u", "a"), ("o", "ä"), ("p", "ex"), ("p", "ej"), ("т", "е"), ("т", "к")})
+_MAY_END_PAIR = frozenset({("a", "m"), ("p", "m"), ("A", "M"), ("P", "M"), ("a", "C"), ("d", "C"), ("т", "д"), ("т", "п"), ("s", "w"), ("s", "o"), ("s", "u")})
+_MAY_END_BEHIND_AND = frozenset({"др", "пр"})
+_MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
+_ARTICLES = frozenset("dem der den des die das am im zum zur vom beim".split())
 
-_NEVER_RE = re.compile(rf"(?<![^\W_])(?:{_NEVER})\.(?=\s|$|[^\s.])")
-_NUMBER_RE = re.compile(rf"(?<![^\W_])(?:{_BEFORE_NUMBER})\.(?=\s{{0,3}}(?:[^\w\s]{{1,4}}\s?)?[^\W\d]?[\d(（\[#$])")
-_MAY_END_RE = re.compile(rf"(?<![^\W_])(?:{_MAY_END})\.")
-#: Inner stops of abbreviations in several parts, as the first of "и т. д.".
-_INNER_RE = re.compile(r"(?<![^\W_])(?:e\.(?=\s?g\.)|i\.(?=\s?e\.)|z\.(?=\s?B\.)|d\.(?=\s?h\.)|u\.(?=\s?(?:a|s)\.)|o\.(?=\s?ä\.)|p\.(?=\s?e[xj]\.)|т\.(?=\s?[едкп]\.)|a\.(?=\s?(?:m|C)\.)|p\.(?=\s?m\.)|d\.(?=\s?C\.)|[A-Z]\.(?=[A-Z]\.))")
-#: German ordinals: before a month, or behind an article.
-_ORDINAL_RE = re.compile(rf"(?<=\d)\.(?=\s(?:{_MONTHS})\b)|(?i:(?<=\bdem )|(?<=\bder )|(?<=\bden )|(?<=\bdes )|(?<=\bdie )|(?<=\bdas )|(?<=\bam )|(?<=\bim )|(?<=\bzum )|(?<=\bzur )|(?<=\bvom )|(?<=\bbeim ))(?:\d{{1,2}})\.(?=\s[A-ZÄÖÜ])")
+_INNER_PARTS = frozenset(a for a, _ in _NEVER_PAIR | _MAY_END_PAIR) | {"u"}
+_LONGEST = max(map(len, _NEVER | _BEFORE_NUMBER | _MAY_END))
+#: What stands before a stop: an earlier part, and the letters or digits of the last word.
+_TAIL_RE = re.compile(r"(?:(?<![^\W_])([^\W\d_])\.[ \t\n   ]?)?(?<![^\W_])([^\W\d_]+|\d{1,2})\Z")
+_NUMBER_NEXT_RE = re.compile(r"\s{0,3}(?:[^\w\s]{1,4}\s?)?[^\W\d]?[\d(（\[#$]")
+_PART_NEXT_RE = re.compile(r"\s?([^\W\d_]{1,2})\.")
+_WORD_NEXT_RE = re.compile(r"\s([^\W\d_]+)")
+_BEFORE_RE = re.compile(r"([^\W\d_]+)[ \t\n]\d{1,2}\Z")
+_CAPITAL_NEXT_RE = re.compile(r"\s[A-ZÄÖÜ]")
 _DOTS_RE = re.compile(r"\.{2,}|…+")
-_INITIAL_RE = re.compile(r"(?<![^\W_])[A-ZÀ-ÞА-Я]\.(?=\s[A-ZÀ-ÞА-Я][^\W\d_])")
+_INITIAL_NEXT_RE = re.compile(r"\s[A-ZÀ-ÞА-Я][^\W\d_]")
 _ITEM_RE = re.compile(r"(?m)(?:^|(?<=\0))[ \t]*(?:([-*+•‣◦▪–—])[ \t]+(?=\S)|(\d{1,3}(?=[.)])|[A-Za-z](?=\)))([.)])[ \t]+(?=\S))")
 _VARIABLE_RE = re.compile(r"(?<=[.!?…])(?:[\"”»)\]]*)(?:\s+|(?<=[^\W_]\.)|(?<=[?!]))([b-df-hj-np-tv-xz])(?= )")
 
@@ -223,17 +230,10 @@ def _classify(text: str) -> np.ndarray:
         cls[i:j] = GOES_ON if tail.isdigit() or tail in ",;" or (tail.isalpha() and not tail.isupper()) else WEAK
         if led.isspace() and tail.isspace() and cls[j - 1] == WEAK:  # "1, 2, ... stops": part of the sentence
             cls[i:j] = WEAK
-    if len(stop):
-        for r in (_INNER_RE, _NEVER_RE, _NUMBER_RE, _ORDINAL_RE, _INITIAL_RE):
-            for m in r.finditer(text):
-                i = m.end() - 1
-                if r is _NEVER_RE and text[m.start() : i] in _CAPITAL_OK and _capital_follows(text, i + 1):
-                    continue
-                cls[i] = GOES_ON
-        for m in _MAY_END_RE.finditer(text):
-            i = m.end() - 1
-            if cls[i] == MARK:
-                cls[i] = WEAK
+    for i in stop[cls[stop] == MARK].tolist() + [i for i in stop[cls[stop] == GOES_ON].tolist() if text[i + 1 : i + 2].isspace()]:
+        kind = _stop_kind(text, i)
+        if kind is not None and (kind == GOES_ON or cls[i] == MARK):
+            cls[i] = kind
     for m in _VARIABLE_RE.finditer(text):
         i = m.start(1)
         cls[i] = VARIABLE
@@ -243,13 +243,40 @@ def _classify(text: str) -> np.ndarray:
     return cls
 
 
-#: Abbreviations that may also be the last word of a sentence before a capital.
-_CAPITAL_OK = frozenset()
-
-
-def _capital_follows(text: str, i: int) -> bool:
-    rest = text[i : i + 3].lstrip()
-    return bool(rest) and rest[0].isupper()
+def _stop_kind(text: str, i: int) -> int | None:
+    """GOES_ON or WEAK for the stop of an abbreviation, an initial or an ordinal at place i; None for others."""
+    m = _TAIL_RE.search(text, max(0, i - _LONGEST - 5), i)
+    if m is None:
+        return None
+    part, word = m.groups()
+    if word.isdigit():
+        nxt = _WORD_NEXT_RE.match(text, i + 1)
+        if nxt is None:
+            return None
+        if nxt.group(1) in _MONTHS:
+            return GOES_ON
+        before = _BEFORE_RE.search(text, max(0, m.start() - 12), i)
+        return GOES_ON if before and before.group(1).lower() in _ARTICLES and _CAPITAL_NEXT_RE.match(text, i + 1) else None
+    if len(word) <= 2:
+        if word in _INNER_PARTS:
+            nxt = _PART_NEXT_RE.match(text, i + 1)
+            if nxt and ((word, nxt.group(1)) in _NEVER_PAIR or (word, nxt.group(1)) in _MAY_END_PAIR or (word, nxt.group(1)) == ("u", "s")):
+                return GOES_ON
+        if part:
+            if (part, word) in _NEVER_PAIR:
+                return GOES_ON
+            if (part, word) in _MAY_END_PAIR:
+                return WEAK
+        if len(word) == 1 and word.isupper():
+            if _INITIAL_NEXT_RE.match(text, i + 1) or (text[i + 1 : i + 2].isupper() and text[i + 2 : i + 3] == "."):
+                return GOES_ON
+        if word in _MAY_END_BEHIND_AND:
+            return WEAK
+    if word in _NEVER:
+        return GOES_ON
+    if word in _BEFORE_NUMBER and _NUMBER_NEXT_RE.match(text, i + 1):
+        return GOES_ON
+    return WEAK if word in _MAY_END else None
 
 
 def _items(text: str, cls: np.ndarray) -> None:
