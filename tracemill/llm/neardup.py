@@ -42,14 +42,12 @@ def one_permutation(doc: np.ndarray, h: np.ndarray, n_docs: int, bins: int, seed
         return out
     p = mix64(h ^ mix64(np.array([seed], np.uint64)))
     cell = doc * bins + ((p >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((p, cell))
-    cell, p = cell[order], p[order]
-    first = np.concatenate([[True], cell[1:] != cell[:-1]])
-    full = np.zeros(n_docs * bins, bool)
-    full[cell[first]] = True
-    out.ravel()[cell[first]] = p[first]
-    full = full.reshape(n_docs, bins)
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out.fill(most)
+    np.minimum.at(out.ravel(), cell, p)
+    full = out != most
     some = full.any(1)
+    out[~full] = 0
     todo_doc, todo_bin = np.nonzero(~full & some[:, None])
     attempt = 1
     while len(todo_doc):
