@@ -789,3 +789,107 @@ def parser_level_corr(spark, d):
 def full_coverage(spark, d):
     """Problems of which every trace has the second annotation."""
     return _levels(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")
+
+
+# Credit, distance and other views of liveness; samples and lookups.
+
+
+@query(S.RECURSIVE + " select t.problem_id, t.rollout_id, t.trace_id, coalesce(sum(case when is_live then 1 when step_type in ('computation', 'derivation') then -1 else 0 end), 0)::bigint as credit from t left join ls using (rollout_id, trace_id) group by all")
+def step_credit(spark, d):
+    """Per trace: one for every live step, minus one for every dead computation or derivation."""
+    p = T.parsed(spark, d)
+    one = lambda s: F.when(F.array_contains("live", s["id"]), 1).when(s["step_type"].isin("computation", "derivation"), -1).otherwise(0)
+    return p.select(*T.KEYS, F.aggregate("steps", F.lit(0), lambda a, s: a + one(s)).cast("bigint").alias("credit"))
+
+
+@query("with recursive " + S.GRAPH + """, dist(rollout_id, trace_id, step_id, k) as (
+   select s.rollout_id, s.trace_id, s.step_id, 0 from s join n using (rollout_id, trace_id) where s.step_type = 'conclusion' or (not concluded and step_id = last_id)
+   union select e.rollout_id, e.trace_id, e.src, x.k + 1 from dist x join e on e.rollout_id = x.rollout_id and e.trace_id = x.trace_id and e.dst = x.step_id),
+  near as (select rollout_id, trace_id, step_id, min(k) as k from dist group by all)
+  select t.problem_id, t.rollout_id, t.trace_id, round(coalesce(sum(power(0.5::double, k)), 0), 6) as weighted_liveness, coalesce(max(k), 0)::int as depth from t left join near using (rollout_id, trace_id) group by all""")
+def weighted_liveness(spark, d):
+    """Per trace: the sum of 0.5 to the distance of every live step from a conclusion, and the greatest distance."""
+    p = T.parsed(spark, d)
+    back = F.when(F.size("edges") > 0, F.reverse(F.sequence(F.lit(0), F.size("edges") - 1))).otherwise(F.array().cast("array<int>"))
+    start = F.map_from_arrays("conclusions", F.transform("conclusions", lambda _: F.lit(0)))
+
+    def grow(acc, i):
+        used = F.element_at(F.col("edges"), i + 1)
+        more = F.map_from_arrays(used, F.transform(used, lambda _: acc[i] + 1))
+        return F.when(F.map_contains_key(acc, i), F.map_zip_with(acc, more, lambda _, a, b: F.least(a, b))).otherwise(acc)
+
+    dist = F.map_values(F.aggregate(back, start, grow))
+    p = p.select(*T.KEYS, T.once(dist).alias("dist"))
+    return p.select(*T.KEYS, F.round(F.aggregate("dist", F.lit(0.0), lambda a, k: a + F.pow(F.lit(0.5), k)), 6).alias("weighted_liveness"), F.coalesce(F.array_max("dist"), F.lit(0)).alias("depth"))
+
+
+@query(_r(", fr as (select * from (" + _FRAGILE.replace(", pk as", "with pk as", 1) + ")) select kind, fragile, count(*) as n, sum(n_chars)::bigint as chars from fr group by all"))
+def fragile_summary(spark, d):
+    """What a cautious elimination would keep (fragile) and remove (robust), by kind."""
+    return R.fragile(_records(spark, d).filter("size(rsteps) > 0")).groupBy("kind", "fragile").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(S.ROWS + f", c as (select problem_id, rollout_id, trace_id, is_correct, {_COUNTS} from t), x as (select is_correct, {_V} as v from c) select v > (select median(v) from x) as more, count(*) as n, round(avg(is_correct::int), 6) as accuracy from x group by 1")
+def verification_median_split(spark, d):
+    """Accuracy of traces that verify more than the median trace, and of the others."""
+    t = T.traces(spark, d).withColumn("low", F.lower("solution"))
+    x = t.select("is_correct", sum((F.regexp_count("low", F.lit(fixed.COUNTED[k])) for k in fixed.COUNTED_VERIFICATION), F.lit(0)).alias("v"))
+    g = x.groupBy("v", "is_correct").agg(F.count("*").alias("n"))
+    mid = g.agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("mid"))
+    return g.join(F.broadcast(mid)).groupBy((F.col("v") > F.col("mid")).alias("more")).agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("is_correct"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
+
+
+@query("select problem_id from (select distinct problem_id from problems) order by md5(problem_id || '42'), problem_id limit 25")
+def hash_sample(spark, d):
+    """A sample of problems that any engine draws alike."""
+    p = table(spark, d, "problems").select("problem_id").distinct()
+    return p.orderBy(F.md5(F.concat("problem_id", F.lit("42")).cast("binary")), "problem_id").limit(25)
+
+
+@query(S.ROWS + ", a as (select problem_id, min(answer) as answer from problems where answer is not null group by 1) select t.problem_id, t.rollout_id, t.trace_id, coalesce(a.answer, t.ground_truth) as truth from t left join a using (problem_id)")
+def ground_truth_lookup(spark, d):
+    """Each trace's truth from the problem bank, or its own where the bank has none."""
+    a = table(spark, d, "problems").filter("answer is not null").groupBy("problem_id").agg(F.min("answer").alias("bank"))
+    return T.traces(spark, d).join(a, "problem_id", "left").select(*T.KEYS, F.coalesce("bank", "ground_truth").alias("truth"))
+
+
+@query(S.ROWS + f" select problem_id, rollout_id, trace_id, case when instr(solution, '</think>') > 0 then {S.trim(chr(115) + 'ubstr(solution, instr(solution, ' + chr(39) + '</think>' + chr(39) + ') + 8)')} else solution end as body, case when regexp_matches(solution, '(?s)<think>(.*?)</think>') then regexp_extract(solution, '(?s)<think>(.*?)</think>', 1) else solution end as thinking from t")
+def think_texts(spark, d):
+    """What follows the thinking block, and what stands in it."""
+    return T.traces(spark, d).select(*T.KEYS, text.reasoning_body(F.col("solution")).alias("body"), text.thinking(F.col("solution")).alias("thinking"))
+
+
+_SCAFFOLD = ["explicit_verify", "wait", "rethink", "what_if", "alternatively", "examine"]
+
+
+@query(S.ROWS + f", c as (select rollout_id, trace_id, is_correct, {_COUNTS} from t), w as (select a.is_correct as ca, b.is_correct as cb, " + ", ".join(f"b.{k} - a.{k} as {k}" for k in _SCAFFOLD) + " from c a join c b on a.rollout_id = b.rollout_id and a.trace_id = 0 and b.trace_id = 1) select case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, " + ", ".join(f"round(avg({k}), 6) as {k}" for k in _SCAFFOLD) + " from w group by 1")
+def scaffold_diff(spark, d):
+    """How much more often the second run uses each phrase than the first, by who solved the problem."""
+    t = T.traces(spark, d).filter("trace_id < 2").withColumn("low", F.lower("solution"))
+    c = t.select("rollout_id", "trace_id", "is_correct", *[F.regexp_count("low", F.lit(fixed.COUNTED[k])).alias(k) for k in _SCAFFOLD])
+    pick = lambda k, m: F.max(F.when(F.col("trace_id") == m, F.col(k)))
+    g = c.groupBy("rollout_id").agg(pick("is_correct", 0).alias("ca"), pick("is_correct", 1).alias("cb"), *[(pick(k, 1) - pick(k, 0)).alias(k) for k in _SCAFFOLD]).filter("ca is not null and cb is not null")
+    outcome = F.when(F.col("ca") & F.col("cb"), "both").when(F.col("ca"), "base_only").when(F.col("cb"), "new_only").otherwise("neither")
+    return g.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), *[F.round(F.avg(k), 6).alias(k) for k in _SCAFFOLD])
+
+
+@query(S.EVAL + "select model, level, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(num_tokens), 6) as avg_tokens, round(avg(num_steps), 6) as avg_steps from ev group by all")
+def condition_metrics(spark, d):
+    """Both runs by level: accuracy, dead steps, tokens, steps."""
+    a = lambda c: F.round(F.avg(c), 6)
+    return _runs(spark, d).groupBy("model", "level").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("num_tokens").alias("avg_tokens"), a("num_steps").alias("avg_steps"))
+
+
+@query(S.PAIRS + ", k as (select substr(problem_text, 1, 100) as prompt, pair_type, count(*) as n from pr group by all) select prompt, count(*) as kinds, sum(n)::bigint as pairs from k group by 1 having count(*) > 1")
+def problems_in_several_kinds(spark, d):
+    """Prompts that more than one kind of pair covers."""
+    k = _pairs_once(spark, d).groupBy(F.substring("problem_text", 1, 100).alias("prompt"), "pair_type").agg(F.count("*").alias("n"))
+    return k.groupBy("prompt").agg(F.count("*").alias("kinds"), F.sum("n").alias("pairs")).filter("kinds > 1")
+
+
+@query(_r("select count(*) filter (dead_token_ratio > 0.05)::double / count(*) > 0.5 as wasteful, abs(avg(dsr) filter (is_correct) - avg(dsr) filter (not is_correct)) < 0.05 as independent, avg(vii) filter (verif > 0) > 0.3 as idle_verification, count(*) as n from fe"))
+def verdicts(spark, d):
+    """Three yes-or-no findings over all records."""
+    f = _features(spark, d)
+    right = F.col("is_correct")
+    return f.agg((F.count_if(F.col("dead_token_ratio") > 0.05) / F.count("*") > 0.5).alias("wasteful"), (F.abs(F.avg(F.when(right, F.col("dsr"))) - F.avg(F.when(~right, F.col("dsr")))) < 0.05).alias("independent"), (F.avg(F.when(F.col("verif") > 0, F.col("vii"))) > 0.3).alias("idle_verification"), F.count("*").alias("n"))

@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     return current.get()
 
 
-def materialize(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage by a written table in the shared folder, computed once.
 
     ``DataFrame.checkpoint`` runs the plan twice (once to count, once to write); a
@@ -60,3 +60,13 @@ def materialize(df: DataFrame, partition_rows: int | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote for this session; results that still read them are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        for f in fs.listStatus(folder):
+            if f.getPath().getName().startswith("t-"):
+                fs.delete(f.getPath(), True)
