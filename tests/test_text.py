@@ -107,3 +107,15 @@ def test_live_fold_random(spark):
         want.append(sorted(live))
     df = spark.createDataFrame(rows, "i int, e array<array<int>>, s array<int>")
     assert [r[1] for r in df.select("i", T.live_ids(F.col("e"), F.col("s"))).orderBy("i").collect()] == want
+
+
+def test_sql_names(spark):
+    from tracemill.functions.register import plain_step_type, register
+
+    assert [plain_step_type(g) for g, _ in GOLDEN] == [t for _, t in GOLDEN]
+    rows = [(1, "p", "q", "7", "s", [("Let x = 12.\n\nSo \\boxed{12}.", "12", True, 5)])]
+    schema = "rollout_id bigint, problem_id string, problem_text string, ground_truth string, shard string, traces array<struct<solution:string,answer:string,is_correct:boolean,num_tokens:int>>"
+    register(spark, spark.createDataFrame(rows, schema))
+    assert [r.step_type for r in spark.sql("select * from trace_steps('Let x = 12.\n\nSo \\\\boxed{12}.')").collect()] == ["derivation", "conclusion"]
+    assert spark.sql("select count(*) as n from trace_rows where is_live").first().n == 2
+    assert spark.sql("select num_steps from trace_metrics").first().num_steps == 2
