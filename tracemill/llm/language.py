@@ -20,6 +20,8 @@ STOPWORDS = {
 _BY_WORD: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
+        if len(_w) < 2:  # single letters are variables as often as words
+            continue
         _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _lang)
 
 _LETTERS = re.compile(r"[^\W\d_]+")
