@@ -103,9 +103,9 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_problems(spark, str(tmp_path / "c.json")).collect()] == [("prob_0", "q", "7")]
     d = tmp_path / "records"
     d.mkdir()
-    (d / "limo_3.json").write_text(json.dumps({"steps": [{"id": 1, "type": "conclusion", "inputs": []}]}))
+    (d / "rec_3.json").write_text(json.dumps({"steps": [{"id": 1, "type": "conclusion", "inputs": []}]}))
     (d / "x_summary.json").write_text("{}")
-    assert [r.problem_id for r in files.read_records(spark, str(d)).collect()] == ["limo_3"]
+    assert [r.problem_id for r in files.read_records(spark, str(d)).collect()] == ["rec_3"]
     p = spark.createDataFrame([("p", "c", "r"), ("q", "c", "r")], "problem_id string, chosen_solution string, rejected_solution string")
     t = spark.createDataFrame([("p", "what?"), ("q", "")], "problem_id string, problem_text string")
     files.write_pairs(p, t, str(tmp_path / "out"))
