@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.traces import KEYS, once
+from tracemill.operators.traces import KEYS, once, unique
 
 TYPES = ["dead_cascade", "verification_theater", "abandoned_branch", "circular_revisit"]
 MIN_CASCADE, REVISIT_SHARE = 3, 0.6
@@ -63,7 +63,7 @@ def motifs(p: DataFrame) -> DataFrame:
         after = m["first_id"] + m["length"]
         return F.struct(i.alias("motif_seq"), m["motif_type"].alias("motif_type"), m["first_id"].alias("first_id"), m["length"].alias("length"), m["severity"].alias("severity"), (m["first_id"] - 1).alias("context_before_id"), F.when(after < F.size("steps"), after).otherwise(-1).alias("context_after_id"))
 
-    return with_motifs(p).select(*KEYS, F.explode(F.transform("motifs", row)).alias("__m")).select(*KEYS, "__m.*")
+    return unique(with_motifs(p).select(*KEYS, F.transform("motifs", row).alias("__rows"))).select(*KEYS, F.explode("__rows").alias("__m")).select(*KEYS, "__m.*")
 
 
 def count_of(kind: str) -> Column:
@@ -77,4 +77,5 @@ def motif_summary(p: DataFrame) -> DataFrame:
     total = F.aggregate("motifs", F.lit(0), lambda a, x: a + x["length"])
     severity = F.aggregate("motifs", F.lit(0.0), lambda a, x: a + x["severity"])
     kinds = [count_of(t).cast("bigint").alias(t) for t in TYPES]
-    return m.select(*KEYS, n.cast("bigint").alias("num_motifs"), total.cast("bigint").alias("wasted_steps"), F.when(n > 0, F.round(severity / n, 6)).otherwise(0.0).alias("mean_severity"), *kinds)
+    summary = m.select(*KEYS, n.cast("bigint").alias("num_motifs"), total.cast("bigint").alias("wasted_steps"), F.when(n > 0, F.round(severity / n, 6)).otherwise(0.0).alias("mean_severity"), *kinds)
+    return unique(summary)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.motifs import with_motifs
+from tracemill.operators.traces import unique
 from tracemill.session import materialize
 
 ORDER = ["rollout_id", "trace_id"]
@@ -70,7 +71,7 @@ def prepare(p: DataFrame, severity: float = 0.5, steps: int = 3) -> DataFrame:
     live_v = F.size(F.filter(verif, lambda s: F.array_contains("live", s["id"])))
     worst = F.array_max(F.transform("motifs", lambda x: x["severity"]))
     return materialize(
-        m.select(
+        unique(m.select(
             "problem_id",
             *ORDER,
             "is_correct",
@@ -81,7 +82,7 @@ def prepare(p: DataFrame, severity: float = 0.5, steps: int = 3) -> DataFrame:
             *[_has(t).alias(f"has_{t}") for t in CONTRASTED],
             F.length("solution").alias("n_chars"),
             F.when(F.col("is_correct"), F.transform(severe, cut)).alias("cuts"),
-        )
+        ))
     )
 
 

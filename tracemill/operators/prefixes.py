@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.motifs import with_motifs
-from tracemill.operators.traces import KEYS, conclusion_ids, live_ids, once
+from tracemill.operators.traces import KEYS, conclusion_ids, live_ids, once, unique
 
 KINDS = ["redirect_cascade", "skip_theater", "redirect_branch"]
 
@@ -32,7 +32,8 @@ def timeline(p: DataFrame) -> DataFrame:
     theater = F.exists("motifs", lambda m: (m["motif_type"] == "verification_theater") & (m["first_id"] <= last) & (end(m) >= last))
     branch = F.exists("motifs", lambda m: (m["motif_type"] == "abandoned_branch") & (m["first_id"] <= last) & (end(m) >= last) & (m["length"] >= 3))
     kind = F.when(F.size(cascade) > 0, KINDS[0]).when(theater, KINDS[1]).when(branch, KINDS[2])
-    return prefixes(p).select(*KEYS, last.alias("step_id"), F.col("n").alias("num_steps"), F.size("motifs").alias("num_motifs"), (F.col("n") - F.size("live")).alias("num_dead"), kind.alias("intervention"))
+    rows = prefixes(p).select(*KEYS, last.alias("step_id"), F.col("n").alias("num_steps"), F.size("motifs").alias("num_motifs"), (F.col("n") - F.size("live")).alias("num_dead"), kind.alias("intervention"))
+    return unique(rows, "step_id")
 
 
 def interventions(p: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed
-from tracemill.operators.traces import KEYS, once
+from tracemill.operators.traces import KEYS, once, unique
 
 REVISIT_JACCARD, SHARED_SYMBOLS = 0.6, 2
 
@@ -44,7 +44,7 @@ def with_quality(p: DataFrame) -> DataFrame:
 def dead_steps(p: DataFrame) -> DataFrame:
     """A row per dead step with its kind and penalty."""
     rows = F.transform("quality", lambda k, i: F.struct(i.alias("step_id"), F.element_at(F.col("steps"), i + 1)["step_type"].alias("step_type"), k.alias("quality")))
-    d = with_quality(p).select(*KEYS, F.explode(F.filter(rows, lambda r: r["quality"].isNotNull())).alias("r")).select(*KEYS, "r.*")
+    d = unique(with_quality(p).select(*KEYS, F.filter(rows, lambda r: r["quality"].isNotNull()).alias("rows"))).select(*KEYS, F.explode("rows").alias("r")).select(*KEYS, "r.*")
     return d.withColumn("penalty", penalty(F.col("quality")))
 
 
@@ -65,4 +65,4 @@ def rewards(p: DataFrame, extra: list[str] | None = None) -> DataFrame:
     cost = sum((n * F.lit(fixed.PENALTY[k]) for k, n in kinds.items()), F.lit(0.0))
     n = F.size("steps")
     reward = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cost / n))).otherwise(1.0)
-    return w.select(*KEYS, *(extra or []), F.round(reward, 9).alias("quality_reward"), *[c.cast("bigint").alias(k) for k, c in kinds.items()])
+    return unique(w.select(*KEYS, *(extra or []), F.round(reward, 9).alias("quality_reward"), *[c.cast("bigint").alias(k) for k, c in kinds.items()]))

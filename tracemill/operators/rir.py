@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
-from tracemill.operators.traces import once
+from tracemill.operators.traces import once, unique
 
 #: Step types of records by the types of paragraphs.
 RECORD_TYPE = {"exploration": "assumption", "correction": "derivation"}
@@ -69,6 +69,7 @@ def features(r: DataFrame) -> DataFrame:
         tokens(F.filter("steps", dead)).cast("bigint").alias("dead_tokens"),
         tokens(dead_v).cast("bigint").alias("dead_verif_tokens"),
     ).filter("total > 0")
+    out = unique(out)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select("*", share("dead", "total").alias("dsr"), share("dead_verif", "verif").alias("vii"), share("dead_tokens", "tokens").alias("dead_token_ratio"))
 
@@ -87,7 +88,7 @@ def without(paragraphs: Column, removed: Column) -> Column:
 
 
 def variants(r: DataFrame) -> DataFrame:
-    """A row per record and cleaned variant: original, dse, noverif, liveverif, keywordclean."""
+    """A row per record and cleaned variant: original, dse, noverif, liveverif, keywordclean; twice delivered records are there twice (see ``unique``)."""
     e = eliminate(r.withColumnRenamed("rsteps", "steps"))
     ids = lambda f: F.transform(F.filter("steps", f), lambda s: s["id"])
     verif = lambda s: s["type"] == "verification"
@@ -127,7 +128,7 @@ def fragile(r: DataFrame) -> DataFrame:
         return F.struct(i.alias("step_id"), kind.alias("kind"), F.length(x).alias("n_chars"), (close | kind.isin("verification", "exploration", "correction") | beside).alias("fragile"), F.array_contains("__kept", x).alias("kept"))
 
     rows = F.filter(F.transform("paragraph_texts", row), lambda s: ~s["kept"])
-    return e.select("problem_id", "rollout_id", "trace_id", F.explode(rows).alias("s")).select("problem_id", "rollout_id", "trace_id", "s.step_id", "s.kind", "s.n_chars", "s.fragile")
+    return unique(e.select("problem_id", "rollout_id", "trace_id", rows.alias("rows"))).select("problem_id", "rollout_id", "trace_id", F.explode("rows").alias("s")).select("problem_id", "rollout_id", "trace_id", "s.step_id", "s.kind", "s.n_chars", "s.fragile")
 
 
 def difficulty(problem: Column) -> Column:

@@ -16,16 +16,22 @@ KEYS = ["problem_id", "rollout_id", "trace_id"]
 
 
 def flatten(rollouts: DataFrame) -> DataFrame:
-    """One row per sampled trace; twice delivered rollouts count once, missing fields get their defaults.
+    """One row per sampled trace, missing fields with their defaults.
 
     ``trace_id`` is the trace's place in its rollout. Null and empty ``traces`` give no row.
+    Twice delivered rollouts are still there twice: to tell them apart here would shuffle
+    all texts. ``unique`` drops them from the narrow rows that come of the texts.
     """
-    once = rollouts.dropDuplicates(["rollout_id"])
-    t = once.select("problem_id", "rollout_id", F.coalesce("problem_text", F.lit("")).alias("problem_text"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"), "shard", F.posexplode("traces").alias("trace_id", "t"))
+    t = rollouts.select("problem_id", "rollout_id", F.coalesce("problem_text", F.lit("")).alias("problem_text"), F.coalesce("ground_truth", F.lit("")).alias("ground_truth"), "shard", F.posexplode("traces").alias("trace_id", "t"))
     solution = F.coalesce("t.solution", F.lit(""))
     return t.select(*KEYS, "problem_text", "ground_truth", "shard", solution.alias("solution"), F.coalesce("t.answer", F.lit("")).alias("answer"), F.coalesce("t.is_correct", F.lit(False)).alias("is_correct"), F.coalesce("t.num_tokens", text.word_count(solution)).cast("bigint").alias("num_tokens"))
 
 
+def unique(df: DataFrame, *more: str) -> DataFrame:
+    """Rows of one trace (and of one further key) once; what came of a twice delivered rollout is equal."""
+    return df.dropDuplicates([*KEYS, *more])
+
+
 def traces(spark: SparkSession, d: str) -> DataFrame:
     return flatten(table(spark, d, "rollouts"))
 
@@ -93,9 +99,9 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exploded(p: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row per step: id, type, content, symbols, inputs, is_live."""
-    rows = F.transform("steps", lambda s, i: F.struct(i.alias("step_id"), s["step_type"].alias("step_type"), s["content"].alias("content"), s["char_length"].alias("char_length"), s["sym"].alias("sym"), F.element_at(F.col("edges"), i + 1).alias("inputs"), F.array_contains("live", i).alias("is_live")))
-    return p.select(*KEYS, *(extra or []), F.explode(rows).alias("__s")).select(*KEYS, *(extra or []), "__s.*")
+    """One row per step: id, type, length, symbols, inputs, is_live."""
+    rows = F.transform("steps", lambda s, i: F.struct(i.alias("step_id"), s["step_type"].alias("step_type"), s["char_length"].alias("char_length"), s["sym"].alias("sym"), F.element_at(F.col("edges"), i + 1).alias("inputs"), F.array_contains("live", i).alias("is_live")))
+    return unique(p.select(*KEYS, *(extra or []), rows.alias("__rows"))).select(*KEYS, *(extra or []), F.explode("__rows").alias("__s")).select(*KEYS, *(extra or []), "__s.*")
 
 
 def annotate(p: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def annotate(p: DataFrame) -> DataFrame:
     n_v = F.size(verif)
     live_v = F.size(F.filter(verif, lambda s: F.array_contains("live", s["id"])))
     some = n > 0
-    return p.select(
+    metrics = p.select(
         *KEYS,
         "is_correct",
         "num_tokens",
@@ -117,9 +123,10 @@ def annotate(p: DataFrame) -> DataFrame:
         F.when(~some, 0.0).when(n_v > 0, live_v / n_v).otherwise(1.0).alias("live_verification_rate"),
         F.when(some, F.length("solution")).otherwise(0).cast("bigint").alias("trace_length"),
     )
+    return unique(metrics)
 
 
 def typed_dsr(p: DataFrame) -> DataFrame:
     """Per trace and step type present: total, dead, ratio."""
     rows = F.transform(F.array(*[F.lit(t) for t in fixed.STEP_TYPES]), lambda t: F.struct(t.alias("step_type"), F.size(F.filter("steps", lambda s: s["step_type"] == t)).cast("bigint").alias("total"), F.size(F.filter("steps", lambda s: (s["step_type"] == t) & ~F.array_contains("live", s["id"]))).cast("bigint").alias("dead")))
-    return p.select(*KEYS, F.explode(F.filter(rows, lambda r: r["total"] > 0)).alias("r")).select(*KEYS, "r.*").withColumn("ratio", F.col("dead") / F.col("total"))
+    return unique(p.select(*KEYS, F.filter(rows, lambda r: r["total"] > 0).alias("rows"))).select(*KEYS, F.explode("rows").alias("r")).select(*KEYS, "r.*").withColumn("ratio", F.col("dead") / F.col("total"))

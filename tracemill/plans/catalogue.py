@@ -42,13 +42,15 @@ def trace_annotation(spark, d):
 @query(S.PLAIN + " select problem_id, rollout_id, trace_id, step_id, step_type, char_length from s")
 def step_types(spark, d):
     p = T.traces(spark, d).withColumn("steps", T.step_array(F.col("solution")))
-    return p.select(*T.KEYS, F.explode("steps").alias("s")).select(*T.KEYS, F.col("s.id").alias("step_id"), "s.step_type", "s.char_length")
+    rows = F.transform("steps", lambda s: F.struct(s["id"].alias("step_id"), s["step_type"].alias("step_type"), s["char_length"].alias("char_length")))
+    return T.unique(p.select(*T.KEYS, rows.alias("rows"))).select(*T.KEYS, F.explode("rows").alias("s")).select(*T.KEYS, "s.*")
 
 
 @query(S.PLAIN + " select problem_id, rollout_id, trace_id, step_id, array_to_string(sym, ' ') as symbols from s")
 def step_symbols(spark, d):
     p = T.traces(spark, d).withColumn("steps", T.step_array(F.col("solution")))
-    return p.select(*T.KEYS, F.explode("steps").alias("s")).select(*T.KEYS, F.col("s.id").alias("step_id"), F.array_join("s.sym", " ").alias("symbols"))
+    rows = F.transform("steps", lambda s: F.struct(s["id"].alias("step_id"), F.array_join(s["sym"], " ").alias("symbols")))
+    return T.unique(p.select(*T.KEYS, rows.alias("rows"))).select(*T.KEYS, F.explode("rows").alias("s")).select(*T.KEYS, "s.*")
 
 
 @query(S.RECURSIVE + " select problem_id, rollout_id, trace_id, src, dst from e")
@@ -121,7 +123,7 @@ def scored(spark, d):
     cost = sum((c * F.lit(fixed.PENALTY[k]) for k, c in kinds.items()), F.lit(0.0))
     live_v = F.size(F.filter(verif, lambda s: F.array_contains("live", s["id"])))
     at = text.answer_position(F.col("solution"))
-    return w.select(
+    rows = w.select(
         *T.KEYS,
         "shard",
         "is_correct",
@@ -137,6 +139,12 @@ def scored(spark, d):
         F.when(at < 1.0, F.length("solution") * (1.0 - at)).otherwise(0.0).alias("post_answer_len"),
         *[c.cast("bigint").alias(k) for k, c in kinds.items()],
     )
+    return T.unique(rows)
+
+
+def _outcomes(spark, d):
+    """What is known of every trace without its text."""
+    return T.unique(T.traces(spark, d).select(*T.KEYS, "shard", "is_correct", "num_tokens"))
 
 
 def _annotated(spark, d):
@@ -228,7 +236,7 @@ def best_of_n_table(spark, d):
 
 @query(S.ROWS + " select count(*) as problems, sum(n) as traces, round(avg((c > 0)::int), 6) as pass_at_k, round(sum(c)::double / sum(n), 6) as accuracy from (select problem_id, count(*) as n, count(*) filter (is_correct) as c from t group by 1)")
 def pass_at_k(spark, d):
-    g = T.traces(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"))
+    g = _outcomes(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"))
     return g.agg(F.count("*").alias("problems"), F.sum("n").alias("traces"), F.round(F.avg((F.col("c") > 0).cast("double")), 6).alias("pass_at_k"), F.round(F.sum("c") / F.sum("n"), 6).alias("accuracy"))
 
 
@@ -239,7 +247,7 @@ _CAT = "(select problem_id, count(*) as n, count(*) filter (is_correct) as n_cor
 
 @query(S.ROWS + " select problem_id, n, n_correct, case when n_correct = n then 'saturated' when n_correct > 0 then 'partial' else 'all_incorrect' end as category from " + _CAT.format("t"))
 def problem_categories(spark, d):
-    return X.categories(T.traces(spark, d))
+    return X.categories(_outcomes(spark, d))
 
 
 _VAR = """(select problem_id, count(*) as n, count(*) filter (is_correct) as n_correct, var_pop(is_correct::int::double) as outcome_var, var_pop(case when is_correct then 1 - dsr end) as struct_var,
@@ -311,7 +319,7 @@ def _boxed_sql(x: str) -> str:
 
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, {_boxed_sql('solution')} as boxed from t")
 def boxed_answers(spark, d):
-    return T.traces(spark, d).select(*T.KEYS, text.boxed_answer(F.col("solution")).alias("boxed"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.boxed_answer(F.col("solution")).alias("boxed")))
 
 
 def _normal_sql(x: str) -> str:
@@ -334,12 +342,12 @@ def _normal_sql(x: str) -> str:
 
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, {_normal_sql('answer')} as answer_norm, {_normal_sql('ground_truth')} as truth_norm from t")
 def normalized_answers(spark, d):
-    return T.traces(spark, d).select(*T.KEYS, text.normalize_answer(F.col("answer")).alias("answer_norm"), text.normalize_answer(F.col("ground_truth")).alias("truth_norm"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.normalize_answer(F.col("answer")).alias("answer_norm"), text.normalize_answer(F.col("ground_truth")).alias("truth_norm")))
 
 
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, a <> '' and a = g as correct from (select problem_id, rollout_id, trace_id, {_normal_sql('answer')} as a, {_normal_sql('ground_truth')} as g from t)")
 def correctness(spark, d):
-    return T.traces(spark, d).select(*T.KEYS, text.correct(F.col("answer"), F.col("ground_truth")).alias("correct"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.correct(F.col("answer"), F.col("ground_truth")).alias("correct")))
 
 
 def _numeric_sql(x: str) -> str:
@@ -350,7 +358,7 @@ def _numeric_sql(x: str) -> str:
 
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, case when try_cast(a as double) is not null and try_cast(g as double) is not null then try_cast(a as double) = try_cast(g as double) else lower(a) = lower(g) end as correct from (select problem_id, rollout_id, trace_id, {_numeric_sql('answer')} as a, {_numeric_sql('ground_truth')} as g from t)")
 def numeric_correctness(spark, d):
-    return T.traces(spark, d).select(*T.KEYS, text.numeric_equal(F.col("answer"), F.col("ground_truth")).alias("correct"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.numeric_equal(F.col("answer"), F.col("ground_truth")).alias("correct")))
 
 
 @query("with p as (select problem_id, min(answer) as answer from problems where answer is not null group by 1) select problem_id, coalesce(nullif(concat_ws(' ', case when regexp_matches(answer, '^\\d+$') then 'The answer is a positive integer.' when contains(answer, '/') or contains(answer, 'frac') then 'The answer is a fraction.' when contains(answer, '.') then 'The answer is a decimal number.' end, case when v < 0 then 'The answer is negative.' when v < 10 then 'The answer is a small number (single digit).' when v < 100 then 'The answer is a two-digit number.' when v < 1000 then 'The answer is a three-digit number.' end), ''), 'Think carefully about this problem step by step.') as hint from (select *, try_cast(replace(answer, ',', '') as double) as v from p)")
@@ -378,7 +386,7 @@ from t left join hb on hb.rollout_id = t.rollout_id and hb.trace_id = t.trace_id
 
 @query(_HINT)
 def key_step_hints(spark, d):
-    return T.traces(spark, d).select(*T.KEYS, text.key_step_hint(F.col("solution")).alias("hint"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.key_step_hint(F.col("solution")).alias("hint")))
 
 
 _COUNTS = ", ".join(f"len(regexp_extract_all(lower(solution), {S.q(p)}))::bigint as {k}" for k, p in fixed.COUNTED.items())
@@ -387,7 +395,7 @@ _COUNTS = ", ".join(f"len(regexp_extract_all(lower(solution), {S.q(p)}))::bigint
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, {_COUNTS} from t")
 def pattern_counts(spark, d):
     t = T.traces(spark, d).withColumn("low", F.lower("solution"))
-    return t.select(*T.KEYS, *[F.regexp_count("low", F.lit(p)).cast("bigint").alias(k) for k, p in fixed.COUNTED.items()])
+    return T.unique(t.select(*T.KEYS, *[F.regexp_count("low", F.lit(p)).cast("bigint").alias(k) for k, p in fixed.COUNTED.items()]))
 
 
 def _rank_any(names: list[str]) -> str:
@@ -400,7 +408,7 @@ _PRIORITY = f"case when {_rank_any(fixed.COUNTED_VERIFICATION)} then 'verificati
 @query(S.PLAIN + f" select problem_id, rollout_id, trace_id, step_id, {_PRIORITY} as phase from s1")
 def segment_priority(spark, d):
     seg = F.transform(text.segments(F.col("solution")), lambda x, i: F.struct(i.alias("step_id"), text.priority_type(x).alias("phase")))
-    return T.traces(spark, d).select(*T.KEYS, F.explode(seg).alias("s")).select(*T.KEYS, "s.*")
+    return T.unique(T.traces(spark, d).select(*T.KEYS, seg.alias("rows"))).select(*T.KEYS, F.explode("rows").alias("s")).select(*T.KEYS, "s.*")
 
 
 @query("select doc_id, i::int as segment, seg[i + 1] as content from (select doc_id, seg, unnest(range(len(seg))) as i from (select doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n\\n+'), lambda x: " + S.trim("x") + "), lambda x: x <> '') as seg from documents))")
@@ -414,12 +422,12 @@ def raw_text_segments(spark, d):
 
 @query(S.ROWS + " select count(*) as traces, count(*) filter (is_correct) as correct, count(distinct problem_id) as problems, count(distinct case when is_correct then problem_id end) as solved, round(avg(num_tokens), 6) as avg_tokens, count(*) filter (num_tokens is null) as untold from t")
 def rollout_summary(spark, d):
-    return T.traces(spark, d).agg(F.count("*").alias("traces"), F.count_if("is_correct").alias("correct"), F.countDistinct("problem_id").alias("problems"), F.countDistinct(F.when(F.col("is_correct"), F.col("problem_id"))).alias("solved"), F.round(F.avg("num_tokens"), 6).alias("avg_tokens"), F.count_if(F.col("num_tokens").isNull()).alias("untold"))
+    return _outcomes(spark, d).agg(F.count("*").alias("traces"), F.count_if("is_correct").alias("correct"), F.countDistinct("problem_id").alias("problems"), F.countDistinct(F.when(F.col("is_correct"), F.col("problem_id"))).alias("solved"), F.round(F.avg("num_tokens"), 6).alias("avg_tokens"), F.count_if(F.col("num_tokens").isNull()).alias("untold"))
 
 
 @query(S.ROWS + " select shard, count(*) as problems, sum(n)::bigint as traces, sum(c)::bigint as correct, round(avg((c > 0)::int), 6) as pass_at_k from (select shard, problem_id, count(*) as n, count(*) filter (is_correct) as c from t group by 1, 2) group by 1")
 def shard_merge_pass_at_k(spark, d):
-    g = T.traces(spark, d).groupBy("shard", "problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"))
+    g = _outcomes(spark, d).groupBy("shard", "problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"))
     return g.groupBy("shard").agg(F.count("*").alias("problems"), F.sum("n").alias("traces"), F.sum("c").alias("correct"), F.round(F.avg((F.col("c") > 0).cast("double")), 6).alias("pass_at_k"))
 
 
@@ -435,7 +443,7 @@ def type_distribution(spark, d):
     """Steps by type per trace, zeros filled."""
     p = T.traces(spark, d).withColumn("steps", T.step_array(F.col("solution")))
     types = F.transform("steps", lambda s: s["step_type"])
-    p = p.select(*T.KEYS, types.alias("types"))
+    p = T.unique(p.select(*T.KEYS, types.alias("types")))
     return p.select(*T.KEYS, *[F.size(F.filter("types", _is(k))).cast("bigint").alias(k) for k in fixed.STEP_TYPES])
 
 
@@ -451,7 +459,7 @@ def dag_outputs(spark, d):
         users = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda j: F.array_contains(F.element_at(F.col("edges"), j + 1), i))
         return F.struct(i.alias("step_id"), F.size(users).cast("bigint").alias("n_outputs"), F.array_join(F.transform(users, lambda j: j.cast("string")), " ").alias("outputs"))
 
-    return T.parsed(spark, d).select(*T.KEYS, F.explode(F.transform("steps", used)).alias("u")).select(*T.KEYS, "u.*").filter("n_outputs > 0")
+    return T.unique(T.parsed(spark, d).select(*T.KEYS, F.transform("steps", used).alias("rows"))).select(*T.KEYS, F.explode("rows").alias("u")).select(*T.KEYS, "u.*").filter("n_outputs > 0")
 
 
 @query(S.RECURSIVE + " select round(avg(verification_density), 6) as mean_density, round(avg(live_verification_rate), 6) as mean_live_rate, count(*) filter (verification_density > 0) as verifying from ann")
@@ -461,7 +469,7 @@ def verification_metrics(spark, d):
 
 @query(S.ROWS + " select problem_id, count(*) as n from t group by 1 having not bool_or(is_correct)")
 def all_wrong_problems(spark, d):
-    return T.traces(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_or("is_correct").alias("any")).filter("not any").drop("any")
+    return _outcomes(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_or("is_correct").alias("any")).filter("not any").drop("any")
 
 
 @query("with p as (select problem_id, min(level) as level from problems group by 1) select problem_id, level from (select *, row_number() over (partition by level order by problem_id) as k from p where level is not null) where k <= 5")
@@ -554,7 +562,7 @@ def rir_live_dead(spark, d):
     """Live and dead steps by the kernel for any graph; the check follows the edges."""
     e = R.eliminate(_records(spark, d).withColumnRenamed("rsteps", "steps")).filter("total > 0")
     ids = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), " ")
-    return e.select(*T.KEYS, ids("live_ids").alias("live"), ids("dead_ids").alias("dead"))
+    return T.unique(e.select(*T.KEYS, ids("live_ids").alias("live"), ids("dead_ids").alias("dead")))
 
 
 @query(_r("select count(*) as records, round(avg(dsr), 6) as avg_dead_ratio, 1.0::double as preserved, round(avg(dead_token_ratio), 6) as avg_token_savings, sum(dead)::bigint as dead from fe"))
@@ -566,7 +574,7 @@ def rir_dse_summary(spark, d):
 @query(_r("select rtype as step_type, count(*) as total, count(*) filter (not is_live) as dead, round(count(*) filter (not is_live)::double / count(*), 6) as dead_share, round(count(*) filter (not is_live)::double / (select count(*) from rs where not is_live), 6) as share_of_dead from rs group by 1"))
 def rir_type_decomposition(spark, d):
     e = R.eliminate(_records(spark, d).withColumnRenamed("rsteps", "steps"))
-    s = e.select("dead_ids", F.explode("steps").alias("s")).groupBy(F.col("s.type").alias("step_type")).agg(F.count("*").alias("total"), F.count_if(F.array_contains("dead_ids", F.col("s.id"))).alias("dead"))
+    s = T.unique(e.select(*T.KEYS, "dead_ids", "steps")).select("dead_ids", F.explode("steps").alias("s")).groupBy(F.col("s.type").alias("step_type")).agg(F.count("*").alias("total"), F.count_if(F.array_contains("dead_ids", F.col("s.id"))).alias("dead"))
     whole = s.agg(F.sum("dead").alias("all_dead"))
     return s.join(F.broadcast(whole)).select("step_type", "total", "dead", F.round(F.col("dead") / F.col("total"), 6).alias("dead_share"), F.round(F.col("dead") / F.col("all_dead"), 6).alias("share_of_dead"))
 
@@ -644,12 +652,12 @@ def _kept_sql(condition: str) -> str:
 
 @query(_r(", v as (select problem_id, rollout_id, trace_id, " + _kept_sql("not is_live") + " as dse, count(*) filter (not is_live) as n1, " + _kept_sql("rtype = 'verification'") + " as noverif, count(*) filter (rtype = 'verification') as n2, " + _kept_sql("rtype = 'verification' and not is_live") + " as liveverif, count(*) filter (rtype = 'verification' and not is_live) as n3 from rs group by all) select problem_id, rollout_id, trace_id, 'dse' as variant, dse as cleaned, n1 as removed_steps from v union all select problem_id, rollout_id, trace_id, 'noverif', noverif, n2 from v union all select problem_id, rollout_id, trace_id, 'liveverif', liveverif, n3 from v"))
 def clean_variants(spark, d):
-    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).filter(F.col("variant").isin("dse", "noverif", "liveverif"))
+    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).filter(F.col("variant").isin("dse", "noverif", "liveverif")).dropDuplicates([*T.KEYS, "variant"])
 
 
 @query(_r("select variant, count(*) as n, sum(removed)::bigint as removed_steps from (select 'dse' as variant, dead as removed from rf union all select 'noverif', verif from rf union all select 'liveverif', dead_verif from rf union all select 'original', 0 from rf union all select 'keywordclean', 0 from rf) group by 1"))
 def variant_stats(spark, d):
-    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).groupBy("variant").agg(F.count("*").alias("n"), F.sum("removed_steps").alias("removed_steps"))
+    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).select(*T.KEYS, "variant", "removed_steps").distinct().groupBy("variant").agg(F.count("*").alias("n"), F.sum("removed_steps").alias("removed_steps"))
 
 
 _KEYWORD = "list_reduce(list_transform(string_split(solution, E'\\n'), lambda z: {'skip': false, 'out': '', 'line': z}), lambda acc, z: case when " + "(" + " or ".join(f"contains(lower({S.trim('z.line')}), {S.q(w)})" for w in fixed.VERIFY_KEYWORDS) + ") then {'skip': true, 'out': acc.out, 'line': ''} when acc.skip and not (" + S.trim("z.line") + " = '' or " + " or ".join(f"starts_with({S.trim('z.line')}, {S.q(w)})" for w in fixed.NEW_TOPIC) + ") then acc else {'skip': false, 'out': acc.out || E'\\n' || z.line, 'line': ''} end, {'skip': false, 'out': '', 'line': ''}).out"
@@ -657,7 +665,7 @@ _KEYWORD = "list_reduce(list_transform(string_split(solution, E'\\n'), lambda z:
 
 @query(S.ROWS + " select problem_id, rollout_id, trace_id, " + S.trim(f"regexp_replace({_KEYWORD}, '\\n{{3,}}', E'\\n\\n', 'g')") + " as cleaned from t")
 def keyword_clean(spark, d):
-    return T.traces(spark, d).select(*T.KEYS, text.keyword_clean(F.col("solution")).alias("cleaned"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.keyword_clean(F.col("solution")).alias("cleaned")))
 
 
 _FRAGILE = """, pk as (select rollout_id, trace_id, list_distinct(list(content) filter (is_live)) as kept, list(content order by step_id) as paras from rs group by 1, 2),
@@ -754,14 +762,14 @@ _V, _C, _X = (" + ".join(names) for names in (fixed.COUNTED_VERIFICATION, fixed.
 def verification_utility(spark, d):
     t = T.traces(spark, d).withColumn("low", F.lower("solution"))
     total = lambda names: sum((F.regexp_count("low", F.lit(fixed.COUNTED[k])) for k in names), F.lit(0))
-    x = t.select("is_correct", total(fixed.COUNTED_VERIFICATION).alias("v"), total(fixed.COUNTED_CORRECTION).alias("c"), total(fixed.COUNTED_EXPLORATION).alias("x"))
+    x = T.unique(t.select(*T.KEYS, "is_correct", total(fixed.COUNTED_VERIFICATION).alias("v"), total(fixed.COUNTED_CORRECTION).alias("c"), total(fixed.COUNTED_EXPLORATION).alias("x")))
     return x.groupBy("is_correct").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("verification"), F.round(F.avg("c"), 6).alias("correction"), F.round(F.avg("x"), 6).alias("exploration"), F.count_if((F.col("v") > 0) & (F.col("c") > 0)).alias("verified_and_corrected"))
 
 
 @query("with " + S.STEPS + f", ph as (select rollout_id, trace_id, count(*) as segments, count(*) filter (phase in ('verification', 'correction', 'exploration')) as seeking from (select *, {_PRIORITY} as phase from s1) group by all), pl as (select problem_id, min(level) as level from problems group by 1) select coalesce(level, 0) as level, is_correct, count(*) as n, round(avg(segments), 6) as segments, round(avg(seeking::double / segments), 6) as explore_ratio from t join ph using (rollout_id, trace_id) left join pl using (problem_id) group by 1, 2")
 def exploration_depth(spark, d):
     phase = F.transform(text.segments(F.col("solution")), text.priority_type)
-    t = T.traces(spark, d).select("problem_id", "is_correct", phase.alias("phase"))
+    t = T.unique(T.traces(spark, d).select(*T.KEYS, "is_correct", phase.alias("phase")))
     t = t.select("problem_id", "is_correct", F.size("phase").alias("segments"), F.size(F.filter("phase", lambda x: x.isin("verification", "correction", "exploration"))).alias("seeking")).filter("segments > 0")
     p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("level").alias("level"))
     return t.join(p, "problem_id", "left").groupBy(F.coalesce("level", F.lit(0)).alias("level"), "is_correct").agg(F.count("*").alias("n"), F.round(F.avg("segments"), 6).alias("segments"), F.round(F.avg(F.col("seeking") / F.col("segments")), 6).alias("explore_ratio"))
@@ -799,7 +807,7 @@ def step_credit(spark, d):
     """Per trace: one for every live step, minus one for every dead computation or derivation."""
     p = T.parsed(spark, d)
     one = lambda s: F.when(F.array_contains("live", s["id"]), 1).when(s["step_type"].isin("computation", "derivation"), -1).otherwise(0)
-    return p.select(*T.KEYS, F.aggregate("steps", F.lit(0), lambda a, s: a + one(s)).cast("bigint").alias("credit"))
+    return T.unique(p.select(*T.KEYS, F.aggregate("steps", F.lit(0), lambda a, s: a + one(s)).cast("bigint").alias("credit")))
 
 
 @query("with recursive " + S.GRAPH + """, dist(rollout_id, trace_id, step_id, k) as (
@@ -819,7 +827,7 @@ def weighted_liveness(spark, d):
         return F.when(F.map_contains_key(acc, i), F.map_zip_with(acc, more, lambda _, a, b: F.least(a, b))).otherwise(acc)
 
     dist = F.map_values(F.aggregate(back, start, grow))
-    p = p.select(*T.KEYS, T.once(dist).alias("dist"))
+    p = T.unique(p.select(*T.KEYS, T.once(dist).alias("dist")))
     return p.select(*T.KEYS, F.round(F.aggregate("dist", F.lit(0.0), lambda a, k: a + F.pow(F.lit(0.5), k)), 6).alias("weighted_liveness"), F.coalesce(F.array_max("dist"), F.lit(0)).alias("depth"))
 
 
@@ -833,7 +841,7 @@ def fragile_summary(spark, d):
 def verification_median_split(spark, d):
     """Accuracy of traces that verify more than the median trace, and of the others."""
     t = T.traces(spark, d).withColumn("low", F.lower("solution"))
-    x = t.select("is_correct", sum((F.regexp_count("low", F.lit(fixed.COUNTED[k])) for k in fixed.COUNTED_VERIFICATION), F.lit(0)).alias("v"))
+    x = T.unique(t.select(*T.KEYS, "is_correct", sum((F.regexp_count("low", F.lit(fixed.COUNTED[k])) for k in fixed.COUNTED_VERIFICATION), F.lit(0)).alias("v")))
     g = x.groupBy("v", "is_correct").agg(F.count("*").alias("n"))
     mid = g.agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("mid"))
     return g.join(F.broadcast(mid)).groupBy((F.col("v") > F.col("mid")).alias("more")).agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("is_correct"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"))
@@ -850,13 +858,13 @@ def hash_sample(spark, d):
 def ground_truth_lookup(spark, d):
     """Each trace's truth from the problem bank, or its own where the bank has none."""
     a = table(spark, d, "problems").filter("answer is not null").groupBy("problem_id").agg(F.min("answer").alias("bank"))
-    return T.traces(spark, d).join(a, "problem_id", "left").select(*T.KEYS, F.coalesce("bank", "ground_truth").alias("truth"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, "ground_truth")).join(a, "problem_id", "left").select(*T.KEYS, F.coalesce("bank", "ground_truth").alias("truth"))
 
 
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, case when instr(solution, '</think>') > 0 then {S.trim(chr(115) + 'ubstr(solution, instr(solution, ' + chr(39) + '</think>' + chr(39) + ') + 8)')} else solution end as body, case when regexp_matches(solution, '(?s)<think>(.*?)</think>') then regexp_extract(solution, '(?s)<think>(.*?)</think>', 1) else solution end as thinking from t")
 def think_texts(spark, d):
     """What follows the thinking block, and what stands in it."""
-    return T.traces(spark, d).select(*T.KEYS, text.reasoning_body(F.col("solution")).alias("body"), text.thinking(F.col("solution")).alias("thinking"))
+    return T.unique(T.traces(spark, d).select(*T.KEYS, text.reasoning_body(F.col("solution")).alias("body"), text.thinking(F.col("solution")).alias("thinking")))
 
 
 _SCAFFOLD = ["explicit_verify", "wait", "rethink", "what_if", "alternatively", "examine"]
