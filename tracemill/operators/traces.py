@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
-from tracemill.session import table
+from tracemill.session import spread, table
 
 KEYS = ["problem_id", "rollout_id", "trace_id"]
 
@@ -33,7 +33,8 @@ def unique(df: DataFrame, *more: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, d: str) -> DataFrame:
-    return flatten(table(spark, d, "rollouts"))
+    rows = table(spark, d, "rollouts").select("rollout_id", "problem_id", "problem_text", "ground_truth", "shard", "traces")
+    return flatten(spread(rows))
 
 
 def once(c: Column) -> Column:

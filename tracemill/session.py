@@ -32,6 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input per core below which rows are dealt out by hand.
+SMALL_INPUT = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where the input is too small for file splits to do so.
+
+    A file of one row group is one task however many cores wait. Only inputs of less than
+    SMALL_INPUT bytes per core are shuffled, larger ones pass as they are; the rows are the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(2 * cores) if int(str(size)) < cores * SMALL_INPUT else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor reaches, from ``spark.checkpoint.dir``.
 
