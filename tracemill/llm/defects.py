@@ -161,7 +161,7 @@ def defects(df: DataFrame, prompt: str, text: str, column: str, keys: list[str],
     name of the field the answer is from. Null answers, blanks, tags and fillers are
     'empty'; with a null or empty prompt 'copy' and 'language' are not given. Repeated rows
     stay. Narrow: one pass over the texts; the model of ends is fitted on a bounded sample
-    and broadcast.
+    and broadcast, its thresholds on the scores of all texts.
     """
     model = model or fit_on_sample(df, text, column)
     sent = df.sparkSession.sparkContext.broadcast(model)

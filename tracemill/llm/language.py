@@ -25,6 +25,7 @@ for _lang, _words in STOPWORDS.items():
         _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _lang)
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_LETTERS = {c: chr(c) if chr(c).isalpha() else " " for c in range(128)}
 #: First and last code points of scripts that name a language by themselves.
 SCRIPTS = ((0x0370, 0x03FF, "el"), (0x0400, 0x04FF, "ru"), (0x0590, 0x05FF, "he"), (0x0600, 0x06FF, "ar"), (0x0900, 0x097F, "hi"), (0x0E00, 0x0E7F, "th"), (0x3040, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "ko"))
 
@@ -57,7 +58,8 @@ def votes_of(words: list[str]) -> dict[str, float]:
 
 
 def votes(text: str) -> dict[str, float]:
-    return votes_of(_LETTERS.findall(text.casefold()))
+    text = text.casefold()
+    return votes_of(text.translate(_ASCII_LETTERS).split() if text.isascii() else _LETTERS.findall(text))
 
 
 def vote(text: str | None) -> str:
