@@ -90,13 +90,14 @@ def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, groups: list) -> DataFrame:
-    """One row: H with tie correction over the given groups."""
+    """One row: H with tie correction over the given groups, and its degrees of freedom; a group without rows counts for neither."""
     t = rank_table(df, value, F.col(group), groups)
     sums = t.agg(*[F.sum(f"n{i}").cast("double").alias(f"n{i}") for i in range(len(groups))], *[F.sum(F.col(f"n{i}") * F.col("rank")).alias(f"r{i}") for i in range(len(groups))], F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     n = reduce(lambda x, y: x + y, [F.col(f"n{i}") for i in range(len(groups))])
     part = reduce(lambda x, y: x + y, [F.when(F.col(f"n{i}") > 0, F.col(f"r{i}") * F.col(f"r{i}") / F.col(f"n{i}")).otherwise(0.0) for i in range(len(groups))])
     h = (12.0 / (n * (n + 1)) * part - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return sums.select(r6(h).alias("h"), F.lit(len(groups) - 1).alias("df"))
+    there = reduce(lambda x, y: x + y, [(F.col(f"n{i}") > 0).cast("int") for i in range(len(groups))])
+    return sums.select(r6(h).alias("h"), (there - 1).alias("df"))
 
 
 def cohens_d(df: DataFrame, value: str, flag: str) -> DataFrame:
