@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metrics(runs: DataFrame) -> DataFrame:
-    """(benchmark, dim, key, total, correct, accuracy, avg_tokens) in one aggregation over grouping sets.
+def metrics(runs: DataFrame, *by: str) -> DataFrame:
+    """(*by, benchmark, dim, key, total, correct, accuracy, avg_tokens) in one aggregation over grouping sets.
 
     Rows with an empty subject or level 0 count in their benchmark, but have no row of their own.
     """
-    sets = [["benchmark"], ["benchmark", "subject"], ["benchmark", "level"]]
-    g = runs.groupingSets(sets, "benchmark", "subject", "level").agg(
+    sets = [[*by, "benchmark"], [*by, "benchmark", "subject"], [*by, "benchmark", "level"]]
+    g = runs.groupingSets(sets, *by, "benchmark", "subject", "level").agg(
         F.grouping_id().alias("g"), F.count("*").alias("total"), F.count_if("is_correct").alias("correct"), F.round(F.count_if("is_correct") / F.count("*"), 6).alias("accuracy"), F.round(F.avg("num_tokens"), 6).alias("avg_tokens")
     )
     dim = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "subject").otherwise("level")
     key = F.when(F.col("g") == 3, "").when(F.col("g") == 1, F.col("subject")).otherwise(F.col("level").cast("string"))
-    return g.select("benchmark", dim.alias("dim"), key.alias("key"), "total", "correct", "accuracy", "avg_tokens").filter("dim = 'all' or (dim = 'subject' and key <> '') or (dim = 'level' and key <> '0')")
+    return g.select(*by, "benchmark", dim.alias("dim"), key.alias("key"), "total", "correct", "accuracy", "avg_tokens").filter("dim = 'all' or (dim = 'subject' and key <> '') or (dim = 'level' and key <> '0')")
 
 
-def compare(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Differences of the metrics both runs have."""
-    b = new.select("benchmark", "dim", "key", F.col("accuracy").alias("new_accuracy"), F.col("avg_tokens").alias("new_tokens"))
+def compare(base: DataFrame, new: DataFrame, *by: str) -> DataFrame:
+    """Differences of the metrics both runs have; ``by`` names the new run where there are several."""
+    b = new.select(*by, "benchmark", "dim", "key", F.col("accuracy").alias("new_accuracy"), F.col("avg_tokens").alias("new_tokens"))
     j = base.join(b, ["benchmark", "dim", "key"])
-    return j.select("benchmark", "dim", "key", F.col("accuracy").alias("base_accuracy"), "new_accuracy", F.round(F.col("new_accuracy") - F.col("accuracy"), 6).alias("accuracy_delta"), F.round(F.col("new_tokens") - F.col("avg_tokens"), 6).alias("tokens_delta"))
+    return j.select(*by, "benchmark", "dim", "key", F.col("accuracy").alias("base_accuracy"), "new_accuracy", F.round(F.col("new_accuracy") - F.col("accuracy"), 6).alias("accuracy_delta"), F.round(F.col("new_tokens") - F.col("avg_tokens"), 6).alias("tokens_delta"))
 
 
 def _paired(runs: DataFrame) -> DataFrame:
@@ -34,16 +34,25 @@ def _paired(runs: DataFrame) -> DataFrame:
     return g.filter("ca is not null and cb is not null")
 
 
-def disagreement(runs: DataFrame) -> DataFrame:
+def _against_first(runs: DataFrame) -> DataFrame:
+    """One row per problem and later run, beside the problem's run 0."""
+    base = runs.filter("model = 0").select("id", F.col("is_correct").alias("ca"), F.col("num_tokens").alias("ta"))
+    return base.join(runs.filter("model > 0").select("id", "model", F.col("is_correct").alias("cb"), F.col("num_tokens").alias("tb")), "id")
+
+
+def disagreement(runs: DataFrame, every: bool = False) -> DataFrame:
+    """Who solved the problem, run 0 or run 1; with ``every`` run 0 or each later one, by ``model``."""
+    pairs, by = (_against_first(runs), ["model"]) if every else (_paired(runs), [])
     outcome = F.when(F.col("ca") & F.col("cb"), "both").when(F.col("ca"), "base_only").when(F.col("cb"), "new_only").otherwise("neither")
-    return _paired(runs).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("ta"), 6).alias("base_tokens"), F.round(F.avg("tb"), 6).alias("new_tokens"))
+    return pairs.groupBy(*by, outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("ta"), 6).alias("base_tokens"), F.round(F.avg("tb"), 6).alias("new_tokens"))
 
 
-def impact(runs: DataFrame) -> DataFrame:
-    """Change of accuracy by how much shorter the second run is."""
+def impact(runs: DataFrame, every: bool = False) -> DataFrame:
+    """Change of accuracy by how much shorter the second run is; with ``every`` each later run, by ``model``."""
+    pairs, by = (_against_first(runs), ["model"]) if every else (_paired(runs), [])
     left = F.col("tb") / F.col("ta")
     bucket = F.when(left > 0.95, "under_5").when(left > 0.8, "under_20").when(left > 0.6, "under_40").otherwise("rest")
-    return _paired(runs).filter("ta > 0").groupBy(bucket.alias("reduction")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("cb").cast("double")) - F.avg(F.col("ca").cast("double")), 6).alias("accuracy_delta"))
+    return pairs.filter("ta > 0").groupBy(*by, bucket.alias("reduction")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("cb").cast("double")) - F.avg(F.col("ca").cast("double")), 6).alias("accuracy_delta"))
 
 
 def levels(scored: DataFrame, annotated: DataFrame) -> DataFrame:

@@ -710,9 +710,10 @@ def intervention_summary(spark, d):
 # Evaluation of two runs.
 
 
-def _runs(spark, d):
-    """Evaluation rows: the first trace of each rollout stands for the baseline (model 0), the second for the experiment (model 1)."""
-    a = T.parse(T.traces(spark, d).filter("trace_id < 2"))
+def _runs(spark, d, every=False):
+    """Evaluation rows: the first trace of each rollout stands for the baseline (model 0), the second for the experiment (model 1); with ``every`` the later ones for further runs."""
+    t = T.traces(spark, d)
+    a = T.parse(t if every else t.filter("trace_id < 2"))
     metrics = T.annotate(a)
     shard = table(spark, d, "rollouts").select("rollout_id", F.col("shard").alias("benchmark")).dropDuplicates(["rollout_id"])
     p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("level").alias("level"), F.min("category").alias("category"))
@@ -756,6 +757,51 @@ def impact_buckets(spark, d):
     return E.impact(_runs(spark, d))
 
 
+# The same over every trace: run 0 and all later ones.
+
+_EVAL_ALL = S.EVAL.replace(" where a.trace_id < 2", "")
+
+
+@query(_EVAL_ALL + f"select benchmark, 'all' as dim, '' as key, {_ACC} from ev group by 1 union all select benchmark, 'subject', subject, {_ACC} from ev where subject <> '' group by 1, 3 union all select benchmark, 'level', level::varchar, {_ACC} from ev where level <> 0 group by 1, 3")
+def eval_metrics_all(spark, d):
+    """eval_metrics over every trace of every rollout."""
+    return E.metrics(_runs(spark, d, every=True))
+
+
+@query(_EVAL_ALL + "select model, round(avg(dsr), 6) as avg_dsr, round(avg((dsr > 0)::int), 6) as nonzero_dsr, round(avg(num_steps), 6) as avg_steps from ev group by 1")
+def eval_structural_all(spark, d):
+    return _runs(spark, d, every=True).groupBy("model").agg(F.round(F.avg("dsr"), 6).alias("avg_dsr"), F.round(F.avg((F.col("dsr") > 0).cast("double")), 6).alias("nonzero_dsr"), F.round(F.avg("num_steps"), 6).alias("avg_steps"))
+
+
+_SPLIT = f"(select model, benchmark, 'all' as dim, '' as key, {_ACC} from ev group by 1, 2 union all select model, benchmark, 'level', level::varchar, {_ACC} from ev where level <> 0 group by 1, 2, 4 union all select model, benchmark, 'subject', subject, {_ACC} from ev where subject <> '' group by 1, 2, 4)"
+
+
+@query(_EVAL_ALL + f"select b.model, a.benchmark, a.dim, a.key, a.accuracy as base_accuracy, b.accuracy as new_accuracy, round(b.accuracy - a.accuracy, 6) as accuracy_delta, round(b.avg_tokens - a.avg_tokens, 6) as tokens_delta from {_SPLIT} a join {_SPLIT} b on a.benchmark = b.benchmark and a.dim = b.dim and a.key = b.key and a.model = 0 and b.model > 0")
+def compare_models_all(spark, d):
+    """Each later run against run 0."""
+    r = _runs(spark, d, every=True)
+    return E.compare(E.metrics(r.filter("model = 0")), E.metrics(r.filter("model > 0"), "model"), "model")
+
+
+_CASES_ALL = ", w as (select b.model, a.is_correct as ca, b.is_correct as cb, a.num_tokens as ta, b.num_tokens as tb from ev a join ev b on a.id = b.id and a.model = 0 and b.model > 0) "
+
+
+@query(_EVAL_ALL + _CASES_ALL + "select model, case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, round(avg(ta), 6) as base_tokens, round(avg(tb), 6) as new_tokens from w group by 1, 2")
+def disagreement_all(spark, d):
+    return E.disagreement(_runs(spark, d, every=True), every=True)
+
+
+@query(_EVAL_ALL + _CASES_ALL + "select model, case when tb::double / ta > 0.95::double then 'under_5' when tb::double / ta > 0.8::double then 'under_20' when tb::double / ta > 0.6::double then 'under_40' else 'rest' end as reduction, count(*) as n, round(avg(cb::int) - avg(ca::int), 6) as accuracy_delta from w where ta > 0 group by 1, 2")
+def impact_buckets_all(spark, d):
+    return E.impact(_runs(spark, d, every=True), every=True)
+
+
+@query(_EVAL_ALL + "select model, level, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(num_tokens), 6) as avg_tokens, round(avg(num_steps), 6) as avg_steps from ev group by all")
+def condition_metrics_all(spark, d):
+    a = lambda c: F.round(F.avg(c), 6)
+    return _runs(spark, d, every=True).groupBy("model", "level").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("num_tokens").alias("avg_tokens"), a("num_steps").alias("avg_steps"))
+
+
 _V, _C, _X = (" + ".join(names) for names in (fixed.COUNTED_VERIFICATION, fixed.COUNTED_CORRECTION, fixed.COUNTED_EXPLORATION))
 
 
@@ -882,6 +928,17 @@ def scaffold_diff(spark, d):
     return g.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), *[F.round(F.avg(k), 6).alias(k) for k in _SCAFFOLD])
 
 
+@query(S.ROWS + f", c as (select rollout_id, trace_id, is_correct, {_COUNTS} from t), w as (select b.trace_id as model, a.is_correct as ca, b.is_correct as cb, " + ", ".join(f"b.{k} - a.{k} as {k}" for k in _SCAFFOLD) + " from c a join c b on a.rollout_id = b.rollout_id and a.trace_id = 0 and b.trace_id > 0) select model, case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, " + ", ".join(f"round(avg({k}), 6) as {k}" for k in _SCAFFOLD) + " from w group by 1, 2")
+def scaffold_diff_all(spark, d):
+    """scaffold_diff of each later run against run 0."""
+    t = T.traces(spark, d).withColumn("low", F.lower("solution"))
+    c = T.unique(t.select(*T.KEYS, "is_correct", *[F.regexp_count("low", F.lit(fixed.COUNTED[k])).alias(k) for k in _SCAFFOLD]))
+    a = c.filter("trace_id = 0").select("rollout_id", F.col("is_correct").alias("ca"), *[F.col(k).alias(f"a_{k}") for k in _SCAFFOLD])
+    b = c.filter("trace_id > 0").select("rollout_id", F.col("trace_id").alias("model"), F.col("is_correct").alias("cb"), *_SCAFFOLD)
+    outcome = F.when(F.col("ca") & F.col("cb"), "both").when(F.col("ca"), "base_only").when(F.col("cb"), "new_only").otherwise("neither")
+    return a.join(b, "rollout_id").groupBy("model", outcome.alias("outcome")).agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(k) - F.col(f"a_{k}")), 6).alias(k) for k in _SCAFFOLD])
+
+
 @query(S.EVAL + "select model, level, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(num_tokens), 6) as avg_tokens, round(avg(num_steps), 6) as avg_steps from ev group by all")
 def condition_metrics(spark, d):
     """Both runs by level: accuracy, dead steps, tokens, steps."""
