@@ -32,3 +32,21 @@ def test_evaluation_of_every_trace(spark, duck, name):  # noqa: F811
         assert sum(r.n for r in rows) == every - first
     else:
         assert max(r.model for r in rows) > 1
+
+
+@pytest.mark.parametrize("name", ["full_coverage_all", "parser_level_corr_all"])
+def test_levels_of_every_trace(spark, duck, name):  # noqa: F811
+    rows = _equals_sql(spark, duck, name)
+    if name == "parser_level_corr_all":
+        every = duck.execute("select sum(len(traces)) from (select distinct on (rollout_id) * from rollouts)").fetchone()[0]
+        assert rows[0].n == every
+
+
+def test_trace_of_a_later_rollout_without_annotation(spark):
+    from tracemill.operators import evals as E
+
+    scored = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("a", 5, 0), ("b", 2, 0), ("b", 3, 0)], "problem_id string, rollout_id long, trace_id int")
+    when = "2024-01-01 00:00:00"
+    second = spark.createDataFrame([("a", 0, 0.1, 1.0, when), ("a", 1, 0.2, 1.0, when), ("b", 0, 0.3, 1.0, when), ("b", 1, 0.4, 1.0, when)], "problem_id string, trace_id int, dsr double, quality_reward double, annotated_at string")
+    got = {(r.problem_id, r.rollout_id, r.trace_id, r.l2_dsr) for r in E.levels(scored, second, every=True).collect()}
+    assert got == {("a", 1, 0, 0.1), ("a", 1, 1, 0.2), ("a", 5, 2, None), ("b", 2, 0, 0.3), ("b", 3, 1, 0.4)}

@@ -55,11 +55,24 @@ def impact(runs: DataFrame, every: bool = False) -> DataFrame:
     return pairs.filter("ta > 0").groupBy(*by, bucket.alias("reduction")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("cb").cast("double")) - F.avg(F.col("ca").cast("double")), 6).alias("accuracy_delta"))
 
 
-def levels(scored: DataFrame, annotated: DataFrame) -> DataFrame:
-    """Scores of each problem's first rollout beside the latest delivered ones of the same trace; NaN counts as absent."""
+def numbered(scored: DataFrame) -> DataFrame:
+    """``trace_id`` counted on over all rollouts of a problem, in order of rollout_id, as annotations are numbered.
+
+    Offsets come from one row per rollout, so a problem with very many traces is not gathered in a window.
+    """
+    sizes = scored.groupBy("problem_id", "rollout_id").agg((F.max("trace_id") + 1).alias("n"))
+    before = Window.partitionBy("problem_id").orderBy("rollout_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("problem_id", "rollout_id", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("__before"))
+    return scored.join(offsets, ["problem_id", "rollout_id"]).withColumn("trace_id", F.col("trace_id") + F.col("__before")).drop("__before")
+
+
+def levels(scored: DataFrame, annotated: DataFrame, every: bool = False) -> DataFrame:
+    """Scores of each problem's first rollout, with ``every`` of all its rollouts, beside the latest delivered ones of the same trace; NaN counts as absent."""
     w = Window.partitionBy("problem_id", "trace_id").orderBy(F.col("annotated_at").desc_nulls_last(), F.col("quality_reward").desc_nulls_last(), F.col("dsr").asc_nulls_last())
     l2 = annotated.select("problem_id", "trace_id", "dsr", "quality_reward", "annotated_at").withColumn("k", F.row_number().over(w)).filter("k = 1")
     l2 = l2.select("problem_id", "trace_id", F.col("dsr").alias("l2_dsr"), F.when(~F.isnan("quality_reward"), F.col("quality_reward")).alias("l2_quality"))
+    if every:
+        return numbered(scored).join(l2, ["problem_id", "trace_id"], "left")
     r = Window.partitionBy("problem_id").orderBy("rollout_id")
     first = scored.withColumn("k", F.rank().over(r)).filter("k = 1").drop("k")
     return first.join(l2, ["problem_id", "trace_id"], "left")

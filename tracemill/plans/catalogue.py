@@ -829,10 +829,10 @@ _L2 = """, l2 as (select problem_id, trace_id, dsr as l2_dsr, quality_reward as
   ll as materialized (select l1.problem_id, l1.trace_id, l1.is_correct, l1.dsr, l1.quality_reward, l2_dsr, case when isnan(l2_quality) then null else l2_quality end as l2_quality from l1 left join l2 using (problem_id, trace_id)) """
 
 
-def _levels(spark, d):
-    """Our metrics beside the delivered annotations of the same (problem, trace): those of each problem's first rollout."""
+def _levels(spark, d, every=False):
+    """Our metrics beside the delivered annotations of the same (problem, trace): those of each problem's first rollout, or of every rollout."""
     s = scored(spark, d).select("problem_id", "rollout_id", "trace_id", "is_correct", "dsr", "quality_reward")
-    return E.levels(s, table(spark, d, "annotated"))
+    return E.levels(s, table(spark, d, "annotated"), every)
 
 
 @query("with recursive " + S.QUALITY + _L2 + "select count(*) as n, count(l2_dsr) as with_l2, round(avg(dsr), 6) as l1_dsr, round(avg(l2_dsr), 6) as l2_dsr, round(avg(quality_reward), 6) as l1_quality, round(avg(l2_quality), 6) as l2_quality, round(corr(dsr, l2_dsr), 6) as dsr_corr, round(corr(quality_reward, l2_quality), 6) as quality_corr from ll")
@@ -842,10 +842,27 @@ def parser_level_corr(spark, d):
 
 @query("with recursive " + S.QUALITY + _L2 + "select problem_id, count(*) as n from ll group by 1 having bool_and(l2_dsr is not null)")
 def full_coverage(spark, d):
-    """Problems of which every trace has the second annotation."""
+    """Problems of which every trace of the first rollout has the second annotation."""
     return _levels(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")
 
 
+# The same over every rollout; traces are numbered on within their problem.
+
+_L2_ALL = _L2.replace("select * from (select *, min(rollout_id) over (partition by problem_id) as first_id from qr) where rollout_id = first_id", "select * replace ((row_number() over (partition by problem_id order by rollout_id, trace_id) - 1)::int as trace_id) from qr")
+
+
+@query("with recursive " + S.QUALITY + _L2_ALL + "select count(*) as n, count(l2_dsr) as with_l2, round(avg(dsr), 6) as l1_dsr, round(avg(l2_dsr), 6) as l2_dsr, round(avg(quality_reward), 6) as l1_quality, round(avg(l2_quality), 6) as l2_quality, round(corr(dsr, l2_dsr), 6) as dsr_corr, round(corr(quality_reward, l2_quality), 6) as quality_corr from ll")
+def parser_level_corr_all(spark, d):
+    """parser_level_corr over every rollout of every problem."""
+    return _levels(spark, d, every=True).agg(F.count("*").alias("n"), F.count("l2_dsr").alias("with_l2"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("dsr", "l1_dsr"), ("l2_dsr", "l2_dsr"), ("quality_reward", "l1_quality"), ("l2_quality", "l2_quality"))], F.round(F.corr("dsr", "l2_dsr"), 6).alias("dsr_corr"), F.round(F.corr("quality_reward", "l2_quality"), 6).alias("quality_corr"))
+
+
+@query("with recursive " + S.QUALITY + _L2_ALL + "select problem_id, count(*) as n from ll group by 1 having bool_and(l2_dsr is not null)")
+def full_coverage_all(spark, d):
+    """Problems of which every trace, in any rollout, has the second annotation."""
+    return _levels(spark, d, every=True).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")
+
+
 # Credit, distance and other views of liveness; samples and lookups.
 
 
