@@ -28,7 +28,7 @@ REFUSALS = (
     "|я не могу|не могу помочь|не могу решить|не могу ответить|не могу предоставить|не могу выполнить|извините|к сожалению, я|мне не разрешено|мне нельзя|вынужден отказать|я вынужден|я должен отказать|отказаться от ответа|как языковая модель|не имею права|прошу прощения|приношу извинения|мне запрещено|не в состоянии"
     "|对不起|抱歉|我不能|我无法|不能提供|无法提供|无法解答|不能解答|不能回答|无法回答|不能帮助|无法帮助|无法协助|作为语言模型|作为一个语言模型|作为人工智能|作为一个人工智能|不允许|请谅解|拒绝回答|恕我"
 ).split("|")
-#: Words up to which tags and fillers may be all there is.
+#: Words up to which fillers may be all there is.
 FEW = 12
 #: Words beyond which a text that holds a refusal's phrase is an answer all the same, and before which the phrase must stand.
 REFUSAL_WORDS, REFUSAL_START = 90, 40
@@ -132,10 +132,10 @@ def defect_of(prompt: str | None, text: str | None) -> str | None:
     if not text:
         return "empty"
     bare = text if text.isascii() else INVISIBLE.sub("", text)
+    if "<" in bare or "\\" in bare or "```" in bare:
+        bare = _TAGS.sub(" ", bare)
     w = units(bare)
     if len(w) <= FEW:
-        bare = _TAGS.sub(" ", bare)
-        w = units(bare)
         if not w or " ".join(w) in FILLERS or "".join(w) in FILLERS:
             return "empty"
     if len(w) <= REFUSAL_WORDS:
