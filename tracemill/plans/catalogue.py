@@ -512,6 +512,13 @@ def pair_coverage(spark, d):
     return p.rollup("pair_type").agg(F.countDistinct("prompt").alias("prompts")).select(F.coalesce("pair_type", F.lit("all")).alias("pair_type"), "prompts")
 
 
+@query(S.PAIRS + "select coalesce(pair_type, 'all') as pair_type, count(distinct problem_text) as prompts from pr group by rollup (pair_type)")
+def pair_coverage_all(spark, d):
+    """Distinct prompts by their whole texts."""
+    p = _pairs_once(spark, d).select("pair_type", "problem_text")
+    return p.rollup("pair_type").agg(F.countDistinct("problem_text").alias("prompts")).select(F.coalesce("pair_type", F.lit("all")).alias("pair_type"), "prompts")
+
+
 _LEN = S.PAIRS + ", l as (select pair_type, length(coalesce(chosen_solution, '')) as c, length(coalesce(rejected_solution, '')) as r from pr), q as (select *, case when r > 0 then c::double / r else 1.0 end as ratio, row_number() over (partition by pair_type order by c) as rc, row_number() over (partition by pair_type order by r) as rr, count(*) over (partition by pair_type) as n from l) "
 
 
@@ -970,6 +977,13 @@ def problems_in_several_kinds(spark, d):
     return k.groupBy("prompt").agg(F.count("*").alias("kinds"), F.sum("n").alias("pairs")).filter("kinds > 1")
 
 
+@query(S.PAIRS + ", k as (select problem_text, pair_type, count(*) as n from pr group by all) select problem_text, count(*) as kinds, sum(n)::bigint as pairs from k group by 1 having count(*) > 1")
+def problems_in_several_kinds_all(spark, d):
+    """Prompts, told apart by their whole texts, that more than one kind of pair covers."""
+    k = _pairs_once(spark, d).groupBy("problem_text", "pair_type").agg(F.count("*").alias("n"))
+    return k.groupBy("problem_text").agg(F.count("*").alias("kinds"), F.sum("n").alias("pairs")).filter("kinds > 1")
+
+
 @query(_r("select count(*) filter (dead_token_ratio > 0.05)::double / count(*) > 0.5 as wasteful, abs(avg(dsr) filter (is_correct) - avg(dsr) filter (not is_correct)) < 0.05 as independent, avg(vii) filter (verif > 0) > 0.3 as idle_verification, count(*) as n from fe"))
 def verdicts(spark, d):
     """Three yes-or-no findings over all records."""
