@@ -260,7 +260,7 @@ def test_near_duplicates_brute_force(spark, bucket):
     rows += [(900 + i, rows[0][1]) for i in range(30)] + [(0, rows[0][1]), (990, None), (991, ""), (992, "short")]
     df = spark.createDataFrame(rows, "id int, body string").withColumn("__id", F.lit(1))
     links, members = neardup.similar(df, "body", ["id"], 3, 0.6, 30, bucket=bucket)
-    name = {r["__id"]: r.id for r in members.filter("__rep").collect()}
+    name = {r["__id"]: r.id for r in members.groupBy("__id").agg(F.min("id").alias("id")).collect()}
     got = {tuple(sorted((name[r["__a"]], name[r["__b"]]))) for r in links.collect()}
     texts = {}
     for i, t in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
@@ -273,6 +273,33 @@ def test_near_duplicates_brute_force(spark, bucket):
     assert members.filter("id >= 900 and id < 990").count() == 30
 
 
+def test_matching_solutions_by_all_names(spark):
+    """Against all pairs of names: links between different texts for every name, copies once each with the least name."""
+    rng = random.Random(19)
+    base = [rng.choice(WORDS) + str(i) for i in range(60)]
+    a, b, c, d = " ".join(base), " ".join(base[:50]), " ".join(base[:40]), " ".join(f"z{i}" for i in range(40))
+    rows = [(1, a, b), (2, a, a), (3, c, d), (4, d, None), (5, b, "short"), (5, b, "short"), (6, "", d), (None, a, None)]
+    pairs = spark.createDataFrame(rows, "pair_id long, chosen_solution string, rejected_solution string").withColumn("name", F.lit("x"))
+    got = [tuple(r) for r in neardup.similar_solutions(pairs).collect()]
+    assert len(got) == len(set(got))
+    names = {}
+    for k, x, y in rows:
+        for side, t in (("chosen", x), ("rejected", y)):
+            if t and len(t.split()) >= 30:
+                names.setdefault(t, set()).add((k, side))
+    order = lambda n: (n[0] is not None, n[0] or 0, n[1])
+    want = set()
+    shingles = {t: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in names}
+    for s, t in itertools.combinations(names, 2):
+        if len(shingles[s] & shingles[t]) >= 0.6 * len(shingles[s] | shingles[t]):
+            want |= {tuple(sorted((x, y), key=order)) for x in names[s] for y in names[t]}
+    for own in names.values():
+        first = min(own, key=order)
+        want |= {(first, x) for x in own if x != first}
+    assert {((w, x), (y, z)) for w, x, y, z in got} == want
+    assert any(x[0] is None for x, _ in want) and len(want) > 15
+
+
 def test_near_duplicates_empty(spark):
     links, members = neardup.similar(spark.createDataFrame([], "id int, body string"), "body", ["id"])
     assert links.count() == members.count() == 0

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,16 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def spans(batch: pa.RecordBatch, first: int, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Spans of a batch whose string columns from ``first`` on hold about ``limit`` bytes each, told by their offsets."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for i in range(first, batch.num_columns):
+        size += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from ((a, b) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
 def schema_of(columns: dict[str, str]) -> str:
     return ", ".join(f"`{k}` {v}" for k, v in columns.items())
 
@@ -64,10 +75,9 @@ def map_texts(df: DataFrame, fn: Callable[..., list], keys: list[str], texts: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(n_keys + i).to_pylist() for i in range(n_texts)]
-            for a, b in chunks(lists[0]):
-                got = fn(*[x[a:b] for x in lists])
+            for a, b in spans(batch, n_keys):
                 part = batch.slice(a, b - a)
+                got = fn(*[part.column(n_keys + i).to_pylist() for i in range(n_texts)])
                 own = [part.column(i) for i in range(n_keys)]
                 if explode:
                     rows = pa.array(got[0], pa.int64())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,8 @@ SHINGLE, SIMILARITY, MIN_WORDS = 3, 0.6, 30
 BANDS, ROWS, SKETCHES = 64, 5, 4
 #: Members up to which a bucket's pairs are all candidates; a larger one has a star, and its members meet by their rarest shingles.
 BUCKET = 48
+#: Words of 64 bits of the table that tells bands which may be shared; the broadcast has this many rows at most, whatever the input.
+BITS = 1 << 17
 
 
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,75 +81,101 @@ def bands_of(texts: list[str | None], n: int, bands: int, rows: int, sketches: i
 def similar(df: DataFrame, text: str, keys: list[str], n: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = BANDS, rows: int = ROWS, sketches: int = SKETCHES, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the names of every text.
 
-    Returns (links, members). ``members`` is (__id, __rep, *keys): every row with a text of
-    at least ``min_words`` words (and n), the id of its text and whether it is the least
-    name of it; exact copies share an id. ``links`` is (__a, __b, similarity): ids of texts
-    whose sets of runs of n words have Jaccard ``similarity`` or more, each link once.
+    Returns (links, members). ``members`` is (__id, *keys): every row with a text of at
+    least ``min_words`` words (and n), once, and the id of its text; exact copies share an
+    id. ``links`` is (__a, __b, similarity): ids of texts whose sets of runs of n words
+    have Jaccard ``similarity`` or more, each link once.
 
     Sketches are ``sketches`` one-permutation hashes with optimal densification; ``rows``
-    bins make a band, equal bands a candidate. A bucket of two gives its pair straight
-    from the aggregation, one of up to ``bucket`` texts all its pairs; a larger one gives a
+    bins make a band, equal bands a candidate. Bands are counted as (band, least id,
+    greatest id), aggregated before the shuffle, so a hot band is one row a task; only rows
+    of bands with two different ids go through the second shuffle, picked by a bit table
+    of fixed size. A bucket of up to ``bucket`` texts gives all its pairs; a larger one a
     star around its least id, and the texts of all such buckets are joined once more on
     their rarest shingles: two sets of that similarity must share one among the first
     |S| - ceil(similarity |S|) + 1 in any common order. Candidates are then compared
     exactly. At similarity 0.6 the bands find a link with a chance of 0.994, at 0.7 with
     0.99999.
 
-    Null and empty texts have no row; repeated rows are copies with the same name. Copies
-    are collapsed by a partial aggregation before any join, so a text that makes up a
-    third of the rows is one text.
+    Null and empty texts have no row; repeated rows are copies with the same name. A text
+    is sketched once a task, so one that makes up a third of the rows stays one text.
     """
     lower = max(min_words, n)
     row = df.select(*keys, F.col(text).alias("__text")).filter("length(__text) > 0").withColumn("__id", F.xxhash64("__text"))
-
-    def sketch(texts: list[str | None]) -> list:
-        values, counts = bands_of(texts, n, bands, rows, sketches)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
-        return [lists, counts]
-
-    name = F.struct(*[F.col(k) for k in keys])
-    sketched = map_texts(row, sketch, ["__id", *keys], ["__text"], {"__bands": "array<bigint>", "__n": "bigint"}).filter(F.col("__n") >= lower)
-    texts = materialize(sketched.groupBy("__id").agg(F.min(name).alias("__name"), F.any_value("__bands").alias("__bands")))
-    flat = texts.select("__id", F.explode("__bands").alias("__band"))
-    filled = flat.groupBy("__band").agg(F.count("*").alias("__size"), F.min("__id").alias("__least"), F.max("__id").alias("__most")).filter("__size > 1")
-    filled = materialize(filled)
-    two = filled.filter("__size = 2").select(F.col("__least").alias("__a"), F.col("__most").alias("__b"))
-    some = flat.join(filled.filter((F.col("__size") > 2) & (F.col("__size") <= bucket)).select("__band"), "__band")
-    within = some.withColumnRenamed("__id", "__a").join(some.withColumnRenamed("__id", "__b"), "__band").filter("__a < __b").select("__a", "__b")
-    candidates = two.unionByName(within)
+    sketched = map_texts(row, _once_a_task(lambda texts: _sketch(texts, n, bands, rows, sketches)), ["__id"], ["__text"], {"__bands": "array<bigint>", "__n": "bigint"}, explode=True)
+    sketched = materialize(sketched.filter(F.col("__n") >= lower).select("__id", "__bands"))
+    members = row.select("__id", *keys).distinct().join(sketched.select("__id").distinct(), "__id", "left_semi")
+    filled = materialize(_shared_bands(sketched))
     large = filled.filter(F.col("__size") > bucket)
+    some = filled.filter(F.col("__size") <= bucket).select("__band", "__id")
+    candidates = some.withColumnRenamed("__id", "__a").join(some.withColumnRenamed("__id", "__b"), "__band").filter("__a < __b").select("__a", "__b")
     if not large.isEmpty():
-        star = flat.join(large, "__band").filter("__id <> __least")
-        candidates = candidates.unionByName(star.select(F.col("__least").alias("__a"), F.col("__id").alias("__b")))
-        crowd = materialize(star.select("__id").union(large.select(F.col("__least").alias("__id"))).distinct())
-        candidates = candidates.unionByName(_rare_pairs(_sets(row, texts, crowd, keys, n), similarity))
+        candidates = candidates.unionByName(large.filter("__id <> __least").select(F.col("__least").alias("__a"), F.col("__id").alias("__b")))
+        candidates = candidates.unionByName(_rare_pairs(_sets(row, keys, large.select("__id").distinct(), n), similarity))
     candidates = materialize(candidates.distinct())
-    wanted = candidates.select(F.col("__a").alias("__id")).union(candidates.select(F.col("__b").alias("__id"))).distinct()
-    sets = materialize(_sets(row, texts, wanted, keys, n))
+    wanted = candidates.select(F.explode(F.array("__a", "__b")).alias("__id")).distinct()
+    sets = materialize(_sets(row, keys, wanted, n))
     both = candidates.join(sets.select(F.col("__id").alias("__a"), F.col("__set").alias("__sa")), "__a").join(sets.select(F.col("__id").alias("__b"), F.col("__set").alias("__sb")), "__b")
     common = F.size(F.array_intersect("__sa", "__sb"))
     links = both.select("__a", "__b", (common / (F.size("__sa") + F.size("__sb") - common)).alias("similarity")).filter(F.col("similarity") >= similarity)
-    members = sketched.select("__id", *keys).join(texts.select("__id", "__name"), "__id").select("__id", (F.col("__name") == name).alias("__rep"), *keys)
-    return links, members
+    return links.distinct(), members
+
+
+def _sketch(texts: list[str | None], n: int, bands: int, rows: int, sketches: int) -> list:
+    values, counts = bands_of(texts, n, bands, rows, sketches)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+    return [lists, counts]
+
+
+def _once_a_task(fn):
+    """``fn`` for the texts that its task has not met yet, with their row numbers first; a task keeps 16 bytes of each text it met."""
+    met: set[bytes] = set()
+
+    def run(texts: list[str]) -> list:
+        rows = []
+        for i, t in enumerate(texts):
+            name = blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if name not in met:
+                met.add(name)
+                rows.append(i)
+        return [rows, *fn([texts[i] for i in rows])]
 
+    return run
 
-def _sets(row: DataFrame, texts: DataFrame, wanted: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(__id, __set): the shingle hashes of the wanted texts, read from one row of each."""
-    name = F.struct(*[F.col(k) for k in keys])
-    source = row.join(texts.select("__id", "__name").join(wanted, "__id", "left_semi"), "__id").filter(F.col("__name") == name).dropDuplicates(["__id"])
+
+def _shared_bands(sketched: DataFrame) -> DataFrame:
+    """(__band, __id, __size, __least) of every band that two different texts have."""
+    flat = sketched.select("__id", F.explode("__bands").alias("__band"))
+    twice = materialize(flat.groupBy("__band").agg(F.min("__id").alias("__least"), F.max("__id").alias("__most")).filter("__least <> __most").select("__band", "__least"))
+    place = F.pmod(F.xxhash64("__band"), F.lit(BITS * 64))
+    bits = twice.groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__band), {BITS * 64}) & 63 as int))")).alias("__bits"))
+    maybe = flat.withColumn("__word", F.shiftright(place, 6)).join(F.broadcast(bits), "__word").filter(F.expr(f"getbit(__bits, cast(pmod(xxhash64(__band), {BITS * 64}) & 63 as int)) = 1"))
+    held = materialize(maybe.select("__band", "__id").distinct().join(twice, "__band"))
+    sizes = held.groupBy("__band").agg(F.count("*").alias("__size"))
+    return held.join(sizes, "__band").select("__band", "__id", "__size", "__least")
+
+
+def _sets(row: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> DataFrame:
+    """(__id, __set): the shingle hashes of the wanted texts, read from one row of each.
+
+    That row is found by its text and its name, so the copies of a hot text do not meet in
+    one task; a row delivered again may give a set again.
+    """
+    named = row.withColumn("__k", F.xxhash64(*keys))
+    one = named.select("__id", "__k").join(wanted, "__id", "left_semi").groupBy("__id").agg(F.min("__k").alias("__k"))
+    source = named.select("__id", "__k", "__text").join(one, ["__id", "__k"])
 
     def sets(lists: list[str | None]) -> list:
         doc, h, _ = shingle_sets(lists, n)
         cut = np.searchsorted(doc, np.arange(len(lists) + 1)).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))]
 
-    return map_texts(source, sets, ["__id"], ["__text"], {"__set": "array<bigint>"})
+    return map_texts(source, _once_a_task(sets), ["__id"], ["__text"], {"__set": "array<bigint>"}, explode=True)
 
 
 def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of texts that share one of the shingles that come first by rarity (then by value)."""
-    sets = materialize(sets)
-    flat = sets.select("__id", F.size("__set").alias("__n"), F.explode("__set").alias("__s"))
+    flat = materialize(sets.select("__id", F.size("__set").alias("__n"), F.explode("__set").alias("__s")).distinct())
     often = flat.groupBy("__s").agg(F.count("*").alias("__df")).filter("__df > 1")
     ranked = flat.join(often, "__s", "left").withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy(F.coalesce("__df", F.lit(1)), "__s")))
     prefix = materialize(ranked.filter(F.col("__df").isNotNull() & (F.col("__r") <= F.col("__n") - F.ceil(F.col("__n") * similarity - 1e-9) + 1)).select("__s", "__id", "__n"))
@@ -161,13 +191,22 @@ def _sides(pairs: DataFrame) -> DataFrame:
 
 
 def similar_solutions(pairs: DataFrame) -> DataFrame:
-    """Links between different solution texts, each text by its least (pair_id, side)."""
+    """Matching solution texts by their names: (pair_id_a, side_a, pair_id_b, side_b), the smaller name first, each pair once.
+
+    A link between two texts is given for every name of both. Equal texts under several
+    names are a group of exact copies and not expanded into pairs: each further name has
+    one row, with the least name of its text. ``solution_groups`` has the links between
+    texts without names, and the groups.
+    """
     links, members = similar(_sides(pairs), "solution", ["pair_id", "side"], SHINGLE, SIMILARITY, MIN_WORDS)
-    reps = members.filter("__rep").select("__id", "pair_id", "side").dropDuplicates(["__id"])
-    a = reps.select(F.col("__id").alias("__a"), F.struct("pair_id", "side").alias("x"))
-    b = reps.select(F.col("__id").alias("__b"), F.struct("pair_id", "side").alias("y"))
-    named = links.join(a, "__a").join(b, "__b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return named.select(F.col("x.pair_id").alias("pair_id_a"), F.col("x.side").alias("side_a"), F.col("y.pair_id").alias("pair_id_b"), F.col("y.side").alias("side_b"))
+    named = materialize(members.select("__id", F.struct("pair_id", "side").alias("name")))
+    a = named.select(F.col("__id").alias("__a"), F.col("name").alias("x"))
+    b = named.select(F.col("__id").alias("__b"), F.col("name").alias("y"))
+    linked = links.join(a, "__a").join(b, "__b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    least = named.groupBy("__id").agg(F.min("name").alias("x"), F.max("name").alias("__most")).filter(F.col("x") != F.col("__most")).drop("__most")
+    copies = named.join(least, "__id").filter(F.col("x") != F.col("name")).select("x", F.col("name").alias("y"))
+    both = linked.unionByName(copies)
+    return both.select(F.col("x.pair_id").alias("pair_id_a"), F.col("x.side").alias("side_a"), F.col("y.pair_id").alias("pair_id_b"), F.col("y.side").alias("side_b"))
 
 
 def solution_groups(pairs: DataFrame) -> DataFrame:
@@ -180,4 +219,4 @@ def solution_groups(pairs: DataFrame) -> DataFrame:
     links = materialize(links)
     degree = links.select(F.explode(F.array("__a", "__b")).alias("__id")).groupBy("__id").agg(F.count("*").alias("links"))
     label = components(links, "__a", "__b").select(F.col("vertex").alias("__id"), "label")
-    return members.dropDuplicates(["pair_id", "side", "__id"]).join(degree, "__id", "left").join(label, "__id", "left").select("pair_id", "side", F.col("__id").alias("text_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "__id").alias("group_id"))
+    return members.join(degree, "__id", "left").join(label, "__id", "left").select("pair_id", "side", F.col("__id").alias("text_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "__id").alias("group_id"))
