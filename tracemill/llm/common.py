@@ -155,10 +155,10 @@ def traces(rollouts: DataFrame) -> DataFrame:
 
 
 def answers(rollouts: DataFrame, pairs: DataFrame, slots: tuple[str, ...] = ("chosen", "rejected")) -> DataFrame:
-    """Every solution text as (record_table, record_id, slot, problem_text, solution)."""
-    own = traces(rollouts).select(F.lit("rollouts").alias("record_table"), F.col("rollout_id").alias("record_id"), F.col("trace_id").cast("string").alias("slot"), "problem_text", "solution")
+    """Every solution text as (record_table, record_id, slot, problem_text, solution, num_tokens); pairs come without token counts."""
+    own = traces(rollouts).select(F.lit("rollouts").alias("record_table"), F.col("rollout_id").alias("record_id"), F.col("trace_id").cast("string").alias("slot"), "problem_text", "solution", "num_tokens")
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"{s}_solution").alias("solution")) for s in slots]))
-    other = pairs.select(F.col("pair_id").alias("record_id"), "problem_text", sides.alias("__s")).select(F.lit("preference_pairs").alias("record_table"), "record_id", F.col("__s.slot").alias("slot"), "problem_text", F.col("__s.solution").alias("solution"))
+    other = pairs.select(F.col("pair_id").alias("record_id"), "problem_text", sides.alias("__s")).select(F.lit("preference_pairs").alias("record_table"), "record_id", F.col("__s.slot").alias("slot"), "problem_text", F.col("__s.solution").alias("solution"), F.lit(None).cast("int").alias("num_tokens"))
     return own.unionByName(other)
 
 

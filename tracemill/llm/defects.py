@@ -8,17 +8,17 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import HAN, INVISIBLE, answers, map_texts, traces
+from tracemill.llm.common import answers, map_texts, traces
+from tracemill.llm.fillers import bare, only_fillers, units
 from tracemill.llm.language import votes_of
-from tracemill.llm.truncation import EndModel, cut_off, fit_on_sample
+from tracemill.llm.truncation import SCORED, EndModel, decided, end_odds, sample_model, truncated_texts
+from tracemill.session import materialize
 
-_UNIT = re.compile(rf"\d+|[{HAN}]|[^\W\d_{HAN}]+")
-_TAGS = re.compile(r"</?think>|\\(?:boxed|text|mathrm|mathbf)\b|```\w*", re.I)
+_SENTENCE = re.compile(r"[^.!?。！？।؟\n]+(?:[.!?。！？।؟]+(?=\S)[^.!?。！？।؟\n]+)*")
+_WORKS = re.compile(r"[\d=+<>^\\∑√∫]")
 _FIRST = re.compile(r"^.*?(?:[.!?।؟](?=\s)|[。！？]|\n\s*\n)", re.S)
 
 # Fixed values.
-#: What stands in an answer's place without answering.
-FILLERS = frozenset("n a|na|none|null|nil|nan|todo|tbd|tba|fixme|empty|no answer|no response|no solution|no output|not available|not applicable|placeholder|insert answer here|answer|answer here|final answer|the answer is|k a|keine angabe|keine antwort|sin respuesta|sans réponse|нет ответа|无|没有答案|暂无|待补充|空".split("|"))
 #: Phrases of refusal, letter case and blanks as below.
 REFUSALS = (
     "i can't help with|i cannot help with|i can't assist|i cannot assist|cannot assist with|can't assist with|i am unable to|i'm unable to|unable to help|unable to assist|unable to provide|unable to answer|i won't provide|i will not provide|i won't be able|i can't provide|i cannot provide|i can't answer|i cannot answer|i can't solve this|i cannot solve this|i must decline|i have to decline|i decline to|must respectfully decline|i refuse to|i'm not able to|i am not able to|not able to solve tasks|as a language model|as an ai|as an artificial intelligence|my guidelines|against my guidelines|prevent me from|goes beyond what i am allowed|not allowed to|i'm not permitted|i am not permitted|not comfortable|do not feel comfortable|don't feel comfortable|it would be inappropriate|inappropriate for me|ask a teacher instead|i'd rather not|i would rather not|i can't do that|i cannot do that|cannot fulfill|can't fulfill|cannot comply|can't comply|cannot complete this request"
@@ -28,10 +28,8 @@ REFUSALS = (
     "|я не могу|не могу помочь|не могу решить|не могу ответить|не могу предоставить|не могу выполнить|извините|к сожалению, я|мне не разрешено|мне нельзя|вынужден отказать|я вынужден|я должен отказать|отказаться от ответа|как языковая модель|не имею права|прошу прощения|приношу извинения|мне запрещено|не в состоянии"
     "|对不起|抱歉|我不能|我无法|不能提供|无法提供|无法解答|不能解答|不能回答|无法回答|不能帮助|无法帮助|无法协助|作为语言模型|作为一个语言模型|作为人工智能|作为一个人工智能|不允许|请谅解|拒绝回答|恕我"
 ).split("|")
-#: Words up to which fillers may be all there is.
-FEW = 12
-#: Words beyond which a text that holds a refusal's phrase is an answer all the same, and before which the phrase must stand.
-REFUSAL_WORDS, REFUSAL_START = 90, 40
+#: Share of a text's words outside its sentences of refusal that may stand in sentences that work on the task (hold a digit or a sign of calculation).
+WORK_SHARE = 0.5
 #: Share of the answer that must lie in runs of the question, least length of such runs, and words a lead-in may have.
 COPY_SHARE, COPY_RUN, LEAD_IN = 0.75, 4, 14
 
@@ -47,8 +45,22 @@ def _refusal_automaton():
     return a
 
 
-def units(text: str) -> list[str]:
-    return _UNIT.findall(text.casefold())
+def refuses(text: str) -> bool:
+    """Whether a sentence of a bare text holds a phrase of refusal and the rest, of whatever length, mostly does no work on the task."""
+    plain = text.casefold().replace("’", "'")
+    if next(_refusal_automaton().iter(" ".join(plain.split())), None) is None:
+        return False
+    work = rest = 0
+    found = False
+    for m in _SENTENCE.finditer(plain):
+        sentence = " ".join(m.group().split())
+        if next(_refusal_automaton().iter(sentence), None) is not None:
+            found = True
+            continue
+        n = len(units(sentence))
+        rest += n
+        work += n if _WORKS.search(sentence) else 0
+    return not found or work <= WORK_SHARE * rest
 
 
 class SuffixAutomaton:
@@ -131,50 +143,44 @@ def defect_of(prompt: str | None, text: str | None) -> str | None:
     """'empty', 'refusal', 'copy' or 'language'; None for other texts. Cut texts are found by the end model."""
     if not text:
         return "empty"
-    bare = text if text.isascii() else INVISIBLE.sub("", text)
-    if "<" in bare or "\\" in bare or "```" in bare:
-        bare = _TAGS.sub(" ", bare)
-    w = units(bare)
-    if len(w) <= FEW:
-        if not w or " ".join(w) in FILLERS or "".join(w) in FILLERS:
-            return "empty"
-    if len(w) <= REFUSAL_WORDS:
-        plain = " ".join(bare.casefold().replace("’", "'").split())
-        for end, size in _refusal_automaton().iter(plain):
-            if len(plain[: end + 1 - size].split()) <= REFUSAL_START:
-                return "refusal"
+    text = bare(text)
+    if only_fillers(text):
+        return "empty"
+    if refuses(text):
+        return "refusal"
+    w = units(text)
     if prompt:
         automaton, n, asked = _question(prompt)
         if n >= COPY_RUN:
             covered = automaton.covered(w, COPY_RUN)
             if covered >= COPY_SHARE * len(w) and len(w) - covered <= LEAD_IN and covered >= 0.5 * n:
                 return "copy"
-        if _foreign(asked, bare, w):
+        if _foreign(asked, text, w):
             return "language"
     return None
 
 
-def defects(df: DataFrame, prompt: str, text: str, column: str, keys: list[str], model: EndModel | None = None) -> DataFrame:
+def defects(df: DataFrame, prompt: str, text: str, column: str, keys: list[str], model: EndModel | None = None, tokens: str | None = None) -> DataFrame:
     """keys and ``defect`` of every answer: 'empty', 'refusal', 'copy', 'language', 'truncated' or null.
 
     The first that holds in that order is given. ``prompt`` is the question, ``column`` the
-    name of the field the answer is from. Null answers, blanks, tags and fillers are
-    'empty'; with a null or empty prompt 'copy' and 'language' are not given. Repeated rows
-    stay. Narrow: one pass over the texts; the model of ends is fitted on a bounded sample
-    and broadcast, its thresholds on the scores of all texts.
+    name of the field the answer is from, ``tokens`` may name a column of token counts.
+    Null answers, blanks, tags and fillers are 'empty'; with a null or empty prompt 'copy'
+    and 'language' are not given. Repeated rows stay. One pass over the texts writes a
+    narrow table; the model of ends is fitted on a bounded sample and broadcast, its
+    thresholds are set from the scores of all answers without another defect.
     """
-    model = model or fit_on_sample(df, text, column)
+    model = model or sample_model(df, text)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list[str | None], prompts: list[str | None], fields: list[str | None]) -> list:
+    def run(texts: list[str | None], prompts: list[str | None]) -> list:
         out = [defect_of(p, t) for p, t in zip(prompts, texts)]
-        left = [i for i, d in enumerate(out) if d is None]
-        for i, cut in zip(left, cut_off(sent.value, [texts[i] for i in left], [fields[i] or "" for i in left])):
-            if cut:
-                out[i] = "truncated"
-        return [out]
+        return [out, *end_odds(sent.value, [None if d else t for t, d in zip(texts, out)], prompts)]
 
-    return map_texts(df, run, keys, [text, prompt, column], {"defect": "string"})
+    carried = [*keys, tokens] if tokens and tokens not in keys else keys
+    named = df.select(*carried, F.col(text).alias("__t"), F.col(prompt).alias("__p"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("__field"))
+    scored = materialize(map_texts(named, run, [*carried, "__field"], ["__t", "__p"], {"__defect": "string"} | SCORED))
+    return decided(scored, model, tokens).select(*keys, F.coalesce("__defect", F.when(F.col("cut"), "truncated")).alias("defect"))
 
 
 def _field(df: DataFrame) -> DataFrame:
@@ -183,18 +189,18 @@ def _field(df: DataFrame) -> DataFrame:
 
 def defective_answers(rollouts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(record_table, record_id, slot, defect) of every defective answer, each once."""
-    found = defects(_field(answers(rollouts, pairs)), "problem_text", "solution", "__field", ["record_table", "record_id", "slot"])
+    found = defects(_field(answers(rollouts, pairs)), "problem_text", "solution", "__field", ["record_table", "record_id", "slot"], tokens="num_tokens")
     return found.filter("defect is not null").distinct()
 
 
-def _trace_defects(rollouts: DataFrame) -> DataFrame:
-    t = traces(rollouts).withColumn("__field", F.lit("solution"))
-    return defects(t, "problem_text", "solution", "__field", ["rollout_id", "trace_id", "shard"])
+def _cut(rollouts: DataFrame) -> DataFrame:
+    t = traces(rollouts).withColumn("__column", F.lit("solution"))
+    return truncated_texts(t, "solution", "__column", ["rollout_id", "trace_id", "shard"], tokens="num_tokens", question="problem_text")
 
 
 def cut_traces(rollouts: DataFrame) -> DataFrame:
     """(rollout_id, trace_id) of traces whose solution breaks off, each once."""
-    return _trace_defects(rollouts).filter("defect = 'truncated'").select("rollout_id", "trace_id").distinct()
+    return _cut(rollouts).filter("cut").select("rollout_id", "trace_id").distinct()
 
 
 def cut_rates(rollouts: DataFrame) -> DataFrame:
@@ -202,10 +208,9 @@ def cut_rates(rollouts: DataFrame) -> DataFrame:
 
     Null shards are one group; a shard without texts has rate 0.
     """
-    d = _once(_trace_defects(rollouts))
+    d = _once(_cut(rollouts))
     return d.groupBy("shard").agg(F.count("*").alias("traces"), F.sum("with_text").alias("with_text"), F.sum("cut").alias("cut")).withColumn("cut_rate", F.col("cut") / F.greatest("with_text", F.lit(1)))
 
 
 def _once(found: DataFrame) -> DataFrame:
-    defect = F.coalesce("defect", F.lit(""))
-    return found.groupBy("shard", "rollout_id", "trace_id").agg(F.max((defect == "truncated").cast("bigint")).alias("cut"), F.max((defect != "empty").cast("bigint")).alias("with_text"))
+    return found.groupBy("shard", "rollout_id", "trace_id").agg(F.max(F.col("cut").cast("bigint")).alias("cut"), F.max(F.col("has_text").cast("bigint")).alias("with_text"))
