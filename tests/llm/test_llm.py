@@ -384,7 +384,7 @@ def test_mixture(spark):
     docs = [(i, sentence(rng, rng.randint(5, 30)), rng.choice(["a", "A ", "a", "b", "c", None]), rng.choice(["en", "DE", None]), None) for i in range(3000)] + [(9001, None, "a", "en", None), (9002, "", "b", "en", None)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string, problem_id string")
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("gone", 0.1, 1), ("c", 0.1, 3)], "source string, target_share double, max_repeats int")
-    chosen, report = mixture.mixture(d, t)
+    chosen, report, marginals = mixture.mixture(d, t)
     got = {r.source: r for r in report.collect()}
     assert set(got) == {"a", "b", "c", "gone"}
     assert got["gone"].mix_tokens == 0
@@ -392,11 +392,31 @@ def test_mixture(spark):
         assert got[s].reached_share == pytest.approx(want / 0.9, abs=0.005)
         assert got[s].most_copies <= got[s].max_repeats
     assert chosen.filter("copies < 1").count() == 0
-    none, empty = mixture.mixture(d.limit(0), t)
-    assert none.count() == 0
+    shares = {(r.dimension, r.name): r for r in marginals.collect()}
+    assert {n for k, n in shares if k == "language"} == {"en", "de", "none"}
+    for k in ("language", "topic"):
+        for c in ("natural_share", "raked_share", "reached_share"):
+            assert sum(r[c] for (x, _), r in shares.items() if x == k) == pytest.approx(1)
+    assert all(r.reached_share == pytest.approx(r.raked_share, abs=0.02) == pytest.approx(r.natural_share, abs=0.02) for r in shares.values())
+    none, empty, nothing = mixture.mixture(d.limit(0), t)
+    assert none.count() == nothing.count() == 0
     assert empty.count() == 4
 
 
+def test_topics_of_a_hot_problem_and_of_none(spark):
+    """A third of the documents has one problem, a third none, and a problem's name may be blank: every document has its topic once."""
+    docs = [(i, f"text number {i} of them", "a", "en", "hot" if i % 3 == 0 else None if i % 3 == 1 else f"p{i}") for i in range(600)] + [(601, "more text", "a", "en", "")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string, problem_id string").withColumn("topic", F.lit("clash"))
+    topics = spark.createDataFrame([("hot", "Algebra "), ("hot", "algebra"), ("p2", "geometry"), ("p5", ""), (None, "x")], "problem_id string, category string")
+    t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    chosen, _, marginals = mixture.mixture(d, t, topics)
+    assert chosen.count() == 601 and chosen.select("doc_id").distinct().count() == 601
+    n = {r.doc_id: r.n_tokens for r in chosen.collect()}
+    total = sum(n.values())
+    got = {r.name: r.reached_share for r in marginals.filter("dimension = 'topic'").collect()}
+    assert got == pytest.approx({"algebra": sum(n[i] for i in range(0, 600, 3)) / total, "geometry": n[2] / total, "none": (total - n[2] - sum(n[i] for i in range(0, 600, 3))) / total})
+
+
 # 10 sentences
 
 

@@ -82,7 +82,7 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), table(spark, d, "problems").select("problem_id", "category"))
 
 
@@ -94,11 +94,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics: natural, raked and reached."""
+    return _mixture(spark, d)[2]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repetition, p2_found, p2_splits, p3_found, p3_rates, p4_found, p5_found, p5_items, p6_found, p6_groups, p7_found, p7_ranked, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repetition, p2_found, p2_splits, p3_found, p3_rates, p4_found, p5_found, p5_items, p6_found, p6_groups, p7_found, p7_ranked, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_marginals, p10_found)}
 
 _BEST = """
 with latest as (
