@@ -27,32 +27,25 @@ def compare(base: DataFrame, new: DataFrame, *by: str) -> DataFrame:
     return j.select(*by, "benchmark", "dim", "key", F.col("accuracy").alias("base_accuracy"), "new_accuracy", F.round(F.col("new_accuracy") - F.col("accuracy"), 6).alias("accuracy_delta"), F.round(F.col("new_tokens") - F.col("avg_tokens"), 6).alias("tokens_delta"))
 
 
-def _paired(runs: DataFrame) -> DataFrame:
-    """One row per problem of both runs; one aggregation instead of a self-join."""
-    pick = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c)))
-    g = runs.groupBy("id").agg(pick("is_correct", 0).alias("ca"), pick("is_correct", 1).alias("cb"), pick("num_tokens", 0).alias("ta"), pick("num_tokens", 1).alias("tb"))
-    return g.filter("ca is not null and cb is not null")
-
-
 def _against_first(runs: DataFrame) -> DataFrame:
     """One row per problem and later run, beside the problem's run 0."""
     base = runs.filter("model = 0").select("id", F.col("is_correct").alias("ca"), F.col("num_tokens").alias("ta"))
     return base.join(runs.filter("model > 0").select("id", "model", F.col("is_correct").alias("cb"), F.col("num_tokens").alias("tb")), "id")
 
 
-def disagreement(runs: DataFrame, every: bool = False) -> DataFrame:
-    """Who solved the problem, run 0 or run 1; with ``every`` run 0 or each later one, by ``model``."""
-    pairs, by = (_against_first(runs), ["model"]) if every else (_paired(runs), [])
+def disagreement(runs: DataFrame) -> DataFrame:
+    """Who solved the problem, run 0 or each later one, by ``model``."""
+    pairs = _against_first(runs)
     outcome = F.when(F.col("ca") & F.col("cb"), "both").when(F.col("ca"), "base_only").when(F.col("cb"), "new_only").otherwise("neither")
-    return pairs.groupBy(*by, outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("ta"), 6).alias("base_tokens"), F.round(F.avg("tb"), 6).alias("new_tokens"))
+    return pairs.groupBy("model", outcome.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("ta"), 6).alias("base_tokens"), F.round(F.avg("tb"), 6).alias("new_tokens"))
 
 
-def impact(runs: DataFrame, every: bool = False) -> DataFrame:
-    """Change of accuracy by how much shorter the second run is; with ``every`` each later run, by ``model``."""
-    pairs, by = (_against_first(runs), ["model"]) if every else (_paired(runs), [])
+def impact(runs: DataFrame) -> DataFrame:
+    """Change of accuracy by how much shorter each later run is than run 0, by ``model``."""
+    pairs = _against_first(runs)
     left = F.col("tb") / F.col("ta")
     bucket = F.when(left > 0.95, "under_5").when(left > 0.8, "under_20").when(left > 0.6, "under_40").otherwise("rest")
-    return pairs.filter("ta > 0").groupBy(*by, bucket.alias("reduction")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("cb").cast("double")) - F.avg(F.col("ca").cast("double")), 6).alias("accuracy_delta"))
+    return pairs.filter("ta > 0").groupBy("model", bucket.alias("reduction")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("cb").cast("double")) - F.avg(F.col("ca").cast("double")), 6).alias("accuracy_delta"))
 
 
 def numbered(scored: DataFrame) -> DataFrame:
@@ -66,13 +59,9 @@ def numbered(scored: DataFrame) -> DataFrame:
     return scored.join(offsets, ["problem_id", "rollout_id"]).withColumn("trace_id", F.col("trace_id") + F.col("__before")).drop("__before")
 
 
-def levels(scored: DataFrame, annotated: DataFrame, every: bool = False) -> DataFrame:
-    """Scores of each problem's first rollout, with ``every`` of all its rollouts, beside the latest delivered ones of the same trace; NaN counts as absent."""
+def levels(scored: DataFrame, annotated: DataFrame) -> DataFrame:
+    """Scores of all rollouts beside the latest delivered ones of the same trace; NaN counts as absent."""
     w = Window.partitionBy("problem_id", "trace_id").orderBy(F.col("annotated_at").desc_nulls_last(), F.col("quality_reward").desc_nulls_last(), F.col("dsr").asc_nulls_last())
     l2 = annotated.select("problem_id", "trace_id", "dsr", "quality_reward", "annotated_at").withColumn("k", F.row_number().over(w)).filter("k = 1")
     l2 = l2.select("problem_id", "trace_id", F.col("dsr").alias("l2_dsr"), F.when(~F.isnan("quality_reward"), F.col("quality_reward")).alias("l2_quality"))
-    if every:
-        return numbered(scored).join(l2, ["problem_id", "trace_id"], "left")
-    r = Window.partitionBy("problem_id").orderBy("rollout_id")
-    first = scored.withColumn("k", F.rank().over(r)).filter("k = 1").drop("k")
-    return first.join(l2, ["problem_id", "trace_id"], "left")
+    return numbered(scored).join(l2, ["problem_id", "trace_id"], "left")

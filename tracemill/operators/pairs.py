@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.motifs import with_motifs
-from tracemill.operators.traces import unique
+from tracemill.operators.traces import once, unique
 from tracemill.session import materialize
 
 ORDER = ["rollout_id", "trace_id"]
@@ -53,19 +53,34 @@ def _has(kind: str) -> Column:
     return F.exists("motifs", lambda x: x["motif_type"] == kind)
 
 
-def prepare(p: DataFrame, severity: float = 0.5, steps: int = 3) -> DataFrame:
-    """What pairs are built from, one narrow row per parsed trace: metrics, motif flags, and ``cuts``, the text of correct traces without each severe motif of several steps.
+def _kept(x: Column) -> Column:
+    return F.filter("steps", lambda s: (s["id"] < x["first_id"]) | (s["id"] >= x["first_id"] + x["length"]))
 
-    Written once to the shared folder, so that the joins of traces with traces read a few
-    columns and no text is parsed twice.
+
+def _cuts(severity: float, steps: int, k: int) -> Column:
+    """The k worst severe motifs of several steps that can be cut out of a correct trace, by falling severity, without text.
+
+    The text without the motif must be under 0.95 of the solution's length and of 50
+    characters at least; its length is that of the steps left and the blank lines between.
     """
-    m = with_motifs(p)
     severe = F.filter("motifs", lambda x: (x["severity"] >= severity) & (x["length"] >= steps))
 
     def cut(x: Column, i: Column) -> Column:
-        kept = F.filter("steps", lambda s: (s["id"] < x["first_id"]) | (s["id"] >= x["first_id"] + x["length"]))
-        return F.struct(i.alias("seq"), x["severity"].alias("severity"), x["motif_type"].alias("motif_type"), x["first_id"].alias("first_id"), F.array_join(F.transform(kept, lambda s: s["content"]), "\n\n").alias("chosen_solution"))
+        kept = _kept(x)
+        chars = F.aggregate(kept, F.lit(0), lambda a, s: a + s["char_length"]) + F.greatest(F.size(kept) - 1, F.lit(0)) * 2
+        return F.struct((-x["severity"]).alias("order"), i.alias("seq"), x["motif_type"].alias("motif_type"), x["first_id"].alias("first_id"), x["length"].alias("length"), chars.alias("n_chars"))
+
+    fits = F.filter(F.transform(severe, cut), lambda c: (c["n_chars"] < F.length("solution") * F.lit(0.95)) & (c["n_chars"] >= 50))
+    return F.when(F.col("is_correct"), F.slice(F.array_sort(fits), 1, k))
+
+
+def prepare(p: DataFrame, severity: float = 0.5, steps: int = 3, k: int = 2) -> DataFrame:
+    """What pairs are built from, one narrow row per parsed trace: metrics, motif flags, and ``cuts``, the places of the k worst severe motifs of correct traces.
 
+    Written once to the shared folder, so that the joins of traces with traces read a few
+    columns; no text is in it.
+    """
+    m = with_motifs(p)
     n = F.size("steps")
     verif = F.filter("steps", lambda s: s["step_type"] == "verification")
     live_v = F.size(F.filter(verif, lambda s: F.array_contains("live", s["id"])))
@@ -80,22 +95,24 @@ def prepare(p: DataFrame, severity: float = 0.5, steps: int = 3) -> DataFrame:
             F.when(n == 0, 0.0).when(F.size(verif) > 0, live_v / F.size(verif)).otherwise(1.0).alias("live_verification_rate"),
             F.coalesce(worst, F.lit(0.0)).alias("worst"),
             *[_has(t).alias(f"has_{t}") for t in CONTRASTED],
-            F.length("solution").alias("n_chars"),
-            F.when(F.col("is_correct"), F.transform(severe, cut)).alias("cuts"),
+            _cuts(severity, steps, k).alias("cuts"),
         ))
     )
 
 
-def excision_pairs(a: DataFrame, k: int = 2) -> DataFrame:
-    """Correct traces over themselves without one severe motif of several steps: the worst k per trace.
+def excision_pairs(a: DataFrame) -> DataFrame:
+    """Correct traces over themselves without one severe motif of several steps, by keys and places; ``chosen_dsr`` is 0 by definition."""
+    best = a.filter("is_correct and size(cuts) > 0").select("problem_id", *ORDER, "dsr", F.explode("cuts").alias("__m"))
+    return best.select("problem_id", *ORDER, "__m.motif_type", "__m.first_id", F.lit(0.0).alias("chosen_dsr"), F.col("dsr").alias("rejected_dsr"))
 
-    The text without the motif must be under 0.95 of the solution's length and of 50
-    characters at least; ``chosen_dsr`` is 0 by definition.
-    """
-    rows = a.filter("is_correct and size(cuts) > 0").select("problem_id", *ORDER, "n_chars", "dsr", F.explode("cuts").alias("__m")).select("problem_id", *ORDER, "n_chars", "dsr", "__m.*")
-    rows = rows.filter((F.length("chosen_solution") < F.col("n_chars") * F.lit(0.95)) & (F.length("chosen_solution") >= 50))
-    best = _first(rows, k, [F.desc("severity"), "seq"], ORDER)
-    return best.select("problem_id", *ORDER, "motif_type", "first_id", "chosen_solution", F.lit(0.0).alias("chosen_dsr"), F.col("dsr").alias("rejected_dsr"))
+
+def excision_texts(p: DataFrame, severity: float = 0.5, steps: int = 3, k: int = 2) -> DataFrame:
+    """The same with the text that is left, made for the chosen motifs only, inside each trace's row: no shuffle."""
+    n = F.size("steps")
+    m = with_motifs(p).withColumn("__cuts", once(_cuts(severity, steps, k))).filter("size(__cuts) > 0")
+    left = F.transform("__cuts", lambda c: F.struct(c["motif_type"].alias("motif_type"), c["first_id"].alias("first_id"), F.array_join(F.transform(_kept(c), lambda s: s["content"]), "\n\n").alias("chosen_solution")))
+    rows = m.select("problem_id", *ORDER, F.when(n > 0, (n - F.size("live")) / n).otherwise(0.0).alias("rejected_dsr"), F.explode(left).alias("__m"))
+    return rows.select("problem_id", *ORDER, "__m.*", F.lit(0.0).alias("chosen_dsr"), "rejected_dsr")
 
 
 def replacement_pairs(a: DataFrame, severity: float = 0.5, k: int = 3) -> DataFrame:

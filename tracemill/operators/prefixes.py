@@ -12,7 +12,12 @@ KINDS = ["redirect_cascade", "skip_theater", "redirect_branch"]
 
 
 def prefixes(p: DataFrame) -> DataFrame:
-    """A row per prefix with its own liveness and motifs; edges do not change as a trace grows, only the conclusions do."""
+    """A row per prefix with its own liveness and motifs; edges do not change as a trace grows, only the conclusions do.
+
+    Steps are cut down to what motifs look at first, so no prefix carries text.
+    """
+    bare = F.transform("steps", lambda s: F.struct(s["id"].alias("id"), s["step_type"].alias("step_type"), s["sym"].alias("sym")))
+    p = p.select(*KEYS, "edges", once(bare).alias("steps"))
     ends = F.when(F.size("steps") > 0, F.sequence(F.lit(1), F.size("steps"))).otherwise(F.array().cast("array<int>"))
     x = p.select(*KEYS, F.explode(F.transform(ends, lambda k: F.struct(k.alias("n"), F.slice(F.col("steps"), F.lit(1), k).alias("steps"), F.slice(F.col("edges"), F.lit(1), k).alias("edges")))).alias("x")).select(*KEYS, "x.*")
     x = x.withColumn("conclusions", conclusion_ids(F.col("steps"))).withColumn("live", once(live_ids(F.col("edges"), F.col("conclusions"))))

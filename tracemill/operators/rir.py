@@ -16,19 +16,34 @@ def reach(steps: Column) -> Column:
     """Sorted ids of the live steps: conclusions (else the last step) and all they use, for any graph.
 
     Ids need not be dense or ordered, inputs may name unknown steps (ignored) and form
-    cycles. The set grows until it stands still, at most as many rounds as there are steps.
+    cycles. One fold from the last step to the first follows all inputs that point back;
+    what is left (inputs that point forward) is carried as a frontier and only its steps
+    are looked at, so rounds after it is empty cost nothing.
     """
+    none = F.array().cast("array<int>")
     ids = F.transform(steps, lambda s: s["id"])
     seeds = F.transform(F.filter(steps, lambda s: s["type"] == "conclusion"), lambda s: s["id"])
     last = F.try_element_at(ids, F.lit(-1))
-    start = F.when(F.size(seeds) > 0, seeds).when(F.size(ids) > 0, F.array(last)).otherwise(F.array().cast("array<int>"))
+    start = F.array_distinct(F.when(F.size(seeds) > 0, seeds).when(F.size(ids) > 0, F.array(last)).otherwise(none))
+    used = lambda s: F.coalesce(s["inputs"], none)
+    back = F.aggregate(F.reverse(steps), start, lambda acc, s: F.when(F.array_contains(acc, s["id"]), F.array_union(acc, used(s))).otherwise(acc))
+
+    def beyond(live: Column, front: Column) -> Column:
+        """Known steps that the steps of the frontier use and that are not live yet."""
+        more = F.flatten(F.transform(F.filter(steps, lambda s: F.array_contains(front, s["id"])), used))
+        return F.array_except(F.array_intersect(more, ids), live)
+
+    def state(live: Column, front: Column) -> Column:
+        return F.struct(live.alias("live"), front.alias("front"))
 
     def grow(acc: Column, _: Column) -> Column:
-        used = F.flatten(F.transform(F.filter(steps, lambda s: F.array_contains(acc, s["id"])), lambda s: s["inputs"]))
-        return F.array_distinct(F.concat(acc, F.array_intersect(used, ids)))
+        live = F.concat(acc["live"], acc["front"])
+        return F.when(F.size(acc["front"]) > 0, state(live, beyond(live, acc["front"]))).otherwise(acc)
 
-    rounds = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids))).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.aggregate(rounds, F.array_distinct(start), grow))
+    rounds = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids))).otherwise(none)
+    first = F.transform(F.array(F.array_intersect(back, ids)), lambda live: state(live, beyond(live, live)))
+    whole = F.transform(first, lambda x: F.when(F.size(x["front"]) > 0, F.aggregate(rounds, x, grow, lambda acc: acc["live"])).otherwise(x["live"]))
+    return F.array_sort(F.coalesce(F.try_element_at(whole, F.lit(1)), none))
 
 
 def eliminate(df: DataFrame, steps: str = "steps") -> DataFrame:

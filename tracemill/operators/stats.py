@@ -31,8 +31,10 @@ def variance_by_category(a: DataFrame) -> DataFrame:
         (F.max(F.when(right, F.col("dsr"))) - F.min(F.when(right, F.col("dsr")))).alias("dsr_range"),
         F.var_pop(F.when(right, F.col("live_verification_rate"))).alias("lvr_var"),
     ).filter("n_correct >= 2")
-    g = g.withColumn("category", F.when(F.col("n_correct") == F.col("n"), "saturated").otherwise("partial"))
-    return g.groupBy("category").agg(F.count("*").alias("problems"), r6(F.avg("outcome_var")).alias("mean_outcome_var"), r6(F.avg("struct_var")).alias("mean_struct_var"), r6(F.median("struct_var")).alias("median_struct_var"), r6(F.avg("dsr_range")).alias("mean_dsr_range"), r6(F.avg("lvr_var")).alias("mean_lvr_var"), r6(F.avg((F.col("struct_var") > 0.001).cast("double"))).alias("share_nonzero"))
+    g = materialize(g.withColumn("category", F.when(F.col("n_correct") == F.col("n"), "saturated").otherwise("partial")))
+    middle = medians(g, "struct_var", "category", ["saturated", "partial"]).select("category", r6("median").alias("median_struct_var"))
+    means = g.groupBy("category").agg(F.count("*").alias("problems"), r6(F.avg("outcome_var")).alias("mean_outcome_var"), r6(F.avg("struct_var")).alias("mean_struct_var"), r6(F.avg("dsr_range")).alias("mean_dsr_range"), r6(F.avg("lvr_var")).alias("mean_lvr_var"), r6(F.avg((F.col("struct_var") > 0.001).cast("double"))).alias("share_nonzero"))
+    return means.join(F.broadcast(middle), "category", "left")  # a row for each category
 
 
 def signal_preservation(a: DataFrame) -> DataFrame:
@@ -57,12 +59,24 @@ def filled(df: DataFrame, column: str, labels: list[str]) -> DataFrame:
     return every.join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rank_table(df: DataFrame, value: str, group: Column, groups: list, parts: int | None = None) -> DataFrame:
+def medians(df: DataFrame, value: str, group: str, groups: list) -> DataFrame:
+    """(group, median) of the groups that have values: the mean of the two middle ones, from prefix sums of counts, so no task holds a group."""
+    t = rank_table(df, value, F.col(group), groups, cumulate=True)
+    sides = [F.struct(F.lit(g).alias(group), F.col(f"n{i}").alias("n"), F.col(f"upto{i}").alias("upto")) for i, g in enumerate(groups)]
+    rows = t.select("value", F.explode(F.array(*sides)).alias("x")).select("value", "x.*").filter("n > 0")
+    total = rows.groupBy(group).agg(F.sum("n").alias("total"))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    hit = lambda at: F.max(F.when((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at), F.col("value")))
+    return rows.join(F.broadcast(total), group).groupBy(group).agg(((hit(low) + hit(high)) / 2).alias("median"))
+
+
+def rank_table(df: DataFrame, value: str, group: Column, groups: list, parts: int | None = None, cumulate: bool = False) -> DataFrame:
     """(value, size of every group, average rank): ranks over the whole table without one task that sorts it.
 
     Values are counted first, then range-partitioned; a prefix sum over the partitions
     gives each its offset. The partitioned counts are a written table, so both passes see
-    the same partitions.
+    the same partitions. With ``cumulate`` ``upto0``, ``upto1``... count each group's
+    values up to here.
     """
     counts = [F.count_if(group == g).alias(f"n{i}") for i, g in enumerate(groups)]
     by_value = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(*counts)
@@ -70,6 +84,13 @@ def rank_table(df: DataFrame, value: str, group: Column, groups: list, parts: in
     own = by_value.withColumn("n", n)
     split = own.repartitionByRange(parts, "value") if parts else own.repartitionByRange("value")
     split = materialize(split.withColumn("part", F.spark_partition_id()))
+    if cumulate:
+        own = [f"n{i}" for i in range(len(groups))]
+        sums = split.groupBy("part").agg(*[F.sum(c).alias(f"s_{c}") for c in own])
+        first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        before = sums.select("part", *[F.coalesce(F.sum(f"s_{c}").over(first), F.lit(0)).alias(f"b_{c}") for c in own])
+        here = Window.partitionBy("part").orderBy("value")
+        return split.withColumns({f"w_{c}": F.sum(c).over(here) for c in own}).join(before, "part").select("value", *own, *[(F.col(f"w_{c}") + F.col(f"b_{c}")).alias(f"upto{i}") for i, c in enumerate(own)])
     sums = split.groupBy("part").agg(F.sum("n").alias("s"))
     before = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)

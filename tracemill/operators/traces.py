@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
-from tracemill.session import spread, table
+from tracemill.session import delivered_once, spread, table
 
 KEYS = ["problem_id", "rollout_id", "trace_id"]
 
@@ -37,6 +37,11 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
     return flatten(spread(rows))
 
 
+def single(spark: SparkSession, d: str) -> DataFrame:
+    """Every trace once, for what carries texts on: rollouts that were delivered again are left out before their texts are read."""
+    return flatten(spread(delivered_once(spark, d, "rollouts", "rollout_id").select("rollout_id", "problem_id", "problem_text", "ground_truth", "shard", "traces")))
+
+
 def once(c: Column) -> Column:
     """The same values, evaluated once per row.
 

@@ -172,7 +172,7 @@ def direction_pairs(spark, d):
 
 @query(_m(S.EXCISION))
 def excision_pairs(spark, d):
-    return P.excision_pairs(_prepared(spark, d))
+    return P.excision_texts(T.parse(T.single(spark, d)))
 
 
 @query("with recursive " + S.FLAGS + " " + S.REPLACEMENT)
@@ -386,7 +386,7 @@ from t left join hb on hb.rollout_id = t.rollout_id and hb.trace_id = t.trace_id
 
 @query(_HINT)
 def key_step_hints(spark, d):
-    return T.unique(T.traces(spark, d).select(*T.KEYS, text.key_step_hint(F.col("solution")).alias("hint")))
+    return T.single(spark, d).select(*T.KEYS, text.key_step_hint(F.col("solution")).alias("hint"))
 
 
 _COUNTS = ", ".join(f"len(regexp_extract_all(lower(solution), {S.q(p)}))::bigint as {k}" for k, p in fixed.COUNTED.items())
@@ -505,15 +505,8 @@ def pair_breakdown(spark, d):
     return p.groupBy("pair_type").agg(F.count("*").alias("n"), F.countDistinct(F.regexp_extract("problem_id", "([0-9]+)", 1)).alias("problems"), F.round(F.avg("chosen_dsr"), 6).alias("mean_chosen_dsr"), F.round(F.avg("rejected_dsr"), 6).alias("mean_rejected_dsr"), F.count_if(F.col("chosen_correct") & F.col("rejected_correct")).alias("both_correct"), F.count_if(F.col("chosen_correct") & ~F.col("rejected_correct")).alias("chosen_only"))
 
 
-@query(S.PAIRS + "select coalesce(pair_type, 'all') as pair_type, count(distinct substr(problem_text, 1, 100)) as prompts from pr group by rollup (pair_type)")
-def pair_coverage(spark, d):
-    """Distinct prompts (by their first 100 characters, as the report counts them) by type and in all."""
-    p = _pairs_once(spark, d).select("pair_type", F.substring("problem_text", 1, 100).alias("prompt"))
-    return p.rollup("pair_type").agg(F.countDistinct("prompt").alias("prompts")).select(F.coalesce("pair_type", F.lit("all")).alias("pair_type"), "prompts")
-
-
 @query(S.PAIRS + "select coalesce(pair_type, 'all') as pair_type, count(distinct problem_text) as prompts from pr group by rollup (pair_type)")
-def pair_coverage_all(spark, d):
+def pair_coverage(spark, d):
     """Distinct prompts by their whole texts."""
     p = _pairs_once(spark, d).select("pair_type", "problem_text")
     return p.rollup("pair_type").agg(F.countDistinct("problem_text").alias("prompts")).select(F.coalesce("pair_type", F.lit("all")).alias("pair_type"), "prompts")
@@ -626,11 +619,11 @@ def rir_difficulty(spark, d):
     return _by_difficulty(spark, d).groupBy("difficulty").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("vii").alias("avg_vii"), a("dead_token_ratio").alias("avg_dead_tokens"), a("total").alias("avg_steps"), a("tokens").alias("avg_tokens"))
 
 
-@query("with recursive " + S.RIR + _NAMED + """, c as (select dsr as value, count(*) as n, count(*) filter (difficulty = 'easy') as n0, count(*) filter (difficulty = 'medium') as n1, count(*) filter (difficulty = 'unknown') as n2 from fc group by 1), k as (select *, sum(n) over (order by value) - n + (n + 1) / 2.0::double as rank from c),
-  z as (select sum(n0)::double as n0, sum(n1)::double as n1, sum(n2)::double as n2, sum(n0 * rank) as r0, sum(n1 * rank) as r1, sum(n2 * rank) as r2, sum(n::double * n * n - n) as ties, sum(n)::double as n from k)
-  select round((12.0::double / (n * (n + 1)) * (r0 * r0 / n0 + r1 * r1 / n1 + r2 * r2 / n2) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) as h, 2 as df from z""")
+@query("with recursive " + S.RIR + _NAMED + """, c as (select dsr as value, count(*) as n from fc group by 1), k as (select value, n, sum(n) over (order by value) - n + (n + 1) / 2.0::double as rank from c),
+  strata as (select difficulty, count(*)::double as n, sum(rank) as r from fc join k on fc.dsr = k.value group by 1), z as (select sum(n::double * n * n - n) as ties, sum(n)::double as n from k)
+  select round((12.0::double / (z.n * (z.n + 1)) * (select sum(r * r / n) from strata) - 3 * (z.n + 1)) / (1 - ties / (z.n * z.n * z.n - z.n)), 6) as h, (select count(*) - 1 from strata)::int as df from z""")
 def rir_difficulty_test(spark, d):
-    """Rank test of dead-step ratios over all strata that have records; the SQL knows the three that the test tables have."""
+    """Rank test of dead-step ratios over all strata that have records."""
     return X.kruskal_wallis(materialize(_by_difficulty(spark, d).select("dsr", "difficulty")), "dsr", "difficulty", ["easy", "medium", "hard", "unknown"])
 
 
@@ -658,9 +651,14 @@ def _kept_sql(condition: str) -> str:
     return S.trim(f"regexp_replace(coalesce(string_agg(content, E'\\n\\n' order by step_id) filter (contains(content, 'boxed') or not ({condition})), ''), '\\n{{3,}}', E'\\n\\n', 'g')")
 
 
-@query(_r(", v as (select problem_id, rollout_id, trace_id, " + _kept_sql("not is_live") + " as dse, count(*) filter (not is_live) as n1, " + _kept_sql("rtype = 'verification'") + " as noverif, count(*) filter (rtype = 'verification') as n2, " + _kept_sql("rtype = 'verification' and not is_live") + " as liveverif, count(*) filter (rtype = 'verification' and not is_live) as n3 from rs group by all) select problem_id, rollout_id, trace_id, 'dse' as variant, dse as cleaned, n1 as removed_steps from v union all select problem_id, rollout_id, trace_id, 'noverif', noverif, n2 from v union all select problem_id, rollout_id, trace_id, 'liveverif', liveverif, n3 from v"))
+_KEYWORD = "list_reduce(list_transform(string_split(solution, E'\\n'), lambda z: {'skip': false, 'out': '', 'line': z}), lambda acc, z: case when " + "(" + " or ".join(f"contains(lower({S.trim('z.line')}), {S.q(w)})" for w in fixed.VERIFY_KEYWORDS) + ") then {'skip': true, 'out': acc.out, 'line': ''} when acc.skip and not (" + S.trim("z.line") + " = '' or " + " or ".join(f"starts_with({S.trim('z.line')}, {S.q(w)})" for w in fixed.NEW_TOPIC) + ") then acc else {'skip': false, 'out': acc.out || E'\\n' || z.line, 'line': ''} end, {'skip': false, 'out': '', 'line': ''}).out"
+_CLEANED = S.trim(f"regexp_replace({_KEYWORD}, '\\n{{3,}}', E'\\n\\n', 'g')")
+
+
+@query(_r(", v as (select problem_id, rollout_id, trace_id, " + _kept_sql("not is_live") + " as dse, count(*) filter (not is_live) as n1, " + _kept_sql("rtype = 'verification'") + " as noverif, count(*) filter (rtype = 'verification') as n2, " + _kept_sql("rtype = 'verification' and not is_live") + " as liveverif, count(*) filter (rtype = 'verification' and not is_live) as n3 from rs group by all) select problem_id, rollout_id, trace_id, 'dse' as variant, dse as cleaned, n1 as removed_steps from v union all select problem_id, rollout_id, trace_id, 'noverif', noverif, n2 from v union all select problem_id, rollout_id, trace_id, 'liveverif', liveverif, n3 from v union all select problem_id, rollout_id, trace_id, 'original', solution, 0 from t join v using (problem_id, rollout_id, trace_id) union all select problem_id, rollout_id, trace_id, 'keywordclean', " + _CLEANED + ", 0 from t join v using (problem_id, rollout_id, trace_id)"))
 def clean_variants(spark, d):
-    return R.variants(_records(spark, d).filter("size(rsteps) > 0")).filter(F.col("variant").isin("dse", "noverif", "liveverif")).dropDuplicates([*T.KEYS, "variant"])
+    """All five cleaned variants of every record."""
+    return R.variants(R.records(T.parse(T.single(spark, d))).filter("size(rsteps) > 0"))
 
 
 @query(_r("select variant, count(*) as n, sum(removed)::bigint as removed_steps from (select 'dse' as variant, dead as removed from rf union all select 'noverif', verif from rf union all select 'liveverif', dead_verif from rf union all select 'original', 0 from rf union all select 'keywordclean', 0 from rf) group by 1"))
@@ -668,12 +666,9 @@ def variant_stats(spark, d):
     return R.variants(_records(spark, d).filter("size(rsteps) > 0")).select(*T.KEYS, "variant", "removed_steps").distinct().groupBy("variant").agg(F.count("*").alias("n"), F.sum("removed_steps").alias("removed_steps"))
 
 
-_KEYWORD = "list_reduce(list_transform(string_split(solution, E'\\n'), lambda z: {'skip': false, 'out': '', 'line': z}), lambda acc, z: case when " + "(" + " or ".join(f"contains(lower({S.trim('z.line')}), {S.q(w)})" for w in fixed.VERIFY_KEYWORDS) + ") then {'skip': true, 'out': acc.out, 'line': ''} when acc.skip and not (" + S.trim("z.line") + " = '' or " + " or ".join(f"starts_with({S.trim('z.line')}, {S.q(w)})" for w in fixed.NEW_TOPIC) + ") then acc else {'skip': false, 'out': acc.out || E'\\n' || z.line, 'line': ''} end, {'skip': false, 'out': '', 'line': ''}).out"
-
-
-@query(S.ROWS + " select problem_id, rollout_id, trace_id, " + S.trim(f"regexp_replace({_KEYWORD}, '\\n{{3,}}', E'\\n\\n', 'g')") + " as cleaned from t")
+@query(S.ROWS + " select problem_id, rollout_id, trace_id, " + _CLEANED + " as cleaned from t")
 def keyword_clean(spark, d):
-    return T.unique(T.traces(spark, d).select(*T.KEYS, text.keyword_clean(F.col("solution")).alias("cleaned")))
+    return T.single(spark, d).select(*T.KEYS, text.keyword_clean(F.col("solution")).alias("cleaned"))
 
 
 _FRAGILE = """, pk as (select rollout_id, trace_id, list_distinct(list(content) filter (is_live)) as kept, list(content order by step_id) as paras from rs group by 1, 2),
@@ -717,11 +712,9 @@ def intervention_summary(spark, d):
 # Evaluation of two runs.
 
 
-def _runs(spark, d, every=False):
-    """Evaluation rows: the first trace of each rollout stands for the baseline (model 0), the second for the experiment (model 1); with ``every`` the later ones for further runs."""
-    t = T.traces(spark, d)
-    a = T.parse(t if every else t.filter("trace_id < 2"))
-    metrics = T.annotate(a)
+def _runs(spark, d):
+    """Evaluation rows: the first trace of each rollout stands for the baseline (model 0), the later ones for runs 1, 2 and so on."""
+    metrics = T.annotate(T.parsed(spark, d))
     shard = table(spark, d, "rollouts").select("rollout_id", F.col("shard").alias("benchmark")).dropDuplicates(["rollout_id"])
     p = table(spark, d, "problems").groupBy("problem_id").agg(F.min("level").alias("level"), F.min("category").alias("category"))
     j = metrics.join(shard, "rollout_id").join(p, "problem_id", "left")
@@ -731,10 +724,10 @@ def _runs(spark, d, every=False):
 _ACC = "count(*) as total, count(*) filter (is_correct) as correct, round(count(*) filter (is_correct)::double / count(*), 6) as accuracy, round(avg(num_tokens), 6) as avg_tokens"
 
 
-@query(S.EVAL + f"select benchmark, 'all' as dim, '' as key, {_ACC} from ev where model = 0 group by 1 union all select benchmark, 'subject', subject, {_ACC} from ev where model = 0 and subject <> '' group by 1, 3 union all select benchmark, 'level', level::varchar, {_ACC} from ev where model = 0 and level <> 0 group by 1, 3")
+@query(S.EVAL + f"select benchmark, 'all' as dim, '' as key, {_ACC} from ev group by 1 union all select benchmark, 'subject', subject, {_ACC} from ev where subject <> '' group by 1, 3 union all select benchmark, 'level', level::varchar, {_ACC} from ev where level <> 0 group by 1, 3")
 def eval_metrics(spark, d):
-    """Accuracy and tokens per benchmark, subject and level in one pass; empty subjects and level 0 are not broken out."""
-    return E.metrics(_runs(spark, d).filter("model = 0"))
+    """Accuracy and tokens per benchmark, subject and level in one pass over every trace; empty subjects and level 0 are not broken out."""
+    return E.metrics(_runs(spark, d))
 
 
 @query(S.EVAL + "select model, round(avg(dsr), 6) as avg_dsr, round(avg((dsr > 0)::int), 6) as nonzero_dsr, round(avg(num_steps), 6) as avg_steps from ev group by 1")
@@ -742,71 +735,33 @@ def eval_structural(spark, d):
     return _runs(spark, d).groupBy("model").agg(F.round(F.avg("dsr"), 6).alias("avg_dsr"), F.round(F.avg((F.col("dsr") > 0).cast("double")), 6).alias("nonzero_dsr"), F.round(F.avg("num_steps"), 6).alias("avg_steps"))
 
 
-_CMP = "(select benchmark, 'all' as dim, '' as key, {0} from ev where model = {1} group by 1 union all select benchmark, 'level', level::varchar, {0} from ev where model = {1} and level <> 0 group by 1, 3 union all select benchmark, 'subject', subject, {0} from ev where model = {1} and subject <> '' group by 1, 3)"
+_SPLIT = f"(select model, benchmark, 'all' as dim, '' as key, {_ACC} from ev group by 1, 2 union all select model, benchmark, 'level', level::varchar, {_ACC} from ev where level <> 0 group by 1, 2, 4 union all select model, benchmark, 'subject', subject, {_ACC} from ev where subject <> '' group by 1, 2, 4)"
 
 
-@query(S.EVAL + "select a.benchmark, a.dim, a.key, a.accuracy as base_accuracy, b.accuracy as new_accuracy, round(b.accuracy - a.accuracy, 6) as accuracy_delta, round(b.avg_tokens - a.avg_tokens, 6) as tokens_delta from " + _CMP.format(_ACC, 0) + " a join " + _CMP.format(_ACC, 1) + " b on a.benchmark = b.benchmark and a.dim = b.dim and a.key = b.key")
+@query(S.EVAL + f"select b.model, a.benchmark, a.dim, a.key, a.accuracy as base_accuracy, b.accuracy as new_accuracy, round(b.accuracy - a.accuracy, 6) as accuracy_delta, round(b.avg_tokens - a.avg_tokens, 6) as tokens_delta from {_SPLIT} a join {_SPLIT} b on a.benchmark = b.benchmark and a.dim = b.dim and a.key = b.key and a.model = 0 and b.model > 0")
 def compare_models(spark, d):
+    """Each later run against run 0."""
     r = _runs(spark, d)
-    return E.compare(E.metrics(r.filter("model = 0")), E.metrics(r.filter("model = 1")))
+    return E.compare(E.metrics(r.filter("model = 0")), E.metrics(r.filter("model > 0"), "model"), "model")
 
 
-_CASES = ", w as (select a.id, a.level, a.is_correct as ca, b.is_correct as cb, a.num_tokens as ta, b.num_tokens as tb from ev a join ev b on a.id = b.id and a.model = 0 and b.model = 1) "
+_CASES = ", w as (select b.model, a.is_correct as ca, b.is_correct as cb, a.num_tokens as ta, b.num_tokens as tb from ev a join ev b on a.id = b.id and a.model = 0 and b.model > 0) "
 
 
-@query(S.EVAL + _CASES + "select case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, round(avg(ta), 6) as base_tokens, round(avg(tb), 6) as new_tokens from w group by 1")
+@query(S.EVAL + _CASES + "select model, case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, round(avg(ta), 6) as base_tokens, round(avg(tb), 6) as new_tokens from w group by 1, 2")
 def disagreement(spark, d):
     return E.disagreement(_runs(spark, d))
 
 
-@query(S.EVAL + _CASES + "select case when tb::double / ta > 0.95::double then 'under_5' when tb::double / ta > 0.8::double then 'under_20' when tb::double / ta > 0.6::double then 'under_40' else 'rest' end as reduction, count(*) as n, round(avg(cb::int) - avg(ca::int), 6) as accuracy_delta from w where ta > 0 group by 1")
+@query(S.EVAL + _CASES + "select model, case when tb::double / ta > 0.95::double then 'under_5' when tb::double / ta > 0.8::double then 'under_20' when tb::double / ta > 0.6::double then 'under_40' else 'rest' end as reduction, count(*) as n, round(avg(cb::int) - avg(ca::int), 6) as accuracy_delta from w where ta > 0 group by 1, 2")
 def impact_buckets(spark, d):
     return E.impact(_runs(spark, d))
 
 
-# The same over every trace: run 0 and all later ones.
-
-_EVAL_ALL = S.EVAL.replace(" where a.trace_id < 2", "")
-
-
-@query(_EVAL_ALL + f"select benchmark, 'all' as dim, '' as key, {_ACC} from ev group by 1 union all select benchmark, 'subject', subject, {_ACC} from ev where subject <> '' group by 1, 3 union all select benchmark, 'level', level::varchar, {_ACC} from ev where level <> 0 group by 1, 3")
-def eval_metrics_all(spark, d):
-    """eval_metrics over every trace of every rollout."""
-    return E.metrics(_runs(spark, d, every=True))
-
-
-@query(_EVAL_ALL + "select model, round(avg(dsr), 6) as avg_dsr, round(avg((dsr > 0)::int), 6) as nonzero_dsr, round(avg(num_steps), 6) as avg_steps from ev group by 1")
-def eval_structural_all(spark, d):
-    return _runs(spark, d, every=True).groupBy("model").agg(F.round(F.avg("dsr"), 6).alias("avg_dsr"), F.round(F.avg((F.col("dsr") > 0).cast("double")), 6).alias("nonzero_dsr"), F.round(F.avg("num_steps"), 6).alias("avg_steps"))
-
-
-_SPLIT = f"(select model, benchmark, 'all' as dim, '' as key, {_ACC} from ev group by 1, 2 union all select model, benchmark, 'level', level::varchar, {_ACC} from ev where level <> 0 group by 1, 2, 4 union all select model, benchmark, 'subject', subject, {_ACC} from ev where subject <> '' group by 1, 2, 4)"
-
-
-@query(_EVAL_ALL + f"select b.model, a.benchmark, a.dim, a.key, a.accuracy as base_accuracy, b.accuracy as new_accuracy, round(b.accuracy - a.accuracy, 6) as accuracy_delta, round(b.avg_tokens - a.avg_tokens, 6) as tokens_delta from {_SPLIT} a join {_SPLIT} b on a.benchmark = b.benchmark and a.dim = b.dim and a.key = b.key and a.model = 0 and b.model > 0")
-def compare_models_all(spark, d):
-    """Each later run against run 0."""
-    r = _runs(spark, d, every=True)
-    return E.compare(E.metrics(r.filter("model = 0")), E.metrics(r.filter("model > 0"), "model"), "model")
-
-
-_CASES_ALL = ", w as (select b.model, a.is_correct as ca, b.is_correct as cb, a.num_tokens as ta, b.num_tokens as tb from ev a join ev b on a.id = b.id and a.model = 0 and b.model > 0) "
-
-
-@query(_EVAL_ALL + _CASES_ALL + "select model, case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, round(avg(ta), 6) as base_tokens, round(avg(tb), 6) as new_tokens from w group by 1, 2")
-def disagreement_all(spark, d):
-    return E.disagreement(_runs(spark, d, every=True), every=True)
-
-
-@query(_EVAL_ALL + _CASES_ALL + "select model, case when tb::double / ta > 0.95::double then 'under_5' when tb::double / ta > 0.8::double then 'under_20' when tb::double / ta > 0.6::double then 'under_40' else 'rest' end as reduction, count(*) as n, round(avg(cb::int) - avg(ca::int), 6) as accuracy_delta from w where ta > 0 group by 1, 2")
-def impact_buckets_all(spark, d):
-    return E.impact(_runs(spark, d, every=True), every=True)
-
-
-@query(_EVAL_ALL + "select model, level, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(num_tokens), 6) as avg_tokens, round(avg(num_steps), 6) as avg_steps from ev group by all")
-def condition_metrics_all(spark, d):
+@query(S.EVAL + "select model, level, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(num_tokens), 6) as avg_tokens, round(avg(num_steps), 6) as avg_steps from ev group by all")
+def condition_metrics(spark, d):
     a = lambda c: F.round(F.avg(c), 6)
-    return _runs(spark, d, every=True).groupBy("model", "level").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("num_tokens").alias("avg_tokens"), a("num_steps").alias("avg_steps"))
+    return _runs(spark, d).groupBy("model", "level").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("num_tokens").alias("avg_tokens"), a("num_steps").alias("avg_steps"))
 
 
 _V, _C, _X = (" + ".join(names) for names in (fixed.COUNTED_VERIFICATION, fixed.COUNTED_CORRECTION, fixed.COUNTED_EXPLORATION))
@@ -832,42 +787,26 @@ def exploration_depth(spark, d):
 # A second level of annotations.
 
 _L2 = """, l2 as (select problem_id, trace_id, dsr as l2_dsr, quality_reward as l2_quality from (select *, row_number() over (partition by problem_id, trace_id order by annotated_at desc nulls last, quality_reward desc nulls last, dsr asc nulls last) as k from annotated) where k = 1),
-  l1 as (select * from (select *, min(rollout_id) over (partition by problem_id) as first_id from qr) where rollout_id = first_id),
+  l1 as (select * replace ((row_number() over (partition by problem_id order by rollout_id, trace_id) - 1)::int as trace_id) from qr),
   ll as materialized (select l1.problem_id, l1.trace_id, l1.is_correct, l1.dsr, l1.quality_reward, l2_dsr, case when isnan(l2_quality) then null else l2_quality end as l2_quality from l1 left join l2 using (problem_id, trace_id)) """
 
 
-def _levels(spark, d, every=False):
-    """Our metrics beside the delivered annotations of the same (problem, trace): those of each problem's first rollout, or of every rollout."""
+def _levels(spark, d):
+    """Our metrics beside the delivered annotations of the same trace, numbered on over all rollouts of its problem."""
     s = scored(spark, d).select("problem_id", "rollout_id", "trace_id", "is_correct", "dsr", "quality_reward")
-    return E.levels(s, table(spark, d, "annotated"), every)
+    return E.levels(s, table(spark, d, "annotated"))
 
 
 @query("with recursive " + S.QUALITY + _L2 + "select count(*) as n, count(l2_dsr) as with_l2, round(avg(dsr), 6) as l1_dsr, round(avg(l2_dsr), 6) as l2_dsr, round(avg(quality_reward), 6) as l1_quality, round(avg(l2_quality), 6) as l2_quality, round(corr(dsr, l2_dsr), 6) as dsr_corr, round(corr(quality_reward, l2_quality), 6) as quality_corr from ll")
 def parser_level_corr(spark, d):
+    """Means and correlations of our metrics and the delivered ones, over every rollout of every problem."""
     return _levels(spark, d).agg(F.count("*").alias("n"), F.count("l2_dsr").alias("with_l2"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("dsr", "l1_dsr"), ("l2_dsr", "l2_dsr"), ("quality_reward", "l1_quality"), ("l2_quality", "l2_quality"))], F.round(F.corr("dsr", "l2_dsr"), 6).alias("dsr_corr"), F.round(F.corr("quality_reward", "l2_quality"), 6).alias("quality_corr"))
 
 
 @query("with recursive " + S.QUALITY + _L2 + "select problem_id, count(*) as n from ll group by 1 having bool_and(l2_dsr is not null)")
 def full_coverage(spark, d):
-    """Problems of which every trace of the first rollout has the second annotation."""
-    return _levels(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")
-
-
-# The same over every rollout; traces are numbered on within their problem.
-
-_L2_ALL = _L2.replace("select * from (select *, min(rollout_id) over (partition by problem_id) as first_id from qr) where rollout_id = first_id", "select * replace ((row_number() over (partition by problem_id order by rollout_id, trace_id) - 1)::int as trace_id) from qr")
-
-
-@query("with recursive " + S.QUALITY + _L2_ALL + "select count(*) as n, count(l2_dsr) as with_l2, round(avg(dsr), 6) as l1_dsr, round(avg(l2_dsr), 6) as l2_dsr, round(avg(quality_reward), 6) as l1_quality, round(avg(l2_quality), 6) as l2_quality, round(corr(dsr, l2_dsr), 6) as dsr_corr, round(corr(quality_reward, l2_quality), 6) as quality_corr from ll")
-def parser_level_corr_all(spark, d):
-    """parser_level_corr over every rollout of every problem."""
-    return _levels(spark, d, every=True).agg(F.count("*").alias("n"), F.count("l2_dsr").alias("with_l2"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("dsr", "l1_dsr"), ("l2_dsr", "l2_dsr"), ("quality_reward", "l1_quality"), ("l2_quality", "l2_quality"))], F.round(F.corr("dsr", "l2_dsr"), 6).alias("dsr_corr"), F.round(F.corr("quality_reward", "l2_quality"), 6).alias("quality_corr"))
-
-
-@query("with recursive " + S.QUALITY + _L2_ALL + "select problem_id, count(*) as n from ll group by 1 having bool_and(l2_dsr is not null)")
-def full_coverage_all(spark, d):
     """Problems of which every trace, in any rollout, has the second annotation."""
-    return _levels(spark, d, every=True).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")
+    return _levels(spark, d).groupBy("problem_id").agg(F.count("*").alias("n"), F.bool_and(F.col("l2_dsr").isNotNull()).alias("all_of_them")).filter("all_of_them").drop("all_of_them")
 
 
 # Credit, distance and other views of liveness; samples and lookups.
@@ -935,26 +874,15 @@ def ground_truth_lookup(spark, d):
 @query(S.ROWS + f" select problem_id, rollout_id, trace_id, case when instr(solution, '</think>') > 0 then {S.trim(chr(115) + 'ubstr(solution, instr(solution, ' + chr(39) + '</think>' + chr(39) + ') + 8)')} else solution end as body, case when regexp_matches(solution, '(?s)<think>(.*?)</think>') then regexp_extract(solution, '(?s)<think>(.*?)</think>', 1) else solution end as thinking from t")
 def think_texts(spark, d):
     """What follows the thinking block, and what stands in it."""
-    return T.unique(T.traces(spark, d).select(*T.KEYS, text.reasoning_body(F.col("solution")).alias("body"), text.thinking(F.col("solution")).alias("thinking")))
+    return T.single(spark, d).select(*T.KEYS, text.reasoning_body(F.col("solution")).alias("body"), text.thinking(F.col("solution")).alias("thinking"))
 
 
 _SCAFFOLD = ["explicit_verify", "wait", "rethink", "what_if", "alternatively", "examine"]
 
 
-@query(S.ROWS + f", c as (select rollout_id, trace_id, is_correct, {_COUNTS} from t), w as (select a.is_correct as ca, b.is_correct as cb, " + ", ".join(f"b.{k} - a.{k} as {k}" for k in _SCAFFOLD) + " from c a join c b on a.rollout_id = b.rollout_id and a.trace_id = 0 and b.trace_id = 1) select case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, " + ", ".join(f"round(avg({k}), 6) as {k}" for k in _SCAFFOLD) + " from w group by 1")
-def scaffold_diff(spark, d):
-    """How much more often the second run uses each phrase than the first, by who solved the problem."""
-    t = T.traces(spark, d).filter("trace_id < 2").withColumn("low", F.lower("solution"))
-    c = t.select("rollout_id", "trace_id", "is_correct", *[F.regexp_count("low", F.lit(fixed.COUNTED[k])).alias(k) for k in _SCAFFOLD])
-    pick = lambda k, m: F.max(F.when(F.col("trace_id") == m, F.col(k)))
-    g = c.groupBy("rollout_id").agg(pick("is_correct", 0).alias("ca"), pick("is_correct", 1).alias("cb"), *[(pick(k, 1) - pick(k, 0)).alias(k) for k in _SCAFFOLD]).filter("ca is not null and cb is not null")
-    outcome = F.when(F.col("ca") & F.col("cb"), "both").when(F.col("ca"), "base_only").when(F.col("cb"), "new_only").otherwise("neither")
-    return g.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), *[F.round(F.avg(k), 6).alias(k) for k in _SCAFFOLD])
-
-
 @query(S.ROWS + f", c as (select rollout_id, trace_id, is_correct, {_COUNTS} from t), w as (select b.trace_id as model, a.is_correct as ca, b.is_correct as cb, " + ", ".join(f"b.{k} - a.{k} as {k}" for k in _SCAFFOLD) + " from c a join c b on a.rollout_id = b.rollout_id and a.trace_id = 0 and b.trace_id > 0) select model, case when ca and cb then 'both' when ca then 'base_only' when cb then 'new_only' else 'neither' end as outcome, count(*) as n, " + ", ".join(f"round(avg({k}), 6) as {k}" for k in _SCAFFOLD) + " from w group by 1, 2")
-def scaffold_diff_all(spark, d):
-    """scaffold_diff of each later run against run 0."""
+def scaffold_diff(spark, d):
+    """How much more often each later run uses each phrase than run 0, by who solved the problem."""
     t = T.traces(spark, d).withColumn("low", F.lower("solution"))
     c = T.unique(t.select(*T.KEYS, "is_correct", *[F.regexp_count("low", F.lit(fixed.COUNTED[k])).alias(k) for k in _SCAFFOLD]))
     a = c.filter("trace_id = 0").select("rollout_id", F.col("is_correct").alias("ca"), *[F.col(k).alias(f"a_{k}") for k in _SCAFFOLD])
@@ -963,22 +891,8 @@ def scaffold_diff_all(spark, d):
     return a.join(b, "rollout_id").groupBy("model", outcome.alias("outcome")).agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(k) - F.col(f"a_{k}")), 6).alias(k) for k in _SCAFFOLD])
 
 
-@query(S.EVAL + "select model, level, count(*) as n, round(avg(is_correct::int), 6) as accuracy, round(avg(dsr), 6) as avg_dsr, round(avg(num_tokens), 6) as avg_tokens, round(avg(num_steps), 6) as avg_steps from ev group by all")
-def condition_metrics(spark, d):
-    """Both runs by level: accuracy, dead steps, tokens, steps."""
-    a = lambda c: F.round(F.avg(c), 6)
-    return _runs(spark, d).groupBy("model", "level").agg(F.count("*").alias("n"), a(F.col("is_correct").cast("double")).alias("accuracy"), a("dsr").alias("avg_dsr"), a("num_tokens").alias("avg_tokens"), a("num_steps").alias("avg_steps"))
-
-
-@query(S.PAIRS + ", k as (select substr(problem_text, 1, 100) as prompt, pair_type, count(*) as n from pr group by all) select prompt, count(*) as kinds, sum(n)::bigint as pairs from k group by 1 having count(*) > 1")
-def problems_in_several_kinds(spark, d):
-    """Prompts that more than one kind of pair covers."""
-    k = _pairs_once(spark, d).groupBy(F.substring("problem_text", 1, 100).alias("prompt"), "pair_type").agg(F.count("*").alias("n"))
-    return k.groupBy("prompt").agg(F.count("*").alias("kinds"), F.sum("n").alias("pairs")).filter("kinds > 1")
-
-
 @query(S.PAIRS + ", k as (select problem_text, pair_type, count(*) as n from pr group by all) select problem_text, count(*) as kinds, sum(n)::bigint as pairs from k group by 1 having count(*) > 1")
-def problems_in_several_kinds_all(spark, d):
+def problems_in_several_kinds(spark, d):
     """Prompts, told apart by their whole texts, that more than one kind of pair covers."""
     k = _pairs_once(spark, d).groupBy("problem_text", "pair_type").agg(F.count("*").alias("n"))
     return k.groupBy("problem_text").agg(F.count("*").alias("kinds"), F.sum("n").alias("pairs")).filter("kinds > 1")

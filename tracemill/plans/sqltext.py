@@ -210,6 +210,6 @@ EVAL = (
     + """,
 pb as (select problem_id, min(level) as level, min(category) as category from problems group by 1),
 ev as materialized (select a.rollout_id as id, a.trace_id as model, t.shard as benchmark, coalesce(category, '') as subject, coalesce(level, 0) as level, a.is_correct, a.num_tokens, a.dsr, a.num_steps, a.num_dead
-   from ann a join t using (problem_id, rollout_id, trace_id) left join pb using (problem_id) where a.trace_id < 2) """
+   from ann a join t using (problem_id, rollout_id, trace_id) left join pb using (problem_id)) """
 )
 PAIRS = "with pr as (select * from (select *, row_number() over (partition by pair_id order by built_at) as __k from preference_pairs) where __k = 1) "

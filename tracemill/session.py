@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tracemill", master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -32,6 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def delivered_once(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table without the rows that were delivered again under the same key; wide columns are not shuffled for it.
+
+    Rows are told apart by file and place. Only keys and places are grouped; the places to
+    leave out are few, and their join with the table is a broadcast where their size, as
+    measured at run time, allows it.
+    """
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("__at"))
+    first = t.groupBy(key).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").select(F.col(key).alias("__key"), "__first")
+    again = t.select(key, "__at").join(first, F.col(key).eqNullSafe(F.col("__key"))).filter(F.col("__at") != F.col("__first")).select("__at")
+    return t.join(again, "__at", "left_anti").drop("__at")
+
+
 #: Bytes of input per core below which rows are dealt out by hand.
 SMALL_INPUT = 16 << 20
 

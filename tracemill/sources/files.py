@@ -6,7 +6,7 @@ fields; land them as Parquet once and work from there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,14 +75,18 @@ def merge_shards(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame
 def read_problems(spark: SparkSession, path: str) -> DataFrame:
     """Problems of a conversation file: entries of two turns or more, named prob_0, prob_1, ... in file order, with the boxed answer of the second turn.
 
-    The running number is that of one file's entries; its order is the file's.
+    Entries are numbered inside their part of the file, and parts by how many came before,
+    so no task gathers the texts.
     """
     c = spark.read.schema(CONVERSATION).option("multiLine", True).json(path)
-    kept = c.filter(F.size("conversations") >= 2).withColumn("__at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.orderBy("__at")) - 1
-    return kept.select(F.concat(F.lit("prob_"), number.cast("string")).alias("problem_id"), F.element_at("conversations", 1)["value"].alias("problem_text"), text.boxed_answer(F.element_at("conversations", 2)["value"]).alias("ground_truth"))
+    kept = c.filter(F.size("conversations") >= 2).withColumn("__id", F.monotonically_increasing_id())
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the file
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    number = F.col("__before") + place
+    rows = kept.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return rows.select(F.concat(F.lit("prob_"), number.cast("string")).alias("problem_id"), F.element_at("conversations", 1)["value"].alias("problem_text"), text.boxed_answer(F.element_at("conversations", 2)["value"]).alias("ground_truth"))
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:

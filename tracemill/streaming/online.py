@@ -2,7 +2,7 @@
 
 The stream brings (rollout_id, trace_id, paragraph_idx, paragraph, ts). Types and symbols
 are columns, computed before the state is touched; the state of a trace holds its steps'
-types, the symbols of its steps, their inputs, and paragraphs that came too early. Edges
+types and inputs, the symbols of the last ten, and paragraphs that came too early. Edges
 never change once both steps are there, so a paragraph costs one look back over ten steps
 and one backward pass. What comes out equals the batch operator on the same paragraphs.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import fixed, text
 
 OUT = "rollout_id bigint, trace_id int, step_id int, num_steps int, num_dead int, intervention string"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 STATE = "state string"
 
 
@@ -47,7 +48,7 @@ class TraceState:
     def __init__(self, saved: str | None = None):
         d = json.loads(saved) if saved else {}
         self.types: list[str] = d.get("types", [])
-        self.symbols: list[list[str]] = d.get("symbols", [])
+        self.symbols: list[list[str]] = d.get("symbols", [])  # of the last LOOKBACK steps: no edge reaches farther
         self.inputs: list[list[int]] = d.get("inputs", [])
         self.early: dict[str, list] = d.get("early", {})
 
@@ -62,16 +63,24 @@ class TraceState:
             self._append(*nxt)
             yield self._look()
 
+    def rest(self) -> Iterator[tuple[int, int, int, str | None]]:
+        """Take what still waits, in order, gaps closed: what is missing will not come any more."""
+        for place in sorted(self.early, key=int):
+            self._append(*self.early[place])
+            yield self._look()
+        self.early = {}
+
     def _append(self, kind: str, symbols: list[str]) -> None:
         i = len(self.types)
         mine, own = set(symbols), []
         if i and kind in fixed.CHAIN_TYPES and self.types[i - 1] in fixed.CHAIN_TYPES:
             own.append(i - 1)
-        own += [j for j in range(max(0, i - fixed.LOOKBACK), i) if j not in own and not mine.isdisjoint(self.symbols[j])]
+        first = i - len(self.symbols)
+        own += [j for j in range(first, i) if j not in own and not mine.isdisjoint(self.symbols[j - first])]
         if kind == "conclusion" and not own and i:
             own = [i - 1]
         self.types.append(kind)
-        self.symbols.append(list(symbols))
+        self.symbols = [*self.symbols, list(symbols)][-fixed.LOOKBACK :]
         self.inputs.append(own)
 
     def _look(self) -> tuple[int, int, int, str | None]:
@@ -94,7 +103,9 @@ class TraceState:
 
 def _update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
+        left = [(key[0], key[1], *x) for x in TraceState(state.get[0]).rest()]
         state.remove()
+        yield pd.DataFrame(left, columns=NAMES)
         return
     s = TraceState(state.get[0] if state.exists else None)
     rows = []
@@ -105,7 +116,7 @@ def _update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
     state.update((s.saved(),))
     if state.getCurrentWatermarkMs() > 0:
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-    yield pd.DataFrame(rows, columns=["rollout_id", "trace_id", "step_id", "num_steps", "num_dead", "intervention"])
+    yield pd.DataFrame(rows, columns=NAMES)
 
 
 def paragraphs(traces: DataFrame) -> DataFrame:
@@ -119,11 +130,12 @@ def watch(stream: DataFrame, late: str = "1 hour") -> DataFrame:
 
     Needs rollout_id, trace_id, paragraph_idx, paragraph and an event time ``ts``. Paragraphs
     later than ``late`` behind the watermark are dropped, and a trace's state goes an hour
-    after its last paragraph. Order inside a trace comes from paragraph_idx: early ones
-    wait in the state, repeated ones are ignored.
+    after its last paragraph; paragraphs that still wait then are taken in order, gaps
+    closed, and so is what comes of a trace after that. Order inside a trace comes from
+    paragraph_idx: early ones wait in the state, repeated ones are ignored.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    p = F.trim(F.col("paragraph"))
+    p = text.trim_all(F.col("paragraph"))
     typed = stream.withWatermark("ts", late).select("rollout_id", "trace_id", "paragraph_idx", text.step_type(p, F.lower(p)).alias("step_type"), text.symbols(p).alias("sym"), "ts")
     return typed.groupBy("rollout_id", "trace_id").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
