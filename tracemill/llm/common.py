@@ -100,7 +100,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def hashed_words(lists: list[list[str]], stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -123,17 +124,24 @@ def hashed_words(lists: list[list[str]], stable: bool = False) -> tuple[np.ndarr
     return mix64(values), counts
 
 
-def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of every run of n words of one array, texts' borders ignored."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
+def prefix_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling sums of one array of word hashes, from which the hash of a run of any length is one difference; and what takes a run's place out of it."""
+    n = len(words)
+    with np.errstate(over="ignore"):
+        up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1])]), down
+
+
+def ngram_hashes(words: np.ndarray, n: int, prefix: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Polynomial hashes of every run of n words of one array, texts' borders ignored; ``prefix`` serves all lengths."""
     m = len(words) - n + 1
+    if m < 1:
+        return np.empty(0, np.uint64)
+    total, down = prefix or prefix_hashes(words)
     with np.errstate(over="ignore"):
-        h = words[:m].copy()
-        for j in range(1, n):
-            h *= _ROLL
-            h += words[j : j + m]
-    return mix64(h)
+        return mix64((total[n:] - total[:m]) * down[:m])
 
 
 def inside(counts: np.ndarray, n: int) -> np.ndarray:

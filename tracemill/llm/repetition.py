@@ -8,18 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORD_OR_HAN, hashed_words, inside, map_texts, mix64, ngram_hashes
+from tracemill.llm.common import WORD_OR_HAN, hashed_words, inside, map_texts, mix64, ngram_hashes, prefix_hashes
 
 _NUMBER = re.compile(r"\d+")
 LENGTHS = (3, 5, 8, 13)
 
 
-def _covered(words: np.ndarray, counts: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+def _covered(words: np.ndarray, prefix: tuple[np.ndarray, np.ndarray], counts: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Of each word: whether it lies in a run of n words that occurred earlier in its text."""
     hit = np.zeros(len(words) + 1, np.int32)
     ok = np.flatnonzero(inside(counts, n))
     if len(ok):
-        key = ngram_hashes(words, n)[ok] ^ mix64(doc[ok] + np.uint64(1))
+        key = ngram_hashes(words, n, prefix)[ok] ^ mix64(doc[ok] + np.uint64(1))
         order = np.argsort(key, kind="stable")
         again = np.zeros(len(ok), bool)
         again[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -56,8 +56,9 @@ def measure(texts: list[str | None], lengths: tuple[int, ...] = LENGTHS) -> list
 
     chars = per_text(size)
     out: list = [counts]
+    prefix = prefix_hashes(words)
     for n in lengths:
-        cover = _covered(words, counts, doc, n)
+        cover = _covered(words, prefix, counts, doc, n)
         out.append(per_text(cover) / np.maximum(counts, 1))
         out.append(per_text(cover * size) / np.maximum(chars, 1))
     shares = [_line_shares(t) if t else (0.0, 0) for t in texts]

@@ -57,20 +57,22 @@ def named_groups(pairs: DataFrame) -> DataFrame:
     return g.join(least, "component").select("pair_id", "group_id").distinct()
 
 
-def assign(groups: DataFrame, key: str, proportions: dict[str, float] | None = None, buckets: int = 256, seed: int = 17) -> DataFrame:
+def assign(groups: DataFrame, key: str, proportions: dict[str, float] | None = None, bucket_rows: int = 50_000, seed: int = 17) -> DataFrame:
     """(key, component, split): components laid end to end by falling weight, each in the split where it begins.
 
     A component's weight is its number of keys; a key without a component is one of its
     own. Large components come first and fall into the first split; the many small ones
     fill the others to their proportions. Positions are prefix sums in two steps, over
-    (weight, bucket) and inside a bucket, so no task sees all components: distinct weights
-    are at most the root of twice the rows.
+    (weight, bucket) and inside a bucket of about ``bucket_rows`` components, so no task
+    sees all components: distinct weights are at most the root of twice the rows.
     """
     p = proportions or PROPORTIONS
     total = sum(p.values())
     one = groups.withColumn("__c", F.coalesce("component", F.concat(F.lit("k:"), F.col(key).cast("string")), F.lit("k:")))
     weight = one.groupBy("__c").agg(F.countDistinct(key).alias("__w")).withColumn("__w", F.greatest("__w", F.lit(1)))
-    weight = materialize(weight.withColumn("__b", F.pmod(F.xxhash64("__c", F.lit(seed)), F.lit(buckets))))
+    weight = materialize(weight)
+    buckets = 1 + weight.count() // bucket_rows
+    weight = weight.withColumn("__b", F.pmod(F.xxhash64("__c", F.lit(seed)), F.lit(buckets)))
     cells = weight.groupBy("__w", "__b").agg(F.sum("__w").alias("__sum"))
     by_weight = cells.groupBy("__w").agg(F.sum("__sum").alias("__all"))
     run = Window.orderBy(F.desc("__w")).rowsBetween(Window.unboundedPreceding, -1)
