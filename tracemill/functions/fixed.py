@@ -130,3 +130,15 @@ NEW_TOPIC = [
     "**Step", "**Now", "**Next",
 ]
 # fmt: on
+#: Prompts of training records, of guided generation and of hints.
+SYSTEM_PROMPT = "Please reason step by step, and put your final answer within \\boxed{}."
+CHOICE_PROMPT = "Please provide your answer as a single letter (A, B, C, or D) in \\boxed{}."
+STRUCTURAL_PREFIX = "Solve this problem step by step. Be efficient: avoid re-deriving results you already established, avoid verifying intermediate results that won't be used in your final answer, and if an approach leads to a dead end after 2-3 steps, abandon it and try another. Put your final answer in \\boxed{}.\n\n"
+STRUCTURAL_SYSTEM = "You are a precise mathematical reasoner. Focus on productive reasoning steps that directly contribute to the solution. Avoid verification theater (checking work that won't affect the answer), dead cascades (long chains of reasoning that don't connect to the conclusion), and circular revisits (re-deriving things you already proved)."
+HINT_REQUEST = "I tried to solve this problem but got it wrong multiple times. Can you give me a brief hint about what approach or technique to use? Don't solve it, just give a hint.\n\nProblem: "
+REFLECTION_START = "I tried to solve this problem and got these wrong answers: "
+REFLECTION_END = "\n\nWhat key insight or technique am I missing? Give me a brief hint about the correct approach (don't solve it)."
+HINT_GIVEN = "Here's a hint that might help: "
+HINT_REFLECTED = "Hint from reflection: "
+#: Policies of the cleaned variants.
+POLICIES = {"original": "Remove nothing", "liveverif": "Remove dead verification only", "dse": "Remove ALL dead steps", "noverif": "Remove ALL verification (dead+live)", "keywordclean": "Remove verif keyword spans (heuristic)"}

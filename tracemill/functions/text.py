@@ -228,3 +228,76 @@ def key_step_hint(solution: Column) -> Column:
         .when(fallback.isNotNull(), F.concat(F.lit("Consider: "), F.substring(fallback, 1, 200)))
         .otherwise(fixed.HINT_DEFAULT)
     )
+
+
+def last_boxed(text: Column) -> Column:
+    r"""The content of the last ``\boxed{`` alone, trimmed; null where there is none or it never closes."""
+    tail = F.when(F.contains(text, F.lit("\\boxed{")), F.substring_index(text, "\\boxed{", -1))
+    tokens = F.regexp_extract_all(tail, F.lit(r"(?s)(\{|\}|[^{}]+)"), F.lit(1))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(s["inner"], t)).otherwise(s["inner"]).alias("inner")))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("inner"))
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["depth"] == 0, trim_all(s["inner"])))
+
+
+def lenient_correct(predicted: Column, truth: Column) -> Column:
+    r"""As ``correct``, or equal once one side loses its outer brackets, or one of the two values (or both) of a truth with a single ``\pm``."""
+    p, t = normalize_answer(predicted), normalize_answer(truth)
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    wrapped = lambda c: (F.length(c) >= 2) & reduce(lambda a, b: a | b, [F.startswith(c, F.lit(x)) & F.endswith(c, F.lit(y)) for x, y in ("()", "{}", "[]")])
+    sides = F.split(t, r"\\pm")
+    signed = lambda sign: normalize_answer(F.concat(F.element_at(sides, 1), F.lit(sign), F.try_element_at(sides, F.lit(2))))
+    plus, minus = signed("+"), signed("-")
+    either = (F.size(sides) == 2) & ((p == plus) | (p == minus) | (F.contains(p, plus) & F.contains(p, minus)))
+    return F.coalesce((p != "") & ((p == t) | (wrapped(p) & (inner(p) == t)) | (wrapped(t) & (inner(t) == p)) | either), F.lit(False))
+
+
+def light_correct(predicted: Column, truth: Column) -> Column:
+    """Whether two answers are equal after the light clean-up and not empty."""
+    p = light_answer(predicted)
+    return (p != "") & (p == light_answer(truth))
+
+
+def record_answer(original_answer: Column) -> Column:
+    """What a record answers: its last box, else its last line."""
+    return F.coalesce(last_boxed(original_answer), F.element_at(F.split(trim_all(F.coalesce(original_answer, F.lit(""))), "\n"), -1))
+
+
+def letter_answer(text: Column) -> Column:
+    """The boxed answer of a multiple-choice reply, else the first letter A to D that stands alone in its last 200 characters."""
+    boxed = boxed_answer(text)
+    return F.when(boxed != "", boxed).otherwise(F.regexp_extract(F.right(F.coalesce(text, F.lit("")), F.lit(200)), r"\b([ABCD])\b", 1))
+
+
+def raw_segments(text: Column) -> Column:
+    """Paragraphs as they stand, with their places among all pieces, blank ones counted but left out: array<struct<id, step_type, content, length>>."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"\n\n+")
+    rows = F.transform(parts, lambda x, i: F.struct(i.alias("id"), step_type(x, F.lower(x)).alias("step_type"), x.alias("content"), F.length(x).alias("length")))
+    return F.filter(rows, lambda s: trim_all(s["content"]) != "")
+
+
+def segment_phases(text: Column) -> Column:
+    """Paragraphs by the first kind that holds, with their full length and first 100 characters."""
+    rows = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\n+"), lambda x: F.struct(x.alias("x"), trim_all(x).alias("p")))
+    return F.transform(F.filter(rows, lambda s: s["p"] != ""), lambda s, i: F.struct(i.alias("segment"), priority_type(s["p"]).alias("phase"), F.length(s["x"]).alias("length"), F.substring(s["p"], 1, 100).alias("preview")))
+
+
+def excerpt(text: Column, n: int, mark: str = "...") -> Column:
+    """The first n characters, marked where there are more."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(mark))).otherwise(text)
+
+
+def delta_label(base: Column, new: Column, percent: bool = True) -> Column:
+    """A signed difference: in percent with one place, or with two places."""
+    d = new - base
+    shown = F.concat(F.format_number(d * 100, "0.0"), F.lit("%")) if percent else F.format_number(d, "0.00")
+    return F.when(d >= 0, F.concat(F.lit("+"), shown)).otherwise(shown)
+
+
+def sft_record(question: Column, solution: Column) -> Column:
+    """A training record of one turn with the fixed system prompt."""
+    turn = lambda who, what: F.struct(F.lit(who).alias("from"), what.alias("value"))
+    return F.struct(F.array(turn("human", question), turn("gpt", solution)).alias("conversations"), F.lit(fixed.SYSTEM_PROMPT).alias("system"))

@@ -151,6 +151,29 @@ def all_pairs(a: DataFrame) -> DataFrame:
     return out
 
 
+def shuffled(pairs: DataFrame, seed: int = 42) -> DataFrame:
+    """Pairs in an order drawn from their keys alone, with ``place``, what they are ordered by: a range-partitioned sort, no single task."""
+    keys = ["pair_type", "problem_id", "chosen_rollout_id", "chosen_trace_id", "rejected_rollout_id", "rejected_trace_id"]
+    return pairs.withColumn("place", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))).orderBy("place")
+
+
+def with_texts(pairs: DataFrame, excised: DataFrame, traces: DataFrame) -> DataFrame:
+    """Pairs by their texts: (pair_type, problem_id, keys, problem_text, chosen_solution, rejected_solution).
+
+    ``excised`` has the texts of excision pairs. Texts are read for traces that are in a
+    pair only: those are picked by their keys before any text moves.
+    """
+    other = pairs.filter("pair_type <> 'contrastive_excision'").drop("chosen_dsr", "rejected_dsr", "chosen_correct", "rejected_correct")
+    used = other.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ORDER]) for s in ("chosen", "rejected")])).alias("k")).select("k.*").distinct()
+    named = traces.select(*ORDER, "problem_text", "solution")
+    text = materialize(named.join(used, ORDER, "left_semi"))
+    side = lambda s, more: text.select(*[F.col(c).alias(f"{s}_{c}") for c in ORDER], F.col("solution").alias(f"{s}_solution"), *more)
+    whole = other.join(side("chosen", ["problem_text"]), [f"chosen_{c}" for c in ORDER]).join(side("rejected", []), [f"rejected_{c}" for c in ORDER])
+    columns = ["pair_type", "problem_id", *[f"{s}_{c}" for s in ("chosen", "rejected") for c in ORDER], "problem_text", "chosen_solution", "rejected_solution"]
+    cut = excised.join(named, ORDER).select(F.lit("contrastive_excision").alias("pair_type"), "problem_id", *[F.col(c).alias(f"{s}_{c}") for s in ("chosen", "rejected") for c in ORDER], "problem_text", "chosen_solution", F.col("solution").alias("rejected_solution"))
+    return whole.select(*columns).unionByName(cut.select(*columns))
+
+
 def sharegpt(question: Column, chosen: Column, rejected: Column) -> Column:
     """A pair as a conversation record."""
     turn = lambda who, what: F.struct(F.lit(who).alias("from"), what.alias("value"))
