@@ -102,23 +102,37 @@ def without(paragraphs: Column, removed: Column) -> Column:
     return text.trim_all(F.regexp_replace(F.array_join(kept, "\n\n"), r"\n{3,}", "\n\n"))
 
 
-def variants(r: DataFrame) -> DataFrame:
-    """A row per record and cleaned variant: original, dse, noverif, liveverif, keywordclean; twice delivered records are there twice (see ``unique``)."""
+def _variant_texts(r: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
     e = eliminate(r.withColumnRenamed("rsteps", "steps"))
     ids = lambda f: F.transform(F.filter("steps", f), lambda s: s["id"])
     verif = lambda s: s["type"] == "verification"
     e = e.withColumn("__verif", ids(verif)).withColumn("__dead_verif", ids(lambda s: verif(s) & F.array_contains("dead_ids", s["id"])))
-    texts = {
+    return e, {
         "original": (F.col("solution"), F.lit(0)),
         "dse": (without(F.col("paragraph_texts"), F.col("dead_ids")), F.size("dead_ids")),
         "noverif": (without(F.col("paragraph_texts"), F.col("__verif")), F.size("__verif")),
         "liveverif": (without(F.col("paragraph_texts"), F.col("__dead_verif")), F.size("__dead_verif")),
         "keywordclean": (text.keyword_clean(F.col("solution")), F.lit(0)),
     }
+
+
+def variants(r: DataFrame) -> DataFrame:
+    """A row per record and cleaned variant: original, dse, noverif, liveverif, keywordclean; twice delivered records are there twice (see ``unique``)."""
+    e, texts = _variant_texts(r)
     rows = F.array(*[F.struct(F.lit(k).alias("variant"), t.alias("cleaned"), n.cast("bigint").alias("removed_steps")) for k, (t, n) in texts.items()])
     return e.select("problem_id", "rollout_id", "trace_id", F.explode(rows).alias("v")).select("problem_id", "rollout_id", "trace_id", "v.*")
 
 
+def variant_lengths(r: DataFrame) -> DataFrame:
+    """One narrow row per record: steps, the length of every variant, the steps each removes, and whether elimination changes the text."""
+    e, texts = _variant_texts(r)
+    e = e.withColumn("__dse", once(texts["dse"][0]))
+    texts["dse"] = (F.col("__dse"), texts["dse"][1])
+    lengths = [F.length(t).cast("bigint").alias(f"len_{k}") for k, (t, _) in texts.items()]
+    removed = [n.cast("bigint").alias(f"removed_{k}") for k, (_, n) in texts.items()]
+    return unique(e.select("problem_id", "rollout_id", "trace_id", F.col("total").cast("bigint").alias("steps"), *lengths, *removed, (F.col("__dse") != F.col("solution")).alias("changed")))
+
+
 def entities(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"[A-Za-z]\w*|\d+"), F.lit(0)))
 
@@ -146,6 +160,23 @@ def fragile(r: DataFrame) -> DataFrame:
     return unique(e.select("problem_id", "rollout_id", "trace_id", rows.alias("rows"))).select("problem_id", "rollout_id", "trace_id", F.explode("rows").alias("s")).select("problem_id", "rollout_id", "trace_id", "s.step_id", "s.kind", "s.n_chars", "s.fragile")
 
 
+def theta_policy(p: DataFrame, theta: float = 0.5) -> DataFrame:
+    """Parsed traces without their robustly dead steps: (keys, kept_steps, cleaned).
+
+    Live steps and conclusions stay. Dead computations and derivations go. Other dead steps
+    stay beside a live step, or where they share more than ``theta`` of the smaller set of
+    words and numbers with one.
+    """
+    live = lambda i: F.array_contains("live", i)
+    p = p.withColumn("__e", once(F.transform("steps", lambda s: entities(s["content"]))))
+    of = lambda i: F.element_at(F.col("__e"), i + 1)
+    shared = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)) > theta)
+    scaffold = lambda s: s["step_type"].isin("verification", "exploration", "correction") & (live(s["id"] - 1) | live(s["id"] + 1) | F.exists("live", lambda k: shared(of(s["id"]), of(k))))
+    kept = F.filter("steps", lambda s: live(s["id"]) | (s["step_type"] == "conclusion") | scaffold(s))
+    p = p.withColumn("__kept", once(kept))
+    return p.select("problem_id", "rollout_id", "trace_id", F.size("__kept").cast("bigint").alias("kept_steps"), F.array_join(F.transform("__kept", lambda s: s["content"]), "\n\n").alias("cleaned"))
+
+
 def difficulty(problem: Column) -> Column:
     """The difficulty that a problem's name starts with."""
     starts = lambda *xs: F.regexp_like(problem, F.lit("^(" + "|".join(xs) + ")"))

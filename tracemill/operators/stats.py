@@ -14,6 +14,14 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's r of the rows that have both values; null where either does not vary."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = lambda x: F.when(a.isNotNull() & b.isNotNull(), x)
+    spread = F.stddev_pop(both(a)) * F.stddev_pop(both(b))
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+
 def categories(a: DataFrame) -> DataFrame:
     """Per problem: traces, correct ones, and saturated / partial / all_incorrect."""
     g = a.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"))

@@ -288,7 +288,7 @@ def dsr_range_histogram(spark, d):
 
 @query(S.RECURSIVE + " select round(corr(dsr, is_correct::int::double), 6) as r, count(*) as n from ann where num_steps > 0")
 def dsr_correctness_corr(spark, d):
-    return _annotated(spark, d).filter("num_steps > 0").agg(F.round(F.corr("dsr", F.col("is_correct").cast("double")), 6).alias("r"), F.count("*").alias("n"))
+    return _annotated(spark, d).filter("num_steps > 0").agg(F.round(X.correlation("dsr", F.col("is_correct").cast("double")), 6).alias("r"), F.count("*").alias("n"))
 
 
 @query(_q("select problem_id, round(v, 6) as dsr_var, n from (select problem_id, var_pop(dsr) as v, count(*) as n from qr group by 1 having count(*) = count(*) filter (is_correct)) order by round(v, 6) desc, problem_id limit 10"))
@@ -800,7 +800,7 @@ def _levels(spark, d):
 @query("with recursive " + S.QUALITY + _L2 + "select count(*) as n, count(l2_dsr) as with_l2, round(avg(dsr), 6) as l1_dsr, round(avg(l2_dsr), 6) as l2_dsr, round(avg(quality_reward), 6) as l1_quality, round(avg(l2_quality), 6) as l2_quality, round(corr(dsr, l2_dsr), 6) as dsr_corr, round(corr(quality_reward, l2_quality), 6) as quality_corr from ll")
 def parser_level_corr(spark, d):
     """Means and correlations of our metrics and the delivered ones, over every rollout of every problem."""
-    return _levels(spark, d).agg(F.count("*").alias("n"), F.count("l2_dsr").alias("with_l2"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("dsr", "l1_dsr"), ("l2_dsr", "l2_dsr"), ("quality_reward", "l1_quality"), ("l2_quality", "l2_quality"))], F.round(F.corr("dsr", "l2_dsr"), 6).alias("dsr_corr"), F.round(F.corr("quality_reward", "l2_quality"), 6).alias("quality_corr"))
+    return _levels(spark, d).agg(F.count("*").alias("n"), F.count("l2_dsr").alias("with_l2"), *[F.round(F.avg(c), 6).alias(n) for c, n in (("dsr", "l1_dsr"), ("l2_dsr", "l2_dsr"), ("quality_reward", "l1_quality"), ("l2_quality", "l2_quality"))], F.round(X.correlation("dsr", "l2_dsr"), 6).alias("dsr_corr"), F.round(X.correlation("quality_reward", "l2_quality"), 6).alias("quality_corr"))
 
 
 @query("with recursive " + S.QUALITY + _L2 + "select problem_id, count(*) as n from ll group by 1 having bool_and(l2_dsr is not null)")
