@@ -293,7 +293,7 @@ def excerpt(text: Column, n: int, mark: str = "...") -> Column:
 def delta_label(base: Column, new: Column, percent: bool = True) -> Column:
     """A signed difference: in percent with one place, or with two places."""
     d = new - base
-    shown = F.concat(F.format_number(d * 100, "0.0"), F.lit("%")) if percent else F.format_number(d, "0.00")
+    shown = F.format_string("%.1f%%", d * 100) if percent else F.format_string("%.2f", d)
     return F.when(d >= 0, F.concat(F.lit("+"), shown)).otherwise(shown)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions import text
+from tracemill.functions import fixed, text
 
 TRACE = T.StructType([T.StructField("solution", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("is_correct", T.BooleanType()), T.StructField("num_tokens", T.IntegerType())])
 ROLLOUT = T.StructType([T.StructField("problem_id", T.StringType()), T.StructField("problem_text", T.StringType()), T.StructField("ground_truth", T.StringType()), T.StructField("traces", T.ArrayType(TRACE))])
@@ -72,21 +72,20 @@ def merge_shards(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame
     return r.orderBy("problem_id"), r.groupBy("problem_id").count().filter("count > 1")
 
 
-def read_problems(spark: SparkSession, path: str) -> DataFrame:
-    """Problems of a conversation file: entries of two turns or more, named prob_0, prob_1, ... in file order, with the boxed answer of the second turn.
+def in_file_order(df: DataFrame, name: str = "__number") -> DataFrame:
+    """Rows numbered from 0 in the order of their files: numbers inside each part of a file, and how many rows the parts before hold. No task gathers rows."""
+    rows = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__part", "__before")
 
-    Entries are numbered inside their part of the file, and parts by how many came before,
-    so no task gathers the texts.
-    """
+
+def read_problems(spark: SparkSession, path: str) -> DataFrame:
+    """Problems of a conversation file: entries of two turns or more, named prob_0, prob_1, ... in file order, with the boxed answer of the second turn."""
     c = spark.read.schema(CONVERSATION).option("multiLine", True).json(path)
-    kept = c.filter(F.size("conversations") >= 2).withColumn("__id", F.monotonically_increasing_id())
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the file
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    number = F.col("__before") + place
-    rows = kept.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return rows.select(F.concat(F.lit("prob_"), number.cast("string")).alias("problem_id"), F.element_at("conversations", 1)["value"].alias("problem_text"), text.boxed_answer(F.element_at("conversations", 2)["value"]).alias("ground_truth"))
+    rows = in_file_order(c.filter(F.size("conversations") >= 2))
+    return rows.select(F.concat(F.lit("prob_"), F.col("__number").cast("string")).alias("problem_id"), F.element_at("conversations", 1)["value"].alias("problem_text"), text.boxed_answer(F.element_at("conversations", 2)["value"]).alias("ground_truth"))
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,17 +123,6 @@ def write_variants(variants: DataFrame, path: str) -> None:
     variants.write.mode("overwrite").partitionBy("variant").json(path)
 
 
-def generate(problems: DataFrame, model, schema: str) -> DataFrame:
-    """Rows made by an outside model: ``model`` maps an iterator of pandas frames to frames of ``schema``, once per partition."""
-    return problems.mapInPandas(model, schema)
-
-
-def prompts(problems: DataFrame, conditions: dict[str, str]) -> DataFrame:
-    """Every problem under every condition: the condition's text stands before the question. The conditions are a handful of rows."""
-    c = problems.sparkSession.createDataFrame(list(conditions.items()), "condition string, prefix string")
-    return problems.join(F.broadcast(c)).select("problem_id", "condition", F.concat("prefix", "problem_text").alias("prompt"))
-
-
 def choices(question, options):
     """Choices of a multiple-choice question in an order that only depends on their texts, empty ones dropped, as lettered lines."""
     ordered = F.array_sort(F.transform(F.filter(options, lambda x: F.trim(x) != ""), lambda x: F.struct(F.md5(F.concat(question, x)).alias("k"), x.alias("v"))))
@@ -147,3 +135,83 @@ def choice_letter(question, options, right):
     ordered = F.transform(F.array_sort(F.transform(F.filter(options, lambda x: F.trim(x) != ""), lambda x: F.struct(F.md5(F.concat(question, x)).alias("k"), x.alias("v")))), lambda s: s["v"])
     at = F.array_position(ordered, right).cast("int")
     return F.when(at > 0, F.substring(F.lit("ABCDEFGH"), F.greatest(at, F.lit(1)), F.lit(1))).otherwise("A")
+
+
+# Records with results, raw items, lookups.
+
+RAW = "id bigint, question string, solution string, answer string"
+ELIMINATION = "limo_id bigint, dead_ids array<int>, live_ids array<int>"
+SCORES = "struct<dsr: double, quality_reward: double, num_steps: int>"
+ANNOTATION = "problem_id string, rollout_id bigint, trace_id int, is_correct boolean, num_steps bigint, dsr double, typed_dsr map<string,double>, verification_density double, live_verification_rate double, trace_length bigint"
+
+
+def _file_number() -> Column:
+    return F.expr("try_cast(nullif(regexp_extract(file_name, '_([0-9]+)', 1), '') as bigint)")
+
+
+def structured(records: DataFrame) -> DataFrame:
+    """Records that have steps, in the form that ``rir.features`` and the cleaned variants take: correctness by the last box or line, paragraphs in order of their numbers."""
+    r = records.filter(F.size("steps") > 0)
+    right = text.numeric_equal(text.record_answer(F.col("original_answer")), F.col("ground_truth"))
+    numbers = F.array_sort(F.transform(F.map_entries(F.coalesce("paragraph_texts", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"].alias("v"))))
+    return r.select("problem_id", F.xxhash64("file_name").alias("rollout_id"), F.lit(0).alias("trace_id"), right.alias("is_correct"), F.col("original_answer").alias("answer"), "ground_truth", F.col("original_reasoning").alias("solution"), F.col("steps").alias("rsteps"), F.transform(numbers, lambda e: e["v"]).alias("paragraph_texts"))
+
+
+def read_three_way(spark: SparkSession, raw: str, records: str, results: str, min_parsed: int = 1) -> DataFrame:
+    """(limo_id, question, solution, steps, paragraph_texts, dead_ids) of the items that all three sources have; fewer than ``min_parsed`` is an error.
+
+    A record's id is ``metadata.limo_id``, a result's ``limo_id``, else the number in the file's name.
+    """
+    items = spark.read.schema(RAW).option("multiLine", True).json(raw).select(F.col("id").alias("limo_id"), "question", "solution")
+    parsed = read_records(spark, records).select(F.coalesce(F.col("metadata")["limo_id"].try_cast("bigint"), _file_number()).alias("limo_id"), "steps", "paragraph_texts")
+    found = spark.read.schema(ELIMINATION).option("multiLine", True).option("pathGlobFilter", "*.json").json(results).select("limo_id", "dead_ids", "_metadata.file_name")
+    both = parsed.join(found.select(F.coalesce("limo_id", _file_number()).alias("limo_id"), "dead_ids"), "limo_id")
+    out = items.join(both, "limo_id")
+    if (n := both.count()) < min_parsed:
+        raise ValueError(f"{n} parsed items, {min_parsed} are needed")
+    return out
+
+
+def items(df: DataFrame, benchmark: str = "math500") -> DataFrame:
+    """Test items in the form of problems: id, problem, answer, subject ('' where absent), level (0 where absent), benchmark."""
+    return df.select(F.col("unique_id").alias("id"), "problem", "answer", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("level", F.lit(0)).alias("level"), F.lit(benchmark).alias("benchmark"))
+
+
+def choice_items(df: DataFrame, benchmark: str = "gpqa") -> DataFrame:
+    """Multiple-choice items (question, correct, incorrect_1 to 3, subdomain) as problems: lettered choices in an order that depends on the texts alone, and the letter as answer."""
+    options = F.array("correct", "incorrect_1", "incorrect_2", "incorrect_3")
+    kept = F.filter(options, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    prompt = F.concat(F.col("question"), F.lit("\n\nChoices:\n"), choices(F.col("question"), kept), F.lit("\n\n" + fixed.CHOICE_PROMPT))
+    numbered = in_file_order(df.filter("question is not null"))
+    return numbered.select(F.concat(F.lit(f"{benchmark}_"), F.col("__number").cast("string")).alias("id"), prompt.alias("problem"), choice_letter(F.col("question"), kept, F.col("correct")).alias("answer"), F.coalesce("subdomain", F.lit("")).alias("subject"), F.lit(0).alias("level"), F.lit(benchmark).alias("benchmark"))
+
+
+def first_that_reads(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The first of several Parquet sources that is there; None for none."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.parquet(path)
+    return None
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """(problem_id, trace_id, dsr, quality_reward, num_steps) of files that nest scores by problem and trace; one file is one value, so keep them of moderate size."""
+    nested = F.from_json("value", f"map<string,map<string,{SCORES}>>")
+    by_problem = spark.read.text(path, wholetext=True).select(F.explode(nested).alias("problem_id", "traces"))
+    return by_problem.select("problem_id", F.explode("traces").alias("trace", "s")).select("problem_id", F.expr("try_cast(trace as int)").alias("trace_id"), "s.*")
+
+
+def read_paired(spark: SparkSession, base: str, new: str) -> DataFrame:
+    """(place, base, new): results of two files that are aligned by place."""
+    side = lambda path, name: in_file_order(spark.read.schema(RESULT).option("multiLine", True).json(path), "place").select("place", F.struct(*[f.name for f in RESULT.fields]).alias(name))
+    return side(base, "base").join(side(new, "new"), "place")
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ANNOTATION).json(path)
+
+
+def read_problem_map(spark: SparkSession, path: str) -> DataFrame:
+    """(problem_id, problem_text) of a file that maps one to the other."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("problem_id", "problem_text"))
