@@ -121,19 +121,31 @@ def test_choices(spark):
     assert rows[1].a == "A"
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("motifs", [False, True])
+def test_stream_equals_batch(spark, tmp_path, motifs):
     from tracemill.streaming import online
 
     rng = random.Random(7)
     bits = ["Let me check that k = 12 holds.", "So k = 12 and then 40.", "What if we try another way?", "Then m = 77 follows.", "Nothing here.", "The answer is \\boxed{40}.", "Let me verify m = 77."]
-    traces = [("p", i, 0, "\n\n".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))) for i in range(25)]
+    traces = [("p", i, 0, "\n\n".join(rng.choice(bits) + rng.choice(["", "\t", "\u3000"]) for _ in range(rng.randint(1, 24)))) for i in range(25)]
     df = spark.createDataFrame(traces, "problem_id string, rollout_id bigint, trace_id int, solution string")
-    want = {(r.rollout_id, r.step_id): (r.num_dead, r.intervention) for r in N.timeline(T.parse(df)).collect()}
-    rows = online.paragraphs(df).withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    want = {(r.rollout_id, r.step_id): (r.num_dead, r.intervention, r.num_motifs if motifs else 0) for r in N.timeline(T.parse(df)).collect()}
+    rows = online.paragraphs(df).withColumn("paragraph", F.concat(F.lit("\t"), "paragraph")).withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
     rows.filter("paragraph_idx % 2 = 1").coalesce(1).write.parquet(str(tmp_path / "in"))  # odd ones come first
     rows.filter("paragraph_idx % 2 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = online.watch(stream).writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q = online.watch(stream, motifs=motifs).writeStream.format("memory").queryName(f"watched{motifs}").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = {(r.rollout_id, r.step_id): (r.num_dead, r.intervention) for r in spark.table("watched").collect()}
+    got = {(r.rollout_id, r.step_id): (r.num_dead, r.intervention, r.num_motifs if motifs else 0) for r in spark.table(f"watched{motifs}").collect()}
     assert got == want
+
+
+def test_stream_state_is_bounded_and_gaps_close():
+    from tracemill.streaming.online import TraceState
+
+    s = TraceState()
+    for i in range(100):
+        list(s.arrive(i, "derivation", [f"s{i}"]))
+    assert len(s.symbols) == 10 and len(TraceState(s.saved()).types) == 100
+    assert list(s.arrive(105, "conclusion", [])) == list(s.arrive(103, "derivation", [])) == []
+    assert [x[:2] for x in s.rest()] == [(100, 101), (101, 102)] and not s.early

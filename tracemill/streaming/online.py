@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed, text
+from tracemill.operators.motifs import REVISIT_SHARE
 
 OUT = "rollout_id bigint, trace_id int, step_id int, num_steps int, num_dead int, intervention string"
-NAMES = [c.split()[0] for c in OUT.split(", ")]
 STATE = "state string"
 
 
@@ -45,10 +45,11 @@ def _islands(ids: list[int]) -> list[tuple[int, int]]:
 class TraceState:
     """The steps seen of one trace."""
 
-    def __init__(self, saved: str | None = None):
+    def __init__(self, saved: str | None = None, motifs: bool = False):
+        self.motifs = motifs
         d = json.loads(saved) if saved else {}
         self.types: list[str] = d.get("types", [])
-        self.symbols: list[list[str]] = d.get("symbols", [])  # of the last LOOKBACK steps: no edge reaches farther
+        self.symbols: list[list[str]] = d.get("symbols", [])  # of the last LOOKBACK steps: no edge reaches farther; of all where motifs are counted
         self.inputs: list[list[int]] = d.get("inputs", [])
         self.early: dict[str, list] = d.get("early", {})
 
@@ -76,11 +77,13 @@ class TraceState:
         if i and kind in fixed.CHAIN_TYPES and self.types[i - 1] in fixed.CHAIN_TYPES:
             own.append(i - 1)
         first = i - len(self.symbols)
-        own += [j for j in range(first, i) if j not in own and not mine.isdisjoint(self.symbols[j - first])]
+        own += [j for j in range(max(0, i - fixed.LOOKBACK), i) if j not in own and not mine.isdisjoint(self.symbols[j - first])]
         if kind == "conclusion" and not own and i:
             own = [i - 1]
         self.types.append(kind)
-        self.symbols = [*self.symbols, list(symbols)][-fixed.LOOKBACK :]
+        self.symbols.append(list(symbols))
+        if not self.motifs:
+            self.symbols = self.symbols[-fixed.LOOKBACK :]
         self.inputs.append(own)
 
     def _look(self) -> tuple[int, int, int, str | None]:
@@ -98,25 +101,40 @@ class TraceState:
                 i -= 1
             if i >= 0 and i not in live and last - i >= 2:
                 what = "redirect_branch"
-        return last, n, len(dead), what
-
-
-def _update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        left = [(key[0], key[1], *x) for x in TraceState(state.get[0]).rest()]
-        state.remove()
-        yield pd.DataFrame(left, columns=NAMES)
-        return
-    s = TraceState(state.get[0] if state.exists else None)
-    rows = []
-    for f in frames:
-        for r in f.sort_values("paragraph_idx").itertuples():
-            for step, n, dead, what in s.arrive(int(r.paragraph_idx), r.step_type, list(r.sym)):
-                rows.append((key[0], key[1], step, n, dead, what))
-    state.update((s.saved(),))
-    if state.getCurrentWatermarkMs() > 0:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-    yield pd.DataFrame(rows, columns=NAMES)
+        return (last, n, len(dead), what, self._motifs(live, dead)) if self.motifs else (last, n, len(dead), what)
+
+    def _motifs(self, live: set[int], dead: list[int]) -> int:
+        """How many motifs the steps so far hold."""
+        types, found = self.types, sum(b - a >= 2 for a, b in _islands(dead))
+        found += len(_islands([i for i in dead if types[i] == "verification" and not live.intersection(self.inputs[i])]))
+        for i in dead:
+            own = set(self.symbols[i])
+            if types[i] == "exploration":
+                end = next((j for j in range(i + 1, len(types)) if j in live or types[j] == "exploration"), len(types))
+                found += end - i >= 2
+            elif types[i] in ("derivation", "computation") and len(own) >= 2:
+                found += any(j < i and len(own.intersection(self.symbols[j])) / len(own) >= REVISIT_SHARE for j in live)
+        return found
+
+
+def _updater(motifs: bool, names: list[str]):
+    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            left = [(*key, *x) for x in TraceState(state.get[0], motifs).rest()]
+            state.remove()
+            yield pd.DataFrame(left, columns=names)
+            return
+        s = TraceState(state.get[0] if state.exists else None, motifs)
+        rows = []
+        for f in frames:
+            for r in f.sort_values("paragraph_idx").itertuples():
+                rows += [(*key, *x) for x in s.arrive(int(r.paragraph_idx), r.step_type, list(r.sym))]
+        state.update((s.saved(),))
+        if state.getCurrentWatermarkMs() > 0:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
+        yield pd.DataFrame(rows, columns=names)
+
+    return update
 
 
 def paragraphs(traces: DataFrame) -> DataFrame:
@@ -125,8 +143,8 @@ def paragraphs(traces: DataFrame) -> DataFrame:
     return traces.select("rollout_id", "trace_id", F.explode(seg).alias("s")).select("rollout_id", "trace_id", "s.*")
 
 
-def watch(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Per paragraph: the step, steps and dead steps so far, and the intervention (null for none).
+def watch(stream: DataFrame, late: str = "1 hour", motifs: bool = False) -> DataFrame:
+    """Per paragraph: the step, steps and dead steps so far, and the intervention (null for none); with ``motifs`` also how many motifs there are, for which the state keeps all symbols.
 
     Needs rollout_id, trace_id, paragraph_idx, paragraph and an event time ``ts``. Paragraphs
     later than ``late`` behind the watermark are dropped, and a trace's state goes an hour
@@ -136,6 +154,8 @@ def watch(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    out = OUT + (", num_motifs int" if motifs else "")
+    names = [c.split()[0] for c in out.split(", ")]
     p = text.trim_all(F.col("paragraph"))
     typed = stream.withWatermark("ts", late).select("rollout_id", "trace_id", "paragraph_idx", text.step_type(p, F.lower(p)).alias("step_type"), text.symbols(p).alias("sym"), "ts")
-    return typed.groupBy("rollout_id", "trace_id").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return typed.groupBy("rollout_id", "trace_id").applyInPandasWithState(_updater(motifs, names), out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
