@@ -55,7 +55,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A file of one row group is one task however many cores wait. Only inputs of less than
     SMALL_INPUT bytes per core are shuffled, larger ones pass as they are; the rows are the same.
+    With ``tracemill.spread`` set to false in the session none are.
     """
+    if df.sparkSession.conf.get("tracemill.spread", "true") == "false":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(2 * cores) if int(str(size)) < cores * SMALL_INPUT else df
