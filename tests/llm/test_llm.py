@@ -300,6 +300,23 @@ def test_matching_solutions_by_all_names(spark):
     assert any(x[0] is None for x, _ in want) and len(want) > 15
 
 
+def test_hot_shingles_are_dealt_out(spark, monkeypatch):
+    """A crowd of templated texts in one bucket: with any split of its shingles the same links as brute force."""
+    rng = random.Random(23)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"e{rng.randint(0, 30)}" for w in base[: rng.choice([40, 50, 60])]) for _ in range(60)]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    assert len(want) > 50
+    for meet in (2000, 3):
+        monkeypatch.setattr(neardup, "MEET", meet)
+        links, members = neardup.similar(df, "body", ["id"], 3, 0.6, 30, bucket=2)
+        name = {r["__id"]: r.id for r in members.collect()}
+        assert {tuple(sorted((name[r["__a"]], name[r["__b"]]))) for r in links.collect()} == want
+
+
 def test_near_duplicates_empty(spark):
     links, members = neardup.similar(spark.createDataFrame([], "id int, body string"), "body", ["id"])
     assert links.count() == members.count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -17,6 +18,8 @@ SHINGLE, SIMILARITY, MIN_WORDS = 3, 0.6, 30
 BANDS, ROWS, SKETCHES = 64, 5, 4
 #: Members up to which a bucket's pairs are all candidates; a larger one has a star, and its members meet by their rarest shingles.
 BUCKET = 48
+#: Texts of one shingle that meet all others of it under one key.
+MEET = 2_000
 #: Words of 64 bits of the table that tells bands which may be shared; the broadcast has this many rows at most, whatever the input.
 BITS = 1 << 17
 
@@ -174,15 +177,26 @@ def _sets(row: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> DataFra
 
 
 def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of texts that share one of the shingles that come first by rarity (then by value)."""
+    """Pairs of texts that share one of the shingles that come first by rarity (then by value).
+
+    Texts meet by shingle and band of set size (sizes of similar sets differ by a factor
+    of 1 / similarity at most, so by one band). The texts of a shingle in more than MEET
+    of them are dealt out over as many keys as it has multiples of MEET, each of which
+    meets all of its texts: a hot shingle is work for many tasks.
+    """
     flat = materialize(sets.select("__id", F.size("__set").alias("__n"), F.explode("__set").alias("__s")).distinct())
     often = flat.groupBy("__s").agg(F.count("*").alias("__df")).filter("__df > 1")
     ranked = flat.join(often, "__s", "left").withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy(F.coalesce("__df", F.lit(1)), "__s")))
-    prefix = materialize(ranked.filter(F.col("__df").isNotNull() & (F.col("__r") <= F.col("__n") - F.ceil(F.col("__n") * similarity - 1e-9) + 1)).select("__s", "__id", "__n"))
-    a = prefix.select("__s", F.col("__id").alias("__a"), F.col("__n").alias("__na"))
-    b = prefix.select("__s", F.col("__id").alias("__b"), F.col("__n").alias("__nb"))
+    prefix = ranked.filter(F.col("__df").isNotNull() & (F.col("__r") <= F.col("__n") - F.ceil(F.col("__n") * similarity - 1e-9) + 1))
+    band = F.floor(F.log(F.col("__n")) / -math.log(similarity)) if similarity < 1 else F.col("__n").cast("bigint")
+    parts = F.ceil(F.col("__df") / MEET).cast("int")
+    prefix = materialize(prefix.select("__s", "__id", "__n", band.alias("__band"), parts.alias("__parts")))
+    a = prefix.select("__s", "__band", F.pmod(F.xxhash64("__id"), "__parts").cast("int").alias("__part"), F.col("__id").alias("__a"), F.col("__n").alias("__na"))
+    near = F.explode(F.array(F.col("__band") - 1, F.col("__band"), F.col("__band") + 1))
+    b = prefix.select("__s", near.alias("__band"), "__parts", F.col("__id").alias("__b"), F.col("__n").alias("__nb"))
+    b = b.select("__s", "__band", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "__b", "__nb")
     fits = (F.least("__na", "__nb") >= F.greatest("__na", "__nb") * similarity - 1e-9) & (F.col("__a") < F.col("__b"))
-    return a.join(b, "__s").filter(fits).select("__a", "__b").distinct()
+    return a.join(b, ["__s", "__band", "__part"]).filter(fits).select("__a", "__b").distinct()
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
