@@ -74,7 +74,7 @@ def record_correctness(spark, d):
     return t.select(*T.KEYS, "said", text.numeric_equal(F.col("said"), F.col("ground_truth")).alias("correct"))
 
 
-@query(S.ROWS + f", b as (select {_KEYS}, solution, {C._boxed_sql('solution')} as boxed from t) select {_KEYS}, case when boxed <> '' then boxed else regexp_extract(right(solution, 200), '\\b([ABCD])\\b', 1) end as letter from b")
+@query(S.ROWS + f", b as (select {_KEYS}, solution, {C._boxed_sql('solution')} as boxed from t) select {_KEYS}, case when boxed <> '' then boxed else regexp_extract(right(solution, 200), '(?:^|[^\\p{{L}}\\p{{N}}_])([ABCD])(?:[^\\p{{L}}\\p{{N}}_]|$)', 1) end as letter from b")
 def letter_answers(spark, d):
     return T.unique(T.traces(spark, d).select(*T.KEYS, text.letter_answer(F.col("solution")).alias("letter")))
 

@@ -127,7 +127,7 @@ def choices(question, options):
     """Choices of a multiple-choice question in an order that only depends on their texts, empty ones dropped, as lettered lines."""
     ordered = F.array_sort(F.transform(F.filter(options, lambda x: F.trim(x) != ""), lambda x: F.struct(F.md5(F.concat(question, x)).alias("k"), x.alias("v"))))
     letters = F.array(*[F.lit(c) for c in "ABCDEFGH"])
-    return F.array_join(F.transform(ordered, lambda s, i: F.concat(F.element_at(letters, i + 1), F.lit(") "), s["v"])), "\n")
+    return F.array_join(F.transform(ordered, lambda s, i: F.concat(F.lit("("), F.element_at(letters, i + 1), F.lit(") "), s["v"])), "\n")
 
 
 def choice_letter(question, options, right):
