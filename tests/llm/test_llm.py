@@ -222,6 +222,22 @@ def test_leaks_brute_force():
             assert " ".join(parts[a:b]) in " ".join(bodies[k])
 
 
+@pytest.mark.parametrize("chars", [8_000_000, 60])
+def test_leaks_over_passes(spark, monkeypatch, chars):
+    """Items that share a closing sentence and a passage, whole and in one pass each: shared runs are no item's own in either case."""
+    monkeypatch.setattr(leaks, "PASS_CHARS", chars)
+    rng = random.Random(31)
+    word = lambda: rng.choice(WORDS) + str(rng.randint(0, 999))
+    close = "Give your answer in lowest terms and do not use mixed numbers or decimals anywhere in it."
+    shared = " ".join(word() for _ in range(14))
+    own = [" ".join(word() for _ in range(16)) for _ in range(5)]
+    texts = [f"{own[i]} {shared if i in (1, 3) else 'and so on'}. {close}" for i in range(5)]
+    items = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(texts)], "unique_id string, problem string")
+    rows = [("close", "Before. " + close), ("shared", "x " + shared + " y"), *[(f"own{i}", f"see {own[i]} there") for i in range(5)], ("two", own[0] + " then " + own[4]), ("part", " ".join(own[2].split()[2:14])), ("short", " ".join(own[2].split()[:11]))]
+    got = {(r.id, r.unique_id) for r in leaks.leaked_passages(spark.createDataFrame(rows, "id string, body string"), "body", ["id"], items).collect()}
+    assert got == {*((f"own{i}", f"i{i}") for i in range(5)), ("two", "i0"), ("two", "i4"), ("part", "i2")}
+
+
 def test_leaks_frame(spark):
     item = "A tank near the boat yard fills at 36 liters per minute but leaks 4.25 liters per minute once it holds 785 liters of water"
     items = spark.createDataFrame([("i1", item), ("i2", None), ("i3", "")], "unique_id string, problem string")
