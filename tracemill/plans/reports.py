@@ -158,14 +158,32 @@ def _replies(spark, d):
     return p.select(*T.KEYS, "is_correct", "num_tokens", "solution", T.once(reply).alias("reply"))
 
 
-@query("with recursive " + S.QUALITY + f" select {_KEYS}, num_steps > 0 as parse_success, num_steps, round(dsr, 9) as dsr, quality_reward from qr")
-def parser_path(spark, d):
-    """Traces through the parser path: structure as JSON inside a reply, salvaged, cleaned, and measured as text analysis is."""
+def _by_reply(spark, d):
     w = Q.with_quality(J.parse_replies(_replies(spark, d), "reply", 1))
     n = F.size("steps")
-    cost = sum((Q.count_of(k) * F.lit(v) for k, v in fixed.PENALTY.items()), F.lit(0.0))
+    kinds = {k: Q.count_of(k) for k in fixed.PENALTY}
+    cost = sum((c * F.lit(fixed.PENALTY[k]) for k, c in kinds.items()), F.lit(0.0))
     reward = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cost / n))).otherwise(1.0)
-    return T.unique(w.select(*T.KEYS, "parse_success", n.cast("bigint").alias("num_steps"), F.round(F.when(n > 0, (n - F.size("live")) / n).otherwise(0.0), 9).alias("dsr"), F.round(reward, 9).alias("quality_reward")))
+    return T.unique(w.select(*T.KEYS, "parse_success", n.cast("bigint").alias("num_steps"), F.when(n > 0, (n - F.size("live")) / n).otherwise(0.0).alias("dsr"), F.round(reward, 9).alias("quality_reward"), *[c.cast("bigint").alias(k) for k, c in kinds.items()]))
+
+
+@query("with recursive " + S.QUALITY + f" select {_KEYS}, num_steps > 0 as parse_success, num_steps, round(dsr, 9) as dsr, quality_reward from qr")
+def parser_path(spark, d):
+    """Traces through the parser path: structure as JSON inside a reply, salvaged, cleaned, and measured as text analysis is."""
+    return _by_reply(spark, d).select(*T.KEYS, "parse_success", "num_steps", F.round("dsr", 9).alias("dsr"), "quality_reward")
+
+
+_COMPARED = ", count(*) as n, round(avg(dsr), 6) as avg_dsr, round(avg(quality_reward), 6) as avg_quality, round(avg(num_steps), 6) as avg_steps, " + ", ".join(f"sum({k})::bigint as {k}" for k in fixed.PENALTY)
+
+
+@query("with recursive " + S.QUALITY + f" select 'text' as level, 1.0::double as success{_COMPARED} from qr union all select 'reply', round(avg((num_steps > 0)::int), 6){_COMPARED} from qr")
+def parser_comparison(spark, d):
+    """Text analysis and the parser path side by side: means, kinds of dead steps, and how many replies could be read."""
+    out = None
+    for level, x in (("text", C.scored(spark, d).withColumn("parse_success", F.lit(True))), ("reply", _by_reply(spark, d))):
+        one = x.agg(F.lit(level).alias("level"), r6(F.avg(F.col("parse_success").cast("double"))).alias("success"), F.count("*").alias("n"), r6(F.avg("dsr")).alias("avg_dsr"), r6(F.avg("quality_reward")).alias("avg_quality"), r6(F.avg("num_steps")).alias("avg_steps"), *[F.sum(k).alias(k) for k in fixed.PENALTY])
+        out = one if out is None else out.unionByName(one)
+    return out.select("level", "success", "n", "avg_dsr", "avg_quality", "avg_steps", *fixed.PENALTY)
 
 
 @query(S.RECURSIVE + f", i as (select rollout_id, trace_id, dst as step_id, list(src order by src) as inputs from e group by all), o as (select rollout_id, trace_id, src as step_id, list(dst order by dst) as outputs from e group by all) select ls.problem_id, rollout_id, trace_id, step_id, step_type, is_live, coalesce(array_to_string(inputs, ' '), '') as inputs, coalesce(array_to_string(outputs, ' '), '') as outputs from ls left join i using (rollout_id, trace_id, step_id) left join o using (rollout_id, trace_id, step_id)")
