@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracemill.llm import truncation
+from tracemill.llm import defects, truncation
 
 LINES = ["We read the numbers from the table and add them up.", "The result is {} and it holds for the next row.", "Then comes the last part with {} steps.", "Hence the value is {} after all."]
 
@@ -45,3 +45,10 @@ def test_cut_texts_by_the_counts_of_all_texts(spark, rows):
 def test_nothing_to_count(spark):
     df = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (3, " \n", "c")], "id int, t string, c string")
     assert {(r.id, r.has_text, r.cut) for r in truncation.truncated_texts(df, "t", "c", ["id"]).collect()} == {(i, False, False) for i in (1, 2, 3)}
+
+
+def test_defects_by_the_counts_of_all_texts(spark, rows):
+    df = spark.createDataFrame(rows, "id int, t string, c string, q string")
+    got = {(r.id, r.defect) for r in defects.defects(df, "q", "t", "c", ["id"]).filter("defect is not null").collect()}
+    assert got == {(r.id, r.defect) for r in defects.defects(df, "q", "t", "c", ["id"], model=_model(rows)).filter("defect is not null").collect()}
+    assert {(i, "truncated") for i in range(400, 440)} | {(471, "empty"), (472, "empty"), (473, "empty")} <= got
